@@ -12,6 +12,7 @@ from seqweave.llm.cooccurrence import PairTable
 from seqweave.llm.leaks import leaked_items
 from seqweave.llm.packing import pack, token_counts
 from seqweave.llm.shared_spans import shared_spans
+from seqweave.llm.spam import incoherent_documents
 from seqweave.session import written
 
 #: Folder of the public tokenizers' files; a parameter of the environment.
@@ -97,7 +98,15 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d, min_match=5, min_coverage=0.2)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pair_scores, p6_found, p6_shared_share, p7_containers, p7_certificate, p8_found, p8_coverage)}
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return incoherent_documents(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_shares(spark, d).filter(F.col("n_spam_words") * 2 > F.col("n_words")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pair_scores, p6_found, p6_shared_share, p7_containers, p7_certificate, p8_found, p8_coverage, p9_found, p9_shares)}
 
 _P6 = """
 WITH r AS (SELECT 'proteins' AS src_table, entry AS record_id, max(sequence) AS s FROM proteins WHERE sequence IS NOT NULL GROUP BY 1, 2
