@@ -13,6 +13,12 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often body names it (inside
+    a lambda a plain expression is computed anew for every element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def symbols(seq: Column | str) -> Column:
     """One symbol per character; an empty string has none."""
     c = _c(seq)
@@ -41,8 +47,7 @@ def boundaries(tokens: Column | str) -> Column:
 def offsets(tokens: Column | str) -> Column:
     """``array<struct<token, start, end>>``, end exclusive."""
     t = _c(tokens)
-    b = boundaries(t)
-    return F.transform(t, lambda x, i: F.struct(x.alias("token"), F.get(b, i).alias("start"), F.get(b, i + 1).alias("end")))
+    return let(boundaries(t), lambda b: F.transform(t, lambda x, i: F.struct(x.alias("token"), F.get(b, i).alias("start"), F.get(b, i + 1).alias("end"))))
 
 
 def with_letter(seq: Column | str, pos: Column, letter: Column) -> Column:
