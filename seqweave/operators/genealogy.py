@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.functions.sequences import hashed_number
+from seqweave.session import written
 
 
 def vocabulary(df: DataFrame) -> DataFrame:
@@ -78,25 +79,27 @@ def vocabulary_identity(v: DataFrame) -> DataFrame:
     return both.join(size.withColumnRenamed("config_id", "config_a"), "config_a").select("config_a", "config_b", "shared", (F.col("shared") / F.col("size")).alias("identity"))
 
 
-def random_clone(v: DataFrame, letters: str, seed: str = "clone", tries: int = 6) -> DataFrame:
+def random_clone(v: DataFrame, letters: str, seed: str = "clone", tries: int = 40) -> DataFrame:
     """``config_id, token_id, token`` of a random vocabulary of the same lengths; single
-    letters stay. A draw that collides takes the first free of its further draws."""
+    letters stay. A draw that collides is drawn again, up to ``tries`` times in all; a
+    unit of a length whose words are all taken has no row then."""
     spread = F.array(*(F.lit(x) for x in letters))
 
-    def word(k: Column) -> Column:
-        at = lambda i: F.get(spread, F.pmod(hashed_number(F.lit(seed), F.col("config_id"), F.col("token_id"), k, i), F.lit(len(letters))))
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length("token")), at), "")
+    def word(k: int) -> Column:
+        at = lambda i: F.get(spread, F.pmod(hashed_number(F.lit(seed), F.col("config_id"), F.col("token_id").cast("string"), F.lit(str(k)), i.cast("string")), F.lit(len(letters))))
+        return F.when(F.length("token") == 1, F.col("token")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length("token")), at), ""))
 
-    drawn = v.select("config_id", "token_id", F.when(F.length("token") == 1, F.array("token")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), word)).alias("draws"))
-    # each round gives a word to the lowest id that draws it and none had before
-    left, taken = drawn, None
+    left, taken = written(v.select("config_id", "token_id", "token"), "clone-left"), None
     for k in range(tries):
-        asked = left.withColumn("token", F.get("draws", F.least(F.lit(k), F.size("draws") - 1)))
+        # a word goes to the lowest id that draws it, if no unit of a round before has it
+        asked = left.select("config_id", "token_id", word(k).alias("token"))
         if taken is not None:
             asked = asked.join(taken.select("config_id", "token"), ["config_id", "token"], "left_anti")
-        won = asked.groupBy("config_id", "token").agg(F.min("token_id").alias("token_id")).select("config_id", "token_id", "token")
+        won = written(asked.groupBy("config_id", "token").agg(F.min("token_id").alias("token_id")).select("config_id", "token_id", "token"), "clone")
         taken = won if taken is None else taken.unionByName(won)
-        left = drawn.join(taken.select("config_id", "token_id"), ["config_id", "token_id"], "left_anti")
+        left = written(left.join(won.select("config_id", "token_id"), ["config_id", "token_id"], "left_anti"), "clone-left")
+        if left.isEmpty():
+            break
     return taken
 
 
