@@ -34,8 +34,7 @@ def letter_count(seq: Column | str, letter: str) -> Column:
 def kmers(seq: Column | str, k: int) -> Column:
     """Non-overlapping k-mers from the left; the shorter rest is kept."""
     c = _c(seq)
-    cut = F.transform(F.sequence(F.lit(1), F.length(c), F.lit(k)), lambda i: F.substr(c, i, F.lit(k)))
-    return F.when(F.length(c) > 0, cut).when(c.isNotNull(), F.array().cast("array<string>"))
+    return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{k}}}"), F.lit(0))
 
 
 def boundaries(tokens: Column | str) -> Column:
@@ -73,16 +72,20 @@ def tokens_over(pos: Column, seq: Column | str, max_len: int) -> Column:
 def differing_positions(original: Column, *others: Column) -> Column:
     """Positions (from 0) where every other string differs from the original, up to
     the shortest length."""
-    n = F.least(F.length(original), *(F.length(o) for o in others)) if others else F.length(original)
-    at = lambda s, i: F.substr(s, i + 1, F.lit(1))
+    arrays = F.struct(symbols(original).alias("o"), *(symbols(x).alias(f"x{k}") for k, x in enumerate(others)))
 
-    def every(i: Column) -> Column:
-        test = F.lit(True)
-        for o in others:
-            test = test & (at(o, i) != at(original, i))
-        return test
+    def found(a: Column) -> Column:
+        n = F.least(F.size(a["o"]), *(F.size(a[f"x{k}"]) for k in range(len(others)))) if others else F.size(a["o"])
 
-    return F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), every)).when(n == 0, F.array().cast("array<int>"))
+        def every(i: Column) -> Column:
+            test = F.lit(True)
+            for k in range(len(others)):
+                test = test & (F.get(a[f"x{k}"], i) != F.get(a["o"], i))
+            return test
+
+        return F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), every)).when(n == 0, F.array().cast("array<int>"))
+
+    return let(arrays, found)
 
 
 def features(text: Column | str, kind: str) -> Column:

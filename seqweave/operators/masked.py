@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.functions.sequences import differing_positions, hashed_number, with_letter
+from seqweave.functions.sequences import differing_positions, hashed_number, let, symbols, with_letter
 from seqweave.operators.substitution import ALTERNATIVE_LETTERS
 
 EDGE = "^"
@@ -23,10 +23,11 @@ def masked(seq: Column, pos: Column, mask: str = "?") -> Column:
 
 def neighbour_scores(df: DataFrame, seq: str) -> DataFrame:
     """``prev, next, letter, n``: how often a letter stands between two others."""
-    s = F.concat(F.lit(EDGE), F.col(seq), F.lit(EDGE))
-    at = lambda i: F.substr("s", F.col("i") + i, F.lit(1))
-    each = df.filter(F.length(seq) > 0).select(s.alias("s")).select("s", F.explode(F.sequence(F.lit(1), F.length("s") - 2)).alias("i"))
-    return each.groupBy(at(0).alias("prev"), at(2).alias("next"), at(1).alias("letter")).agg(F.count("*").alias("n"))
+    edge = F.array(F.lit(EDGE))
+    three = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 2), lambda i: F.struct(F.get(a, i - 1).alias("prev"), F.get(a, i + 1).alias("next"), F.get(a, i).alias("letter")))
+    # only the three letters leave a sequence, never copies of the whole
+    each = df.filter(F.length(seq) > 0).select(F.explode(let(F.concat(edge, symbols(seq), edge), three)).alias("x"))
+    return each.groupBy("x.prev", "x.next", "x.letter").agg(F.count("*").alias("n"))
 
 
 def softmax(scores: Column) -> Column:
@@ -45,15 +46,20 @@ def win_rates(df: DataFrame, scores: DataFrame, *by: str, max_pos: int | None =
     original, as shares of all such positions, per group. ``max_pos`` leaves out later
     positions, as a model of bounded length does. An unseen letter scores 0; each
     (neighbours, letter) is looked up once per position."""
-    o = F.col("original")
-    diff = differing_positions(o, F.col("mutated"), F.col("alternative"), F.col("baseline"))
-    p = df.select(*by, "original", "mutated", "alternative", "baseline", F.explode(diff).alias("pos"))
+    names = ("original", "mutated", "alternative", "baseline")
+    diff = differing_positions(*(F.col(c) for c in names))
     if max_pos is not None:
-        p = p.filter(F.col("pos") < max_pos)
-    at = lambda c, k: F.substr(c, F.col("pos") + k, F.lit(1))
-    edged = lambda c: F.when(c == "", EDGE).otherwise(c)
-    prev = F.when(F.col("pos") == 0, EDGE).otherwise(at("original", 0))
-    p = p.select(*by, F.col("pos"), prev.alias("prev"), edged(at("original", 2)).alias("next"), at("original", 1).alias("orig"), at("mutated", 1).alias("mut"), at("alternative", 1).alias("alt"), at("baseline", 1).alias("base"))
+        diff = F.filter(diff, lambda i: i < max_pos)
+    arrays = F.struct(diff.alias("d"), *(symbols(c).alias(c) for c in names))
+
+    def places(a: Column) -> Column:
+        o = lambda i: F.coalesce(F.get(a["original"], i), F.lit(EDGE))
+        before = lambda i: F.when(i == 0, EDGE).otherwise(o(i - 1))
+        kinds = zip(("orig", "mut", "alt", "base"), names)
+        cells = [(k, a[c]) for k, c in kinds]
+        return F.transform(a["d"], lambda i: F.struct(before(i).alias("prev"), o(i + 1).alias("next"), *(F.get(x, i).alias(k) for k, x in cells)))
+
+    p = df.select(*by, F.explode(let(arrays, places)).alias("x")).select(*by, "x.*")
     by_place = scores.groupBy("prev", "next").agg(F.map_from_entries(F.collect_list(F.struct("letter", "n"))).alias("m"))
     p = p.join(by_place, ["prev", "next"], "left")
     score = lambda k: F.coalesce(F.element_at("m", F.col(k)), F.lit(0))

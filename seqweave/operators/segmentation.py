@@ -29,11 +29,14 @@ def boundary_accuracy(a: Column, b: Column) -> Column:
 
 def kway_dice(*tokenisations: Column) -> Column:
     """k times the cuts common to all k segmentations over all their cuts."""
-    cuts = [boundaries(t) for t in tokenisations]
-    common, total = cuts[0], F.size(cuts[0])
-    for c in cuts[1:]:
-        common, total = F.array_intersect(common, c), total + F.size(c)
-    return len(cuts) * F.size(common) / total
+
+    def body(cuts: Column) -> Column:
+        common, total = cuts["c0"], F.size(cuts["c0"])
+        for k in range(1, len(tokenisations)):
+            common, total = F.array_intersect(common, cuts[f"c{k}"]), total + F.size(cuts[f"c{k}"])
+        return len(tokenisations) * F.size(common) / total
+
+    return let(F.struct(*(boundaries(t).alias(f"c{k}") for k, t in enumerate(tokenisations))), body)
 
 
 def pair_indices(a: Column, b: Column) -> Column:
