@@ -41,3 +41,12 @@ def without_ancestors(df: DataFrame, key: str, term: str, paths: DataFrame) -> D
     have = df.select(key, F.col(term).alias("child")).distinct()
     covered = have.join(paths.filter("child <> ancestor"), "child").select(key, F.col("ancestor").alias(term)).distinct()
     return df.join(covered, [key, term], "left_anti")
+
+
+def slim_graph(edges: DataFrame, slim: DataFrame, root: str = "root") -> DataFrame:
+    """``child, parent``: the links between members of the slim (``term``), and one to a
+    made root for each member without a parent among them."""
+    s = slim.select("term").distinct()
+    inside = edges.join(s.select(F.col("term").alias("child")), "child", "left_semi").join(s.select(F.col("term").alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
+    tops = s.join(inside.select(F.col("child").alias("term")), "term", "left_anti")
+    return inside.unionByName(tops.select(F.col("term").alias("child"), F.lit(root).alias("parent")))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqweave.session import written
+
 
 def unit_documents(tokens: Column, min_len: int = 0) -> Column:
     """The units of at least ``min_len`` letters, joined by blanks."""
@@ -81,15 +83,42 @@ def cosine_pairs(cells: DataFrame) -> DataFrame:
     return dot.join(named("a"), "a").join(named("b"), "b").select("a", "b", (F.col("dot") / F.col("norm_a") / F.col("norm_b")).alias("cosine"))
 
 
+def _mean_ranks(df: DataFrame, c: str) -> DataFrame:
+    """``c, rank``: the mean rank of each distinct value. Values are cut into ranges,
+    ranked inside each, and moved by the counts of the ranges before."""
+    n = df.groupBy(c).agg(F.count("*").alias("m"))
+    placed = written(n.repartitionByRange(F.col(c)).withColumn("_p", F.spark_partition_id()), "ranks")
+    # one row per range, as many as there are partitions
+    before = placed.groupBy("_p").agg(F.sum("m").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    below = F.coalesce(F.sum("m").over(W.partitionBy("_p").orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_below", below).join(F.broadcast(before.select("_p", "_off")), "_p").select(c, (F.col("_off") + F.col("_below") + (F.col("m") + 1) / 2).alias("rank"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """``n, rho``: rank correlation with mean ranks for ties. Ranks come from the
-    distinct values' counts, so the ordering runs over distinct values only."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-    for c in (x, y):
-        n = d.groupBy(c).agg(F.count("*").alias("m"))
-        below = F.sum("m").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1))
-        d = d.join(n.select(c, (F.coalesce(below, F.lit(0)) + (F.col("m") + 1) / 2).alias(f"_rank_{c}")), c)
-    return d.agg(F.count("*").alias("n"), F.corr(f"_rank_{x}", f"_rank_{y}").alias("rho"))
+    """``n, rho``: rank correlation with mean ranks for ties, over rows where neither value
+    is null or NaN."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    d = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).filter(ok("_x") & ok("_y"))
+    for c in ("_x", "_y"):
+        d = d.join(_mean_ranks(d.select(c), c).withColumnRenamed("rank", f"_rank{c}"), c)
+    return d.agg(F.count("*").alias("n"), F.corr("_rank_x", "_rank_y").alias("rho"))
+
+
+def similarity_correlation(weights: DataFrame, profile: DataFrame, *, strategy: str = "all", n: int = 100, seed: str = "42") -> DataFrame:
+    """``n, rho``: how the cosines between classes by their term weights (``class, term,
+    weight``) rank against those by another profile (``id, dim, v``). ``strategy`` takes
+    all terms, the union of each class's ``n`` heaviest (``top``), or as many terms as
+    that union has, drawn by md5 (``random``)."""
+    w = weights
+    if strategy != "all":
+        union = top_terms(weights, n).select("term").distinct()
+        if strategy == "random":
+            size = union.count()
+            union = weights.select("term").distinct().orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("term"))), "term").limit(size)
+        w = weights.join(union, "term", "left_semi")
+    a = cosine_pairs(w.select(F.col("class").alias("id"), F.col("term").alias("dim"), F.col("weight").alias("v"))).withColumnRenamed("cosine", "x")
+    b = cosine_pairs(profile).withColumnRenamed("cosine", "y")
+    return spearman(a.join(b, ["a", "b"]), "x", "y")
 
 
 def spearman_p(n: int, rho: float) -> float:

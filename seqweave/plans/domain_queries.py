@@ -15,7 +15,7 @@ from seqweave.operators import segmentation as S
 from seqweave.operators import substitution as B
 from seqweave.operators import topics as T
 from seqweave.operators import variants as V
-from seqweave.operators.corpus import first_rows, undersampled
+from seqweave.operators.corpus import adjacent_pairs, first_rows, undersampled
 from seqweave.plans.tables import table
 
 QUERIES, SQL = {}, {}
@@ -429,3 +429,46 @@ def cutoff_difference(s: SparkSession, d: str) -> DataFrame:
     g = m.groupBy(F.regexp_extract("config_id", "_([a-z]+[0-9]+)_", 1).alias("mat"), F.regexp_extract("config_id", "mutbpe_([0-9.]+)_", 1).alias("cut")).agg(F.avg("x").alias("x"))
     a, b = (g.filter(F.col("cut") == c).select("mat", F.col("x").alias(f"x{c[-1]}")) for c in ("0.8", "0.9"))
     return a.join(b, "mat").select("mat", F.round(F.col("x8") - F.col("x9"), 9).alias("diff"))
+
+
+@query("SELECT entry, array_to_string(list_filter(list_transform(range(1, length(s) + 1, 4), lambda i: substr(s, i, 4)), lambda t: length(t) >= 4), ' ') AS document, s AS rebuilt FROM (SELECT entry, any_value(sequence) AS s FROM proteins WHERE sequence <> '' GROUP BY 1)")
+def unit_documents(s: SparkSession, d: str) -> DataFrame:
+    return proteins(s, d).select("entry", T.unit_documents(kmers("s", 4), 4).alias("document"), F.array_join(kmers("s", 4), "").alias("rebuilt"))
+
+
+@query(
+    f"""WITH {SUBST}, t AS (SELECT DISTINCT token FROM vocab_entries WHERE length(token) = 2 AND NOT regexp_matches(token, '[^A-IK-NP-TV-Z]')),
+x AS (SELECT token, a1.b || a2.b AS mutated FROM t JOIN subst a1 ON a1.a = substr(token, 1, 1) JOIN subst a2 ON a2.a = substr(token, 2, 1) WHERE a1.score >= 0 AND a2.score >= 0 AND (a1.b = a1.a OR a2.b = a2.a)),
+p AS (SELECT substr(sequence, i, 1) AS l, substr(sequence, i + 1, 1) AS r, count(*) AS cnt FROM (SELECT sequence, unnest(range(1, length(sequence))) AS i FROM proteins) GROUP BY 1, 2)
+SELECT token, l AS "left", r AS "right", cnt FROM x JOIN p ON mutated = l || r"""
+)
+def pairs_spelling_mutations(s: SparkSession, d: str) -> DataFrame:
+    """Adjacent pairs that spell a one-letter variant of a two-letter unit, or itself."""
+    t = table(s, d, "vocab_entries").select("token").distinct().filter("length(token) = 2 AND NOT token RLIKE '[^A-IK-NP-TV-Z]'")
+    m = B.matrix_frame(s, matrix()).filter("score >= 0")
+    x, y = (m.select(F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}")) for k in (1, 2))
+    v = t.join(x, F.substr("token", F.lit(1), F.lit(1)) == F.col("a1")).join(y, F.substr("token", F.lit(2), F.lit(1)) == F.col("a2")).filter("a1 = b1 OR a2 = b2")
+    p = adjacent_pairs(table(s, d, "proteins"))
+    return v.select("token", F.concat("b1", "b2").alias("mutated")).join(p, F.col("mutated") == F.concat("left", "right")).select("token", "left", "right", "cnt")
+
+
+@query(f"WITH RECURSIVE {_UP}, {_SLIM}, i AS (SELECT DISTINCT child, parent FROM e WHERE child IN (SELECT term FROM sl) AND parent IN (SELECT term FROM sl)) SELECT child, parent FROM i UNION ALL SELECT term, 'root' FROM sl WHERE term NOT IN (SELECT child FROM i)")
+def slim_graph(s: SparkSession, d: str) -> DataFrame:
+    e = _isa(s, d)
+    return O.slim_graph(e, e.groupBy("parent").count().filter("count >= 40").select(F.col("parent").alias("term")))
+
+
+_GC = "x AS (SELECT organism_id % 10 AS class, term, count(*) AS n FROM (SELECT organism_id, unnest(list_transform(range(1, length(sequence) + 1, 3), lambda i: substr(sequence, i, 3))) AS term FROM proteins WHERE sequence <> '' AND organism_id IS NOT NULL) GROUP BY 1, 2)"
+
+
+@query(
+    f"""WITH {_GC}, {_MEAN}, w AS ({_TFIDF.format(t='x')}), u AS (SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY class ORDER BY weight DESC, term) AS r FROM w) WHERE r <= 200), z AS (SELECT * FROM w WHERE term IN (SELECT term FROM u)),
+nn AS (SELECT class, sqrt(sum(weight * weight)) AS norm FROM z GROUP BY 1), k AS (SELECT a.class AS a, b.class AS b, sum(a.weight * b.weight) AS dot FROM z a JOIN z b USING (term) WHERE a.class < b.class GROUP BY 1, 2),
+q AS (SELECT dot / n1.norm / n2.norm AS x, cosine AS y FROM k JOIN nn n1 ON n1.class = k.a JOIN nn n2 ON n2.class = k.b JOIN c ON c.a = k.a AND c.b = k.b),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM q) SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r"""
+)
+def profile_correlation(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "proteins").filter("sequence <> ''").select((F.col("organism_id") % 10).alias("g"), kmers("sequence", 3).alias("t"))
+    e = table(s, d, "embeddings").select(F.col("label").alias("id"), F.posexplode("embedding").alias("dim", "v")).groupBy("id", "dim").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    x = T.similarity_correlation(T.class_tfidf(T.class_counts(p, "g", "t")), e, strategy="top", n=200)
+    return x.select("n", F.round("rho", 6).alias("rho"))

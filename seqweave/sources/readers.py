@@ -6,6 +6,8 @@ left out, and ``rejected=True`` gives those instead where the format allows it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,3 +113,48 @@ def config_files(spark: SparkSession, path: str, prefix: str, without: tuple = (
     p = jvm.org.apache.hadoop.fs.Path(path)
     names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
     return sorted(n for n in names if n.startswith(prefix) and not any(w in n for w in without) and (plain or "_bpe_" not in n))
+
+
+def load_vocabularies(spark: SparkSession, path: str, configs: list[str]) -> DataFrame:
+    """Some configurations of a vocabulary table stored by ``config_id``: only their
+    folders are read."""
+    return spark.read.parquet(path).filter(F.col("config_id").isin(*configs))
+
+
+def fetch_pages(ids: DataFrame, ident: str, fetch: Callable[[list, int], list[dict]], schema: str, *, batch: int = 100, page_rows: int = 200) -> DataFrame:
+    """Rows of a paged service: ids are asked for in batches, page by page from 1, until a
+    page comes short. ``fetch(ids, page)`` makes one call and does its own waiting and
+    repeating; batches are spread over the tasks, so it should be safe to repeat."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        columns = [c.strip().split()[0] for c in schema.split(",")]
+        for f in frames:
+            names = list(f[ident])
+            for i in range(0, len(names), batch):
+                page = 1
+                while True:
+                    rows = fetch(names[i : i + batch], page)
+                    if rows:
+                        yield pd.DataFrame(rows, columns=columns)
+                    if len(rows) < page_rows:
+                        break
+                    page += 1
+
+    return ids.select(ident).filter(F.col(ident).isNotNull()).distinct().mapInPandas(run, schema)
+
+
+def download(url: str, path: str, chunk: int = 8192) -> str:
+    """A file of the network, written in chunks; an archive is unpacked beside it."""
+    import os
+    import tarfile
+    import urllib.request
+
+    with urllib.request.urlopen(url, timeout=60) as src, open(path, "wb") as out:
+        while block := src.read(chunk):
+            out.write(block)
+    if tarfile.is_tarfile(path):
+        with tarfile.open(path) as t:
+            t.extractall(os.path.dirname(path) or ".", filter="data")
+    return path

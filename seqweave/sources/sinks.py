@@ -15,6 +15,22 @@ def overwrite_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
+#: Annotation tables, and the columns that tell their rows apart (see ``insert_or_ignore``).
+TABLES = {
+    "uniprot_quickgo_annotations": ("uniprot_id STRING NOT NULL, go_id STRING NOT NULL, go_name STRING, go_aspect STRING, go_evidence STRING, evidence_code STRING, qualifier STRING, assigned_by STRING, date_created STRING", ["uniprot_id", "go_id"]),
+    "interpro_go_mapping": ("interpro_id STRING NOT NULL, interpro_description STRING, go_id STRING NOT NULL, go_name STRING", ["interpro_id", "go_id"]),
+    "prosite_entries": ("prosite_id STRING NOT NULL, uniprot_id STRING NOT NULL, prosite_name STRING, uniprot_name STRING, sequence_start INT, sequence_end INT, score DOUBLE, sequence STRING, aligned_sequence STRING", ["prosite_id", "uniprot_id", "sequence_start", "sequence_end"]),
+    "prosite_go_mapping": ("prosite_id STRING NOT NULL, prosite_description STRING, go_id STRING NOT NULL, go_name STRING", ["prosite_id", "go_id"]),
+    "prosite_patterns": ("prosite_name STRING, prosite_id STRING NOT NULL, date STRING, description STRING, pattern STRING", ["prosite_id"]),
+}
+
+
+def create_tables(spark, database: str = "default") -> None:
+    """The annotation tables, where they do not exist yet."""
+    for name, (columns, _) in TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+
+
 def tables(spark) -> list[str]:
     """The catalog's tables."""
     return sorted(t.name for t in spark.catalog.listTables())

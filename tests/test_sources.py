@@ -87,3 +87,31 @@ def test_random_clone_has_no_collisions(spark):
     got = random_clone(vocabulary(df), "ACD", tries=40).collect()
     names = [r["token"] for r in got]
     assert len(set(names)) == len(names) and {"A", "C"} <= set(names) and all(len(r["token"]) == (1 if r["token_id"] < 2 else 2) for r in got)
+
+
+def test_paged_source(spark):
+    def fetch(ids, page):
+        rows = [{"id": i, "n": k} for i in ids for k in range(5)]
+        return rows[(page - 1) * 4 : page * 4]
+
+    ids = spark.createDataFrame([(f"a{i}",) for i in range(7)] + [(None,), ("a1",)], "id string").coalesce(1)
+    got = R.fetch_pages(ids, "id", fetch, "id string, n long", batch=3, page_rows=4).collect()
+    assert sorted(map(tuple, got)) == sorted((f"a{i}", k) for i in range(7) for k in range(5))
+
+
+def test_download_and_tables(spark, tmp_path):
+    import tarfile
+
+    (tmp_path / "src").mkdir()
+    put(tmp_path / "src" / "inner.txt", "x")
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        t.add(tmp_path / "src" / "inner.txt", arcname="inner.txt")
+    (tmp_path / "to").mkdir()
+    R.download((tmp_path / "a.tar").as_uri(), str(tmp_path / "to" / "b.tar"))
+    assert (tmp_path / "to" / "inner.txt").read_text() == "x"
+    assert set(K.TABLES) >= {"prosite_entries", "prosite_patterns"}
+    spark.createDataFrame([("c1", "A"), ("c2", "B")], "config_id string, token string").write.partitionBy("config_id").parquet(str(tmp_path / "v"))
+    df = R.load_vocabularies(spark, str(tmp_path / "v"), ["c2"])
+    assert [r["token"] for r in df.collect()] == ["B"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "config_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
