@@ -144,6 +144,29 @@ def _gather(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return text[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(total)]
 
 
+def _distinct(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct stretches, in the given order, and which of them each one is. Equal
+    hashes are verified letter by letter."""
+    powers = np.cumprod(np.full(int(length.max()), _B, dtype=np.uint64))
+    first = np.cumsum(length) - length
+    at = np.arange(int(length.sum())) - np.repeat(first, length)
+    key = np.add.reduceat((_gather(text, begin, length).astype(np.uint64) + np.uint64(1)) * powers[at], first)
+    _, rep, inverse = np.unique(_mixed(key + length.astype(np.uint64)), return_index=True, return_inverse=True)
+    r = rep[inverse]
+    same = length[r] == length
+    copies = np.flatnonzero(same & (r != np.arange(len(r))))
+    for j in range(int(length[copies].max(initial=0))):
+        k = np.minimum(j, length[copies] - 1)
+        same[copies] &= text[begin[copies] + k] == text[begin[r[copies]] + k]
+    odd = np.flatnonzero(~same)
+    inverse[odd] = len(rep) + np.arange(len(odd))
+    rep = np.concatenate([rep, odd])
+    order = np.argsort(rep, kind="stable")  # the order given, which is by length
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return rep[order], place[inverse]
+
+
 def _chunk_of(t: pa.Table, i: int, k: int, span: int, shards: int) -> _Stretches:
     lens = np.array(t["lens"][i].values)
     kind = np.uint32 if t["wide"][i].as_py() else np.uint8
@@ -238,20 +261,28 @@ def _answer(span: int):
             kept = kept[np.argsort(-length[kept], kind="stable")]  # longest first
             begin = (np.cumsum(length) - length)[kept]
             length, rec, several, origin, place = (a[kept] for a in (length, rec, several, origin, place))
-            flat = _gather(text, begin, length)
-            symbols, dense = np.unique(flat, return_inverse=True)
+            # copies sent by several chunks stand in the index once
+            rep, inverse = _distinct(text, begin, length)
+            low, high = np.full(len(rep), np.iinfo(np.int64).max), np.full(len(rep), np.iinfo(np.int64).min)
+            np.minimum.at(low, inverse, rec)
+            np.maximum.at(high, inverse, rec)
+            more = low != high
+            np.logical_or.at(more, inverse, several)
+            size = length[rep]
+            symbols, dense = np.unique(_gather(text, begin[rep], size), return_inverse=True)
             sigma = len(symbols) + 1
-            shard = _spread(dense.astype(np.uint8 if sigma < 256 else np.uint32), length)
+            shard = _spread(dense.astype(np.uint8 if sigma < 256 else np.uint32), size)
             index = FMIndex(shard, sigma, span)
             # which blocks of equal windows different records hold
-            owner = np.repeat(np.arange(len(length)), length + 1)[index.order]
+            owner = np.repeat(np.arange(len(size)), size + 1)[index.order]
             starts = index.starts[:-1]
-            shared = np.minimum.reduceat(rec[owner], starts) != np.maximum.reduceat(rec[owner], starts)
-            shared |= np.logical_or.reduceat(several[owner], starts)
-            found = np.zeros((len(length), _MOST + 2), dtype=bool)
-            start = np.cumsum(length + 1) - length - 1
-            for docs, window, block in index.block_matches(start, length):
+            shared = np.minimum.reduceat(low[owner], starts) != np.maximum.reduceat(low[owner], starts)
+            shared |= np.logical_or.reduceat(more[owner], starts)
+            found = np.zeros((len(size), _MOST + 2), dtype=bool)
+            start = np.cumsum(size + 1) - size - 1
+            for docs, window, block in index.block_matches(start, size):
                 found[docs, window + 1] = shared[block]
+            found = found[inverse]
             edge = found[:, 1:] != found[:, :-1]
             doc, at = np.nonzero(edge)
             doc, a, e = doc[::2], at[::2], at[1::2] - 1
