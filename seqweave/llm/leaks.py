@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORDS = regex.compile(r"[^\W_]+|\x01").findall
+_WORDS = regex.compile(r"[\p{L}\p{N}]+|\x01").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PART = 2_000_000  # characters worked on at once
 

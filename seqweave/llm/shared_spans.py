@@ -359,6 +359,8 @@ def shared_spans(records: DataFrame, src: str, record_id: str, sequence: str, *,
     total = chunks.agg(F.sum("chars")).first()[0] or 0
     shards = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_chars))
     sent = chunks.select("chunk", "recs", "lens", "wide", "body").mapInArrow(_send(anchor, span, shards), "chunk string, shard int, n int, wide boolean, body binary, rest binary")
-    answers = sent.groupBy("shard").applyInArrow(_answer(span), "chunk string, shard int, n int, runs binary")
-    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_resolve(anchor, span, shards), "src string, id string, span_start long, span_end long")
+    # some shards or chunks to a task, however few partitions the session has
+    several = lambda df, key, chars: df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * chars))), key)
+    answers = several(sent, "shard", shard_chars).groupBy("shard").applyInArrow(_answer(span), "chunk string, shard int, n int, runs binary")
+    found = several(chunks, "chunk", chunk_chars).groupBy("chunk").cogroup(several(answers, "chunk", chunk_chars).groupBy("chunk")).applyInArrow(_resolve(anchor, span, shards), "src string, id string, span_start long, span_end long")
     return found.distinct()

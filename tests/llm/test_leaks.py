@@ -9,6 +9,8 @@ SCHEMA = "k long, text string, longest int"
 
 def test_words():
     assert words("Ab-c_d 1,5\nÄß x\x01y") == ["ab", "c", "d", "1", "5", "äß", "x", "y"]
+    # marks, joiners and connectors only separate
+    assert words("a\u0301b c\u200dd e\u203ff soft\u00adhyphen") == ["a", "b", "c", "d", "e", "f", "soft", "hyphen"]
 
 
 def test_runs_against_brute_force(spark):
