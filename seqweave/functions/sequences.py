@@ -39,8 +39,14 @@ def kmers(seq: Column | str, k: int) -> Column:
 
 def boundaries(tokens: Column | str) -> Column:
     """Cut positions of a tokenisation, 0 and the end among them."""
-    t = _c(tokens)
-    return F.aggregate(t, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
+    # the sums grow as text: appending to an array copies it boxed in every step
+    start = F.struct(F.lit(0).alias("at"), F.lit("0").alias("s"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x)
+        return F.struct(at.alias("at"), F.concat(acc["s"], F.lit(","), at.cast("string")).alias("s"))
+
+    return F.aggregate(_c(tokens), start, step, lambda acc: F.split(acc["s"], ",").cast("array<int>"))
 
 
 def offsets(tokens: Column | str) -> Column:

@@ -62,3 +62,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove everything the operators wrote to the shared folder. Results that have not
+    been read or written elsewhere yet are lost with it."""
+    delete_path(spark, f"{shared_dir(spark)}/seqweave")
