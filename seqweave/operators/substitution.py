@@ -8,6 +8,8 @@ It has at most a few hundred cells, so it enters plans as a literal.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,22 +102,63 @@ def alternatives(matrix: dict) -> dict[tuple[str, str], list[tuple[str, float]]]
     return out
 
 
-def alternative_units(pairs: DataFrame, units: DataFrame, matrix: dict, max_len: int) -> DataFrame:
-    """Adds ``alt`` and ``score`` to pairs (``config_id, token, mutation, ...``): every
-    unit (``config_id, unit``) that differs from the mutation wherever that differs
-    from the token, by an alternative each, and equals it elsewhere; the score sums
-    what is gained. The strings grow letter by letter along the prefixes of the units,
-    so none is built that no unit begins with. Pairs of unequal length have none."""
-    cells = [(o, m, a, g) for (o, m), v in alternatives(matrix).items() for a, g in v]
-    # a row per substitution and alternative letter: fixed by the alphabet, a few thousand
-    table = F.broadcast(pairs.sparkSession.createDataFrame(cells, "_o string, _m string, _c string, _gain double"))
-    prefixes = units.filter(F.length("unit") <= max_len).select("config_id", F.length("unit").alias("_n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("unit")), lambda k: F.substr(F.col("unit"), F.lit(1), k))).alias("_alt")).distinct()
-    state = pairs.filter((F.length("token") == F.length("mutation")) & (F.col("token") != F.col("mutation")) & (F.length("token") <= max_len))
-    state = state.withColumns({"_n": F.length("token"), "_alt": F.lit(""), "_score": F.lit(0.0)})
-    for i in range(1, max_len + 1):
-        at = lambda c: F.substr(c, F.lit(i), F.lit(1))  # noqa: B023, E731
-        grown = state.withColumns({"_o": at("token"), "_m": at("mutation")}).join(table, ["_o", "_m"], "left").filter("_o = _m OR _c IS NOT NULL")
-        grown = grown.select(*pairs.columns, "_n", F.concat("_alt", F.coalesce("_c", "_o")).alias("_alt"), (F.col("_score") + F.coalesce("_gain", F.lit(0.0))).alias("_score"))
-        # beyond its end a string is held against the whole unit again
-        state = grown.join(prefixes.filter(F.length("_alt") == F.least(F.lit(i), F.col("_n"))), ["config_id", "_n", "_alt"], "left_semi")
-    return state.drop("_n").withColumnsRenamed({"_alt": "alt", "_score": "score"})
+def first_alternatives(v: DataFrame, matrix: dict, *, block_tokens: int = 2_000) -> DataFrame:
+    """``config_id, token, mutation, alternative, score``: for each mutated unit of a
+    vocabulary the first mutation of its parent (in order of token id, of the unit's
+    length, not the unit itself) that has an alternative. That is a unit of the vocabulary
+    outside the family, merged later than the mutation, that differs from it by an
+    alternative wherever the mutation differs from the token and equals it elsewhere; the
+    best sum of gains, then the name, decides. Units of one configuration and length meet
+    in a task, the tokens asked for in blocks of about ``block_tokens``."""
+    letters = {x: i for i, x in enumerate(sorted({x for k in matrix for x in k} | set(ALTERNATIVE_LETTERS)))}
+    gains = {}
+    for (o, m), found in alternatives(matrix).items():
+        row = np.full(len(letters), np.nan)
+        for c, g in found:
+            row[letters[c]] = g
+        gains[o, m] = row
+
+    def run(asked: pa.Table, units: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        rows = sorted(zip(*(units[c].to_pylist() for c in ("unit", "unit_parent", "unit_order", "unit_id"))))
+        names = [r[0] for r in rows]
+        order = np.array([-np.inf if r[2] is None else r[2] for r in rows], dtype=float)
+        family = np.array([r[1] or "" for r in rows], dtype=object)
+        text = np.array([list(n) for n in names], dtype="U1").reshape(len(names), -1) if names else np.zeros((0, 0), dtype="U1")
+        code = np.full(text.shape, len(letters))
+        for x, k in letters.items():
+            code[text == x] = k
+        pool: dict = {}
+        for r in sorted(rows, key=lambda r: r[3]):
+            if r[1] is not None:
+                pool.setdefault(r[1], []).append((r[0], r[2]))
+        for token, parent in zip(asked["token"].to_pylist(), asked["parent"].to_pylist()):
+            for mutation, after in pool.get(parent, ()):
+                if mutation == token or after is None:
+                    continue
+                at, score = np.flatnonzero(order > after), None
+                for i, (o, m) in enumerate(zip(token, mutation)):
+                    if o == m:
+                        at = at[text[at, i] == o]
+                    elif (o, m) in gains:
+                        at = at[~np.isnan(np.append(gains[o, m], np.nan)[code[at, i]])]
+                    else:
+                        at = at[:0]
+                at = [a for a in at if family[a] != parent and names[a] not in (token, parent)]
+                if at:
+                    score = [sum(gains[o, m][code[a, i]] for i, (o, m) in enumerate(zip(token, mutation)) if o != m) for a in at]
+                    best = max(range(len(at)), key=lambda k: (score[k], -k))  # noqa: B023
+                    out.append((asked["config_id"][0].as_py(), token, mutation, names[at[best]], float(score[best])))
+                    break
+        cols = list(zip(*out)) if out else [[]] * 5
+        return pa.table([pa.array(list(c), type=pa.float64() if k == 4 else pa.string()) for k, c in enumerate(cols)], names=["config_id", "token", "mutation", "alternative", "score"])
+
+    n = F.length("token").alias("n")
+    asked = v.filter("parent IS NOT NULL").select("config_id", n, "token", "parent")
+    blocks = asked.groupBy("config_id", "n").agg(F.ceil(F.count("*") / block_tokens).cast("int").alias("blocks"))
+    asked = asked.join(blocks, ["config_id", "n"]).withColumn("block", F.pmod(F.xxhash64("token"), "blocks").cast("int")).drop("blocks")
+    # aliased, so that the two sides of the cogroup name different columns
+    units = v.select(F.col("config_id").alias("config_id"), n, F.col("token").alias("unit"), F.col("parent").alias("unit_parent"), F.col("merge_order").alias("unit_order"), F.col("token_id").alias("unit_id"))
+    units = units.join(blocks, ["config_id", "n"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    key = ("config_id", "n", "block")
+    return asked.groupBy(*key).cogroup(units.groupBy(*key)).applyInArrow(run, "config_id string, token string, mutation string, alternative string, score double")

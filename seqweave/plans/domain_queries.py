@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqweave.functions.ids import ACCESSION_SQL, GO_SQL, canonical_accession, canonical_go
@@ -18,7 +17,6 @@ from seqweave.operators import topics as T
 from seqweave.operators import variants as V
 from seqweave.operators.corpus import adjacent_pairs, undersampled
 from seqweave.plans.tables import table
-from seqweave.session import written
 
 QUERIES, SQL = {}, {}
 
@@ -79,32 +77,6 @@ def substitution_alternatives(s: SparkSession, d: str) -> DataFrame:
     return m.filter("a <> b").join(x, "a").filter("alt_score >= score AND alt <> a AND alt <> b").select(F.col("a").alias("orig"), F.col("b").alias("mut"), "alt", (F.col("alt_score") - F.col("score")).alias("gain"))
 
 
-def replacements(v: DataFrame, lettering: dict) -> DataFrame:
-    """``config_id, token, mutation, alternative, score``: for each mutated unit the first
-    mutation of its parent (in order of token id) that has an alternative: a unit of the
-    vocabulary outside the family, merged later than the mutation, that differs from it
-    wherever the mutation differs from the token; the best sum, then the name, decides."""
-    v = written(v, "units")
-    kid = v.filter("parent IS NOT NULL").select("config_id", "parent", "token", "token_id", "merge_order")
-    pool = kid.select("config_id", "parent", F.col("token").alias("mutation"), F.col("token_id").alias("pool_id"), F.col("merge_order").alias("mutation_order"), F.row_number().over(W.partitionBy("config_id", "parent").orderBy("token_id")).alias("nth"))
-    pool = written(pool, "pool")
-    known = v.select("config_id", F.col("token").alias("alt"), F.col("merge_order").alias("alt_order"), F.col("parent").alias("alt_parent"))
-    left, best, low = kid.select("config_id", "parent", "token"), None, 1
-    # most tokens find an alternative for one of the first mutations: the pool is
-    # tried from its head in ever longer stretches, with the tokens still without one
-    while True:
-        pairs = left.join(pool.filter((F.col("nth") >= low) & (F.col("nth") < 2 * low)), ["config_id", "parent"])
-        if low > 1 and pairs.isEmpty():
-            break
-        options = B.alternative_units(pairs, v.select("config_id", F.col("token").alias("unit")), lettering, 14)
-        fit = options.join(known, ["config_id", "alt"]).filter("alt_order > mutation_order AND alt <> token AND alt <> parent AND NOT coalesce(alt_parent = parent, false)")
-        won = written(fit.groupBy("config_id", "token").agg(F.min(F.struct("pool_id", (-F.col("score")).alias("loss"), "alt", "mutation")).alias("x")).select("config_id", "token", "x.mutation", "x.alt", (-F.col("x.loss")).alias("score")), "won")
-        best = won if best is None else best.unionByName(won)
-        left = written(left.join(won.select("config_id", "token"), ["config_id", "token"], "left_anti"), "left")
-        low *= 2
-    return best.select("config_id", "token", "mutation", F.col("alt").alias("alternative"), "score")
-
-
 @query(
     f"""WITH {VOCAB}, {SUBST}, alt AS (SELECT m.a AS o, m.b AS mu, x.b AS al, x.score - m.score AS gain FROM subst m JOIN subst x ON x.a = m.a AND x.score >= m.score AND x.b NOT IN (m.a, m.b) WHERE m.a <> m.b AND 'X' NOT IN (m.a, m.b, x.b)),
 k AS (SELECT * FROM v WHERE parent IS NOT NULL),
@@ -116,7 +88,7 @@ sc AS (SELECT config_id, token, mutation, pool_id, alternative, sum(CASE WHEN su
 SELECT config_id, token, mutation, alternative, score::DOUBLE AS score FROM sc WHERE ok = n QUALIFY row_number() OVER (PARTITION BY config_id, token ORDER BY pool_id, score DESC, alternative) = 1"""
 )
 def alternative_replacement(s: SparkSession, d: str) -> DataFrame:
-    return replacements(vocab(s, d), matrix())
+    return B.first_alternatives(vocab(s, d), matrix())
 
 
 # ---------------------------------------------------------------- genealogy

@@ -9,9 +9,9 @@ from seqweave.operators import masked as M
 from seqweave.operators import variants as V
 from seqweave.operators.encoding import encode, export
 from seqweave.operators.genealogy import families
-from seqweave.operators.substitution import class_matrix
+from seqweave.operators.substitution import class_matrix, first_alternatives
 from seqweave.operators.trainer import Rules, train_distributed
-from seqweave.plans.domain_queries import _MUT, _mutated, proteins, replacements, vocab
+from seqweave.plans.domain_queries import _MUT, _mutated, proteins, vocab
 from seqweave.plans.tables import table
 from seqweave.session import new_path
 from seqweave.sources import readers as R
@@ -140,7 +140,7 @@ def unit_replacement_experiment(s: SparkSession, d: str) -> DataFrame:
     """The learned family vocabulary's replacements over all proteins, scored."""
     v = _family(s, d)
     e = encode(proteins(s, d), "s", _model(v)).select(F.lit("family").alias("config_id"), F.col("entry").alias("seq_id"), F.col("encoding.token").alias("tokens"))
-    changed = M.replaced_sequences(e, replacements(v, class_matrix()))
+    changed = M.replaced_sequences(e, first_alternatives(v, class_matrix()))
     return changed.groupBy("config_id").agg(F.count("*").alias("sequences"), F.sum("changes").alias("changes"), F.sum("score").alias("score"))
 
 
