@@ -6,8 +6,9 @@ and in lists of links both go equally well, or one collocation follows on
 itself: the gain of the neighbour over the words beyond is near nothing. Stretches
 without gain show which words keep incoherent company; a word's association with
 such stretches, learned from all documents in a few rounds, marks the phrase
-lists and tags made of the same matter. Counts are kept in hashed arrays of a
-fixed size, so what is broadcast does not grow with the corpus.
+lists and tags made of the same matter. Counts are exact at every size of the
+corpus: words and pairs are counted in buckets of their hash, and each chunk of
+documents asks the buckets for what it needs. Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,14 +74,23 @@ def _batch(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((get(w) for s in split for w in s), dtype=np.uint32, count=int(lens.sum())), lens
 
 
-def _slot(a: np.ndarray, size: int, b: np.ndarray | None = None) -> np.ndarray:
-    h = a.astype(np.uint64)
-    if b is not None:
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    h = (keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ (keys + np.uint64(0x632BE59BD9B4E019))
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(30)
-    return (h % np.uint64(size)).astype(np.int64)
+    return (h % np.uint64(n)).astype(np.int64)
+
+
+def _pairs(forms: np.ndarray, d: int) -> np.ndarray:
+    """Keys of each word and the one ``d`` further: both forms in full. The form 0
+    (``_NONE``) is no word's, so a form by itself is a key too and equals no pair's."""
+    return (forms[:-d].astype(np.uint64) << np.uint64(32)) | forms[d:]
+
+
+def _asked(forms: np.ndarray, doc: np.ndarray, reach: int) -> np.ndarray:
+    """The keys whose counts a chunk needs, each once, in order."""
+    return np.unique(np.concatenate([forms.astype(np.uint64), *(_pairs(forms, d)[doc[:-d] == doc[d:]] for d in range(1, min(reach, len(forms) - 1) + 1))]))
 
 
 class _Places:
@@ -102,28 +113,31 @@ class _Places:
         return np.where(w > 0, (sums[self.hi] - sums[self.lo]) / np.maximum(w, 1), 0.0)
 
 
-def _salad(forms: np.ndarray, at: _Places, ones: np.ndarray, twos: np.ndarray, total: int, gain_below: float, reach: int = 4) -> np.ndarray:
+_REACH = 4  # words that the next word is held against, and itself
+
+
+def _salad(forms: np.ndarray, at: _Places, keys: np.ndarray, counts_of: np.ndarray, total: int, gain_below: float, reach: int = _REACH) -> np.ndarray:
     """Which words stand in a stretch where the PMI with the next word exceeds that
     with the words beyond by less than ``gain_below`` on average. Pairs of numbers,
     codes and marks, which have no wording, and pairs that are a fixed collocation
     of two words do not count."""
     n = len(forms)
-    noise = total / len(twos)
     worded = (forms >= _LINK) & (forms != _MARK)
-    count = np.maximum(ones[_slot(forms, len(ones))], 1.0)
+    count = np.maximum(counts_of[np.searchsorted(keys, forms.astype(np.uint64))], 1.0)
     one = np.log(count)
     near, far, clear = np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool)
     has, beyond = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
     for d in range(1, min(reach, n - 1) + 1):
-        live = (at.doc[:-d] == at.doc[d:]) & worded[:-d] & worded[d:]
-        seen = twos[_slot(forms[:-d], len(twos), forms[d:])]
-        clear[: n - d] |= seen > 1 + noise + 3 * noise**0.5
-        # less what other pairs put into the slot on average; an unseen pair has
-        # half an occurrence, or as much as that average
-        pmi = np.log(np.maximum(seen - noise, 0.5 + noise)) + np.log(max(total, 1)) - one[:-d] - one[d:]
+        same = at.doc[:-d] == at.doc[d:]
+        live = same & worded[:-d] & worded[d:]
+        seen = np.zeros(n - d)
+        seen[same] = counts_of[np.searchsorted(keys, _pairs(forms, d)[same])]
+        clear[: n - d] |= seen > 1
+        # an unseen pair has half an occurrence
+        pmi = np.log(np.maximum(seen, 0.5)) + np.log(max(total, 1)) - one[:-d] - one[d:]
         if d == 1:
             # a fixed collocation says nothing of the order of what it stands in
-            fixed = seen - noise > 0.3 * np.maximum(count[:-d], count[d:])
+            fixed = seen > 0.3 * np.maximum(count[:-d], count[d:])
             near[: n - d], has[: n - d] = pmi, live & ~(fixed & (forms[:-d] != forms[d:]))
         else:
             far[: n - d] += np.where(live, pmi, 0.0)
@@ -134,11 +148,11 @@ def _salad(forms: np.ndarray, at: _Places, ones: np.ndarray, twos: np.ndarray, t
 
 
 def _marks(forms: np.ndarray, at: _Places, salad: np.ndarray, weight: np.ndarray | None, lean: float) -> np.ndarray:
-    """Which words stand in incoherent matter, as far as is known yet."""
+    """Which words stand in incoherent matter, as far as is known yet; ``weight`` is each word's."""
     if weight is None:
         return salad
     telling = (forms >= _LINK) | (forms == _NONE)
-    mean = at.mean(weight[_slot(forms, len(weight))], telling)
+    mean = at.mean(weight, telling)
     # the words of prose in any order keep their own company and are not meant
     return (at.mean(telling) > 0.25) & ((mean > lean) | (salad & (mean > 0)))
 
@@ -147,16 +161,20 @@ def _marks(forms: np.ndarray, at: _Places, salad: np.ndarray, weight: np.ndarray
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).view(np.uint8), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(a).view(np.uint8), codec="zstd", asbytes=True) if len(a) else b""
+
+
+def _open(raw: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd"), dtype=kind) if n else np.zeros(0, dtype=kind)
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     lens = np.array(row["lens"], dtype=np.int64)
-    n = int(lens.sum())
-    return (np.frombuffer(pa.decompress(row["forms"], n * 4, codec="zstd"), dtype=np.uint32) if n else np.zeros(0, dtype=np.uint32)), lens
+    return _open(row["forms"], int(lens.sum()), np.uint32), lens
 
 
 def _to_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chunk = TaskContext.get().partitionId() << 33
     for b in batches:
         texts = b.column(1).to_pylist()
         start = 0
@@ -168,61 +186,115 @@ def _to_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forms, lens = _batch(texts[start:stop])
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], type=pa.int32()), a)
             ids = pa.concat_arrays([b.column(0).slice(start, stop - start)])
-            yield pa.RecordBatch.from_arrays([one(ids), one(pa.array(lens)), pa.array([_pack(forms)], type=pa.binary())], names=["ids", "lens", "forms"])
-            start = stop
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), one(ids), one(pa.array(lens)), pa.array([_pack(forms)], type=pa.binary())], names=["chunk", "ids", "lens", "forms"])
+            chunk, start = chunk + 1, stop
 
 
-_BLOCK = 1 << 16  # slots of a block of counts
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    named = [c.split() for c in schema.split(", ")]
+    cols = list(zip(*rows)) if rows else [()] * len(named)
+    return pa.table([pa.array(list(c), type=kinds[k]) for c, (_, k) in zip(cols, named)], names=[n for n, _ in named])
 
 
-class _Counts:
-    """Hashed counts of one split, sent as the slots in use, block by block."""
+def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the keys by bucket, and (bucket, from, to) in that order."""
+    of = _bucket(keys, n)
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
+    return order, [(int(of[x]), int(x), int(y)) for x, y in zip(cuts, [*cuts[1:], len(of)])]
 
-    def __init__(self, size: int, name: str) -> None:
-        self.counts, self.name = np.zeros(size, dtype=np.int64), name
 
-    def add(self, slots: np.ndarray) -> None:
-        if len(slots) > len(self.counts) // 8:
-            self.counts += np.bincount(slots, minlength=len(self.counts))
-        else:
-            np.add.at(self.counts, slots, 1)
+def _added(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Equal keys once, in order, with the sums of their counts."""
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    # sums of whole numbers, exact in doubles up to 2^53
+    return every, *(np.bincount(at, weights=np.concatenate(c), minlength=len(every)).astype(np.int64) for c in counts)
+
+
+def _answered(answers: pa.Table, order: np.ndarray, kind: type) -> np.ndarray:
+    """The buckets' answers in the order of the keys that were asked."""
+    out = np.zeros(len(order), dtype=kind)
+    if len(order):
+        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        out[order] = np.concatenate([_open(r["found"], r["n"], kind) for r in rows])
+    return out
 
-    def rows(self) -> Iterator[tuple]:
-        used = np.flatnonzero(self.counts)
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(used // _BLOCK) != 0])) if len(used) else []
-        for a, e in zip(cuts, [*cuts[1:], len(used)]):
-            yield self.name, int(used[a] // _BLOCK), int(e - a), _pack(used[a:e].astype(np.uint32)), _pack(self.counts[used[a:e]])
 
+_COUNTED = "bucket int, n int, keys binary, counts binary"
+_ASKED = "bucket int, chunk long, n int, keys binary"
+_FOUND = "chunk long, bucket int, n int, found binary"
+_TALLY = "bucket int, chunk long, n int, keys binary, own binary, marked binary, spam long, print long"
 
-_SPARSE = "name string, block int, n int, slots binary, counts binary"
 
+def _counted(buckets: int, held: int):
+    """Counts of words and of neighbours, by bucket; at most about ``held`` keys wait in a task."""
 
-def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    name, block, n, slots, counts = zip(*rows) if rows else ([],) * 5
-    return pa.RecordBatch.from_arrays([pa.array(name, type=pa.string()), pa.array(block, type=pa.int32()), pa.array(n, type=pa.int32()), pa.array(slots, type=pa.binary()), pa.array(counts, type=pa.binary())], names=["name", "block", "n", "slots", "counts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, waiting = [], [], 0
 
+        def out():
+            every, n = _added(keys, counts)
+            order, parts = _dealt(every, buckets)
+            return _rows(_COUNTED, [(k, y - x, _pack(every[order[x:y]]), _pack(n[order[x:y]])) for k, x, y in parts]).to_batches()
 
-def _entries(n: int, slots: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(pa.decompress(slots, 4 * n, codec="zstd"), dtype=np.uint32).astype(np.int64), np.frombuffer(pa.decompress(counts, 8 * n, codec="zstd"), dtype=np.int64)
+        for b in batches:
+            for row in b.to_pylist():
+                f, lens = _unpack(row)
+                if not len(f):
+                    continue
+                doc = np.repeat(np.arange(len(lens)), lens)
+                k, n = np.unique(np.concatenate([f.astype(np.uint64), _pairs(f, 1)[doc[1:] == doc[:-1]]]), return_counts=True)
+                keys.append(k)
+                counts.append(n)
+                waiting += len(k)
+                if waiting > held:
+                    yield from out()
+                    keys, counts, waiting = [], [], 0
+        if keys:
+            yield from out()
 
+    return run
 
-def _summed(t: pa.Table) -> pa.Table:
-    block = t["block"][0].as_py()
-    total = np.zeros(_BLOCK, dtype=np.int64)
-    for r in t.to_pylist():
-        slots, counts = _entries(r["n"], r["slots"], r["counts"])
-        total[slots - block * _BLOCK] += counts
-    used = np.flatnonzero(total)
-    return pa.Table.from_batches([_batch_of([(t["name"][0].as_py(), block, len(used), _pack((used + block * _BLOCK).astype(np.uint32)), _pack(total[used]))])])
 
+def _asking(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                f, lens = _unpack(row)
+                if len(f):
+                    keys = _asked(f, np.repeat(np.arange(len(lens)), lens), _REACH)
+                    order, parts = _dealt(keys, buckets)
+                    yield from _rows(_ASKED, [(k, row["chunk"], y - x, _pack(keys[order[x:y]])) for k, x, y in parts]).to_batches()
 
-def _gathered(sparse: DataFrame, sizes: dict[str, int]) -> dict[str, np.ndarray]:
-    """The summed counts as arrays of a fixed size, whatever was counted."""
-    out = {k: np.zeros(n, dtype=np.float32) for k, n in sizes.items()}
-    for r in sparse.groupBy("name", "block").applyInArrow(_summed, _SPARSE).toLocalIterator():
-        slots, counts = _entries(r["n"], bytes(r["slots"]), bytes(r["counts"]))
-        out[r["name"]][slots] = counts
-    return out
+    return run
+
+
+def _look_up(asked: pa.Table, counted: pa.Table) -> pa.Table:
+    """Of one bucket: the counts of what every chunk asks for."""
+    rows = counted.to_pylist()
+    known, n = _added([_open(r["keys"], r["n"], np.uint64) for r in rows], [_open(r["counts"], r["n"], np.int64) for r in rows]) if rows else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
+    out = []
+    for r in asked.to_pylist():
+        keys = _open(r["keys"], r["n"], np.uint64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        out.append((r["chunk"], r["bucket"], r["n"], _pack(np.where(known[at] == keys, n[at], 0))))
+    return _rows(_FOUND, out)
+
+
+def _weighed(a: float, e: float):
+    """Of one bucket: each form's association with marked matter, for every chunk that has the form."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        keys = [_open(r["keys"], r["n"], np.uint64) for r in rows]
+        known, ones, spam = _added(keys, *([_open(r[c], r["n"], np.int64) for r in rows] for c in ("own", "marked")))
+        # two occurrences more of each form, shared out as the corpus is
+        weight = (np.log((spam + 2 * a / (a + e)) / (ones - spam + 2 * e / (a + e))) - np.log(a / e)).astype(np.float32)
+        return _rows(_FOUND, [(r["chunk"], r["bucket"], r["n"], _pack(weight[np.searchsorted(known, k)])) for r, k in zip(rows, keys)])
+
+    return run
 
 
 def incoherent_documents(docs: DataFrame, doc_id: str, text: str, *, form_slots: int = 1 << 22, pair_slots: int = 1 << 23, half: int = 8, gain_below: float = 0.8, lean: float = 0.5, rounds: int = 8) -> DataFrame:
@@ -234,8 +306,9 @@ def incoherent_documents(docs: DataFrame, doc_id: str, text: str, *, form_slots:
     with the next word less the mean PMI with the three beyond) stays below
     ``gain_below``, and it is marked if its words' mean association with marked
     matter (log ratio of rates, relearned in each of ``rounds`` rounds over all
-    documents) is above ``lean``. ``form_slots`` and ``pair_slots`` are the fixed
-    numbers of counters; where they fill up, the average load is taken off.
+    documents) is above ``lean``. All counts are exact. ``form_slots`` and
+    ``pair_slots`` are how many words' and pairs' counts a task holds at most, about;
+    a larger corpus has more buckets of them, and results do not depend on either.
 
     Defined cases: null texts give no row; texts without words have 0 words and a
     share of 0; equal texts get equal marks, each row its own result; texts of any
@@ -244,78 +317,79 @@ def incoherent_documents(docs: DataFrame, doc_id: str, text: str, *, form_slots:
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType
     src = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).filter("text IS NOT NULL")
-    head = [T.StructField("ids", T.ArrayType(kind)), T.StructField("lens", T.ArrayType(T.LongType())), T.StructField("forms", T.BinaryType())]
+    head = [T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("lens", T.ArrayType(T.LongType())), T.StructField("forms", T.BinaryType())]
     forms = written(src.mapInArrow(_to_forms, T.StructType(head)), "forms")
-
-    def count(batches):
-        ones, twos, total = _Counts(form_slots, "ones"), _Counts(pair_slots, "twos"), _Counts(1, "total")
-        for b in batches:
-            for row in b.to_pylist():
-                f, lens = _unpack(row)
-                doc = np.repeat(np.arange(len(lens)), lens)
-                same = doc[1:] == doc[:-1]
-                ones.add(_slot(f, form_slots))
-                twos.add(_slot(f[:-1][same], pair_slots, f[1:][same]))
-                total.counts[0] += len(f)
-        yield _batch_of([r for c in (ones, twos, total) for r in c.rows()])
-
-    known = _gathered(forms.select("lens", "forms").mapInArrow(count, _SPARSE), {"ones": form_slots, "twos": pair_slots, "total": 1})
-    ones, total = known["ones"], int(known["total"][0])
-    sent = spark.sparkContext.broadcast((ones, known["twos"], total))
-
-    def seed(batches):
-        a, b_, n = sent.value
-        for b in batches:
-            rows = b.to_pylist()
-            bits = []
-            for row in rows:
-                f, lens = _unpack(row)
-                bits.append(_pack(np.packbits(_salad(f, _Places(lens, half), a, b_, n, gain_below))) if len(f) else b"")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, type=pa.binary())], names=["ids", "lens", "forms", "salad"])
-
-    seeded = written(forms.mapInArrow(seed, T.StructType([*head, T.StructField("salad", T.BinaryType())])), "salad")
-    sent.unpersist()
-
-    def marked(row: dict, weight: np.ndarray | None):
-        f, lens = _unpack(row)
-        if not len(f):
-            return f, lens, np.zeros(0, dtype=bool)
-        bits = np.frombuffer(pa.decompress(row["salad"], -(-len(f) // 8), codec="zstd"), dtype=np.uint8)
-        return f, lens, _marks(f, _Places(lens, half), np.unpackbits(bits, count=len(f)).astype(bool), weight, lean)
-
-    def counter(held):
-        def run(batches):
-            weight = held.value if held else None
-            spam = _Counts(form_slots, "spam")
+    total = forms.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda acc, x: acc + x))).first()[0] or 0
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a word asks for at most itself and the pairs within reach
+    pair_buckets, form_buckets = (max(shuffles, -(-n // slots)) for n, slots in (((_REACH + 1) * total, pair_slots), (total, form_slots)))
+
+    packed = forms.select("chunk", "lens", "forms")
+    counted = packed.mapInArrow(_counted(pair_buckets, min(pair_slots, 1 << 21)), _COUNTED)
+    found = packed.mapInArrow(_asking(pair_buckets), _ASKED).groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_look_up, _FOUND)
+
+    def seed(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        f, lens = _unpack(chunk.select(["lens", "forms"]).to_pylist()[0])
+        bits = b""
+        if len(f):
+            at = _Places(lens, half)
+            keys = _asked(f, at.doc, _REACH)
+            counts = _answered(answers, _dealt(keys, pair_buckets)[0], np.int64)
+            bits = _pack(np.packbits(_salad(f, at, keys, counts, total, gain_below)))
+        return chunk.append_column("salad", pa.array([bits], type=pa.binary()))
+
+    seeded = written(forms.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(seed, T.StructType([*head, T.StructField("salad", T.BinaryType())])), "salad")
+
+    def over(chunks: DataFrame, weights: DataFrame | None, give, schema) -> DataFrame:
+        """``give`` of each chunk with its marks under the weights known so far."""
+
+        def marked(row: dict, answers: pa.Table | None):
+            f, lens = _unpack(row)
+            if not len(f):
+                return f, lens, np.zeros(0, dtype=bool)
+            weight = None
+            if answers is not None:
+                keys, at = np.unique(f, return_inverse=True)
+                weight = _answered(answers, _dealt(keys.astype(np.uint64), form_buckets)[0], np.float32)[at]
+            salad = np.unpackbits(_open(row["salad"], -(-len(f) // 8), np.uint8), count=len(f)).astype(bool)
+            return f, lens, _marks(f, _Places(lens, half), salad, weight, lean)
+
+        def plain(batches):
             for b in batches:
-                for row in b.to_pylist():
-                    f, _, m = marked(row, weight)
-                    spam.add(_slot(f[m], form_slots))
-            yield _batch_of(list(spam.rows()))
-
-        return run
-
-    held, before = None, None
+                t = pa.Table.from_batches([b])
+                for i, row in enumerate(t.select(["chunk", "lens", "forms", "salad"]).to_pylist()):
+                    yield from give(t.slice(i, 1), row["chunk"], *marked(row, None)).to_batches()
+
+        def joined(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+            row = chunk.select(["chunk", "lens", "forms", "salad"]).to_pylist()[0]
+            return give(chunk, row["chunk"], *marked(row, answers))
+
+        return chunks.mapInArrow(plain, schema) if weights is None else chunks.groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(joined, schema)
+
+    def tally(_: pa.Table, chunk: int, f: np.ndarray, lens: np.ndarray, m: np.ndarray) -> pa.Table:
+        keys, at = np.unique(f.astype(np.uint64), return_inverse=True)
+        own, spam = np.bincount(at, minlength=len(keys)), np.bincount(at[m], minlength=len(keys))
+        order, parts = _dealt(keys, form_buckets)
+        # the same forms marked as often give the same sum of these, whatever chunk they are in
+        said = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) * spam.astype(np.uint64) & np.uint64((1 << 40) - 1)
+        cut = [(k, order[x:y]) for k, x, y in parts]
+        return _rows(_TALLY, [(k, chunk, len(o), _pack(keys[o]), _pack(own[o]), _pack(spam[o]), int(spam[o].sum()), int(said[o].sum()) % (1 << 40)) for k, o in cut])
+
+    weights, before = None, None
+    slim = seeded.select("chunk", "lens", "forms", "salad")
     for _ in range(rounds):
-        spam = _gathered(seeded.select("lens", "forms", "salad").mapInArrow(counter(held), _SPARSE), {"spam": form_slots})["spam"].astype(np.float64)
-        rest = ones - spam
-        a, e = spam.sum() + 1, rest.sum() + 1
-        # two occurrences more of each form, shared out as the corpus is
-        weight = np.log((spam + 2 * a / (a + e)) / (rest + 2 * e / (a + e))) - np.log(a / e)
-        held = spark.sparkContext.broadcast(weight.astype(np.float32))
-        if before is not None and np.array_equal(spam, before):
+        tallies = written(over(slim, weights, tally, _TALLY), "tally")
+        spam, said = tallies.agg(F.coalesce(F.sum("spam"), F.lit(0)), F.coalesce(F.sum(F.col("print").cast("decimal(38,0)")), F.lit(0))).first()
+        weights = tallies.groupBy("bucket").applyInArrow(_weighed(spam + 1, total - spam + 1), _FOUND)
+        if before == (spam, said % (1 << 40)):
             break
-        before = spam
+        before = spam, said % (1 << 40)
 
-    def result(batches):
-        weight = held.value if held else None
-        for b in batches:
-            for row, ids in zip(b.to_pylist(), b.column(0)):
-                f, lens, m = marked(row, weight)
-                ends = np.concatenate([[0], np.cumsum(m)])
-                last = np.cumsum(lens)
-                n = ends[last] - ends[last - lens]
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array(lens), pa.array(n.astype(np.int64)), pa.array(n / np.maximum(lens, 1))], names=["doc_id", "n_words", "n_spam_words", "spam_share"])
+    def result(chunk: pa.Table, _: int, f: np.ndarray, lens: np.ndarray, m: np.ndarray) -> pa.Table:
+        ends = np.concatenate([[0], np.cumsum(m)])
+        last = np.cumsum(lens)
+        n = ends[last] - ends[last - lens]
+        return pa.table([pa.concat_arrays(chunk["ids"].chunks).flatten(), pa.array(lens), pa.array(n.astype(np.int64)), pa.array(n / np.maximum(lens, 1))], names=["doc_id", "n_words", "n_spam_words", "spam_share"])
 
     shape = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_spam_words", T.LongType()), T.StructField("spam_share", T.DoubleType())])
-    return seeded.mapInArrow(result, shape)
+    return over(seeded, weights, result, shape)

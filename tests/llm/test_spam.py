@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from seqweave.llm import spam
 from seqweave.llm.spam import form, incoherent_documents
@@ -62,3 +65,26 @@ def test_marked_documents(spark):
     assert len(found & bad) >= 0.95 * len(bad) and len(found - bad) <= 0.05 * len(bad)
     assert got[901]["spam_share"] == 0 and (got[0]["n_spam_words"] == got[904]["n_spam_words"])
     assert incoherent_documents(df.limit(0), "k", "text", form_slots=1 << 10, pair_slots=1 << 10).count() == 0
+
+
+def test_results_do_not_depend_on_the_counters(spark):
+    docs, _ = corpus(random.Random(9))
+    df = spark.createDataFrame(docs, "k long, text string, n_words int").repartition(5)
+    few, many = ({tuple(r) for r in incoherent_documents(df, "k", "text", form_slots=f, pair_slots=p).collect()} for f, p in ((1 << 12, 1 << 12), (1 << 22, 1 << 23)))
+    assert few == many and len(few) == len(docs)
+
+
+def test_counts_are_exact():
+    rng = np.random.default_rng(3)
+    f, lens = rng.integers(spam._WORD, spam._WORD + 40, 3000).astype(np.uint32), np.array([5, 0, 1, 2000, 994])
+    doc = np.repeat(np.arange(len(lens)), lens)
+    row = {"chunk": 7, "lens": lens.tolist(), "forms": spam._pack(f)}
+    batch = pa.RecordBatch.from_pylist([row, row])
+    counted = pa.Table.from_batches(spam._counted(3, 100)([batch]))
+    asked = pa.Table.from_batches(spam._asking(3)([batch.slice(0, 1)]))
+    only = lambda t, k: t.filter(pc.equal(t["bucket"], k))
+    found = pa.concat_tables([spam._look_up(only(asked, k), only(counted, k)) for k in range(3)])
+    keys = spam._asked(f, doc, spam._REACH)
+    got = dict(zip(keys.tolist(), spam._answered(found, spam._dealt(keys, 3)[0], np.int64).tolist()))
+    want = Counter(f.tolist()) + Counter((int(f[i]) << 32) | int(f[i + 1]) for i in range(len(f) - 1) if doc[i] == doc[i + 1])
+    assert all(n == 2 * want[k] for k, n in got.items()) and set(want) <= set(got)
