@@ -248,7 +248,8 @@ def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "c
             x = np.array([code.get(c, 0) for s in b.column(0).to_pylist() for c in (*s, "")], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], type=pa.binary())], names=["x"])
 
-    state = {"chunks": written(src.mapInArrow(load, "x binary"), "units"), "pending": [], "counts": None}
+    even = src.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    state = {"chunks": written(even.mapInArrow(load, "x binary"), "units"), "pending": [], "counts": None}
 
     def chunks_with(rules_: list) -> DataFrame:
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +258,8 @@ def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "c
 
         return state["chunks"].mapInArrow(apply, "x binary")
 
-    def count() -> dict:
+    def count() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Left and right units of the live pairs, in order of both, and their counts."""
         if state["counts"] is None:
             todo, size = list(state["pending"]), len(names)
 
@@ -266,11 +268,19 @@ def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "c
                     for raw in b.column(0):
                         x = _merged(np.frombuffer(raw.as_py(), dtype=np.int32), todo)
                         both = (x[:-1] > 0) & (x[1:] > 0)
-                        key, n = np.unique(x[:-1][both].astype(np.int64) * size + x[1:][both], return_counts=True)
+                        keys = x[:-1][both].astype(np.int64) * size + x[1:][both]
+                        if size * size < 4 * len(keys):
+                            n = np.bincount(keys)
+                            key = np.flatnonzero(n)
+                            n = n[key]
+                        else:
+                            key, n = np.unique(keys, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["k", "n"])
 
-            rows = state["chunks"].mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-            state["counts"] = {(names[r["k"] // size], names[r["k"] % size]): r["n"] for r in rows}
+            t = state["chunks"].mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+            k, n = t["k"].to_numpy(), t["n"].to_numpy()
+            order = np.argsort(k)
+            state["counts"] = k[order] // size, k[order] % size, n[order]
         return state["counts"]
 
     def merge(left: str, right: str) -> None:
@@ -289,30 +299,48 @@ def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "c
     def best():
         if state.get("ahead"):
             return state["ahead"][0]
-        ranked = sorted(((a, b, n) for (a, b), n in count().items()), key=lambda r: (-r[2], r[0], r[1]))
-        if not ranked:
+        left, right, n = count()
+        if not len(n):
             return None
-        ahead, used, touched = [ranked[0]], {ranked[0][0], ranked[0][1]}, 0
-        if not rules.mutated:
-            # the next pair stays next if it shares no unit with those before it, and
-            # occurs more often than any pair that could meet one of their units
-            strongest: dict = {}
-            for a, b, n in ranked:
-                for u in (a, b):
-                    strongest.setdefault(u, []).append(((a, b), n))
-            for a, b, n in ranked[1:64]:
-                taken = {r[:2] for r in ahead}
-                touched = max((m for u in used for p, m in strongest[u] if p not in taken or p[0] == p[1]), default=0)
-                if a in used or b in used or n <= touched or a + b in code or any(r[0] + r[1] == a + b for r in ahead):
-                    break
-                ahead.append((a, b, n))
-                used |= {a, b}
+        # the leading pairs, and all that are as frequent as the last of them
+        lead = np.flatnonzero(n >= np.partition(n, -min(64, len(n)))[-min(64, len(n))])
+        ranked = sorted(((names[left[i]], names[right[i]], int(n[i])) for i in lead), key=lambda r: (-r[2], r[0], r[1]))[:64]
+        ahead, used = [ranked[0]], {ranked[0][0], ranked[0][1]}
+        # the next pair stays next if it shares no unit with those before it, and
+        # occurs more often than any pair that could meet one of their units; a unit
+        # that may draw in mutations comes last, as these are looked up in new counts
+        met = np.zeros(len(names), dtype=bool)
+        free = np.ones(len(n), dtype=bool)
+
+        def take(a: str, b: str) -> None:
+            met[[code[a], code[b]]] = True
+            if a != b:
+                free[(left == code[a]) & (right == code[b])] = False
+
+        take(*ranked[0][:2])
+        for a, b, m in ranked[1:]:
+            touched = int(n[(met[left] | met[right]) & free].max(initial=0))
+            if draws(ahead[-1][0] + ahead[-1][1]) or a in used or b in used or m <= touched or a + b in code or any(r[0] + r[1] == a + b for r in ahead):
+                break
+            ahead.append((a, b, m))
+            used |= {a, b}
+            take(a, b)
         state["ahead"] = ahead
         return ahead[0]
 
+    def draws(unit: str) -> bool:
+        return rules.mutated and rules.min_mutation_len <= len(unit) <= rules.max_mutation_len and bool(similar_strings(unit, rules.matrix, rules.mutation_cutoff))
+
     def spelled(unit: str, counts: bool = False) -> list:
-        live = sorted((a, b, n) for (a, b), n in count().items() if a + b == unit and n)
-        return live if counts else [r[:2] for r in live]
+        left, right, n = count()
+        key, live = left * len(names) + right, []
+        for i in range(1, len(unit)):
+            if unit[:i] in code and unit[i:] in code:
+                k = code[unit[:i]] * len(names) + code[unit[i:]]
+                at = np.searchsorted(key, k)
+                if at < len(key) and key[at] == k:
+                    live.append((unit[:i], unit[i:], int(n[at])))
+        return sorted(live) if counts else [r[:2] for r in sorted(live)]
 
     vocab = _learn(Vocabulary(letters), rules, best, merge, spelled)
     return spark.createDataFrame(vocab.rows(config), VOCAB_SCHEMA)

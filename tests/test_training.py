@@ -113,3 +113,16 @@ def test_encoder_by_rank():
     model = {"model": {"vocab": {v: i for i, v in enumerate(vocab)}, "merges": [["B", "C"], ["A", "B"], ["A", "BC"], ["A", "A"]]}}
     e = Encoder(model)
     assert [e.tokens(x) for x in ("ABC", "AAAA", "AAA", "AZB", "")] == [["ABC"], ["AA", "AA"], ["AA", "A"], ["AB"], []]
+
+
+def test_registered_runs_learn_a_whole_vocabulary(spark):
+    from seqweave.plans import model_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    c = [r["s"] for r in Q._corpus(spark, folder).collect()]
+    for name, kind in (("train_default", "plain"), ("train_mutated", "family")):
+        rules = Q._RULES[kind]
+        assert rules.stop_parameter >= 800 and rules.mutation_cutoff >= 0.8 and rules.min_mutation_len >= 3
+        rows = sorted(Q.QUERIES[name](spark, folder).collect(), key=lambda r: r["token_id"])
+        assert len(rows) >= 800
+        assert [tuple(r) for r in rows] == train_local(c, rules).rows(kind)
