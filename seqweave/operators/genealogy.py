@@ -6,7 +6,7 @@ pair, parent, similarity, is_parent``; exact repeats count once everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions.sequences import hashed_number
@@ -81,8 +81,9 @@ def vocabulary_identity(v: DataFrame) -> DataFrame:
 
 def random_clone(v: DataFrame, letters: str, seed: str = "clone", tries: int = 40) -> DataFrame:
     """``config_id, token_id, token`` of a random vocabulary of the same lengths; single
-    letters stay. A draw that collides is drawn again, up to ``tries`` times in all; a
-    unit of a length whose words are all taken has no row then."""
+    letters stay. A draw that collides is drawn again, up to ``tries`` times in all; the
+    units left over get words that are still free. Only a unit of a length whose words
+    are all taken has no row."""
     spread = F.array(*(F.lit(x) for x in letters))
 
     def word(k: int) -> Column:
@@ -99,8 +100,31 @@ def random_clone(v: DataFrame, letters: str, seed: str = "clone", tries: int = 4
         taken = won if taken is None else taken.unionByName(won)
         left = written(left.join(won.select("config_id", "token_id"), ["config_id", "token_id"], "left_anti"), "clone-left")
         if left.isEmpty():
-            break
-    return taken
+            return taken
+    return taken.unionByName(_free_words(left, taken, letters, seed))
+
+
+def _free_words(left: DataFrame, taken: DataFrame, letters: str, seed: str) -> DataFrame:
+    """``config_id, token_id, token``: the units in ``left`` with words of their length that
+    ``taken`` has not, dealt in the order of their hashes, as far as there are any."""
+    m, n, i = len(letters), F.length("token").alias("length"), F.col("i")
+    both = left.select("config_id", n, F.lit(1).alias("open")).unionByName(taken.select("config_id", n, F.lit(0).alias("open")))
+    need = both.groupBy("config_id", "length").agg(F.count("*").alias("units"), F.sum("open").alias("open")).filter("open > 0 AND length > 1")
+    # twice as many words as units are enough to find a free one for each
+    words = F.least(F.pow(F.lit(float(m)), "length"), F.lit(2.0) * F.col("units")).cast("long").alias("words")
+    block = need.select("config_id", "length", words).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / 4096))))
+    each = block.select("config_id", "length", F.explode(F.sequence(F.col("block") * 4096, F.least("words", (F.col("block") + 1) * 4096) - 1)).alias("i"))
+    spread = F.array(*(F.lit(x) for x in letters))
+
+    def at(k: Column) -> Column:
+        digit = F.floor(i / F.pow(F.lit(float(m)), k)) + F.pmod(hashed_number(F.lit(seed), F.lit("free"), F.col("config_id"), k.cast("string")), F.lit(m))
+        return F.get(spread, F.pmod(digit, F.lit(m)).cast("int"))
+
+    free = each.select("config_id", "length", F.array_join(F.transform(F.sequence(F.lit(0), F.col("length") - 1), at), "").alias("token")).join(taken.select("config_id", "token"), ["config_id", "token"], "left_anti")
+    turn = lambda *order: F.row_number().over(Window.partitionBy("config_id", "length").orderBy(*order)).alias("turn")
+    free = free.select("config_id", "length", "token", turn(hashed_number(F.lit(seed), F.col("config_id"), F.col("token")), F.col("token")))
+    asked = left.select("config_id", n, "token_id").select("config_id", "length", "token_id", turn(F.col("token_id")))
+    return asked.join(free, ["config_id", "length", "turn"]).select("config_id", "token_id", "token")
 
 
 def gaussian_density(df: DataFrame, group: str, value: str, grid: DataFrame, x: str = "x") -> DataFrame:

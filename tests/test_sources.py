@@ -115,3 +115,16 @@ def test_download_and_tables(spark, tmp_path):
     assert [r["token"] for r in df.collect()] == ["B"]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "config_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_random_clone_fills_every_length(spark):
+    # all 16 and all 64 words asked for, but for two of three letters; 17 units for 16 words in b
+    rows = [(c, i, "ACDE"[i] if i < 4 else ("xx" if i < two else "yyy") + str(i)) for c, two, n in (("a", 20, 82), ("b", 21, 30)) for i in range(n)]
+    cut = [(c, i, t if len(t) == 1 else t[: 2 if t[0] == "x" else 3]) for c, i, t in rows]
+    df = spark.createDataFrame(cut, "config_id string, token_id int, token string")
+    for tries in (1, 3):
+        got = random_clone(df, "ACDE", tries=tries).collect()
+        assert len({(r["config_id"], r["token"]) for r in got}) == len(got) == len({(r["config_id"], r["token_id"]) for r in got})
+        length = {(c, i): len(t) for c, i, t in cut}
+        assert all(len(r["token"]) == length[r["config_id"], r["token_id"]] and set(r["token"]) <= set("ACDE") for r in got)
+        assert sum(r["config_id"] == "a" for r in got) == 82 and sum(r["config_id"] == "b" for r in got) == 29
