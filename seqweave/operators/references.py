@@ -57,6 +57,12 @@ def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
     return pa.table(cols | {"reason": pa.array(names, type=pa.string())})
 
 
+def hash_range(c, n: int):
+    """The range of a key: the order of its 64-bit hash, taken without sign, cut into
+    ``n`` (at most 2^31) equal ranges by its leading 31 bits."""
+    return F.shiftright(F.shiftrightunsigned(F.xxhash64(c), 33) * F.lit(n).cast("long"), 31).cast("int")
+
+
 def orphan_references(
     refs: DataFrame,
     parents: DataFrame,
@@ -86,8 +92,7 @@ def orphan_references(
     micros = lambda df, c: F.unix_micros(df[c].cast("timestamp")) if c else F.lit(None).cast("long")
     shuffles = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = int(min(MAX_RANGES, max(shuffles, parents.count() / range_rows + 1)))
-    # the hash order cut into n equal ranges
-    ranged = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 20), F.lit(n)).cast("int")
+    ranged = lambda c: hash_range(c, n)
     p = (
         parents.select(parents[parent_key].alias("pkey"), micros(parents, parent_first).alias("first"), micros(parents, parent_gone).alias("gone"))
         .filter(F.col("pkey").isNotNull())

@@ -118,3 +118,15 @@ def test_islands_and_gaps(spark):
         got = [tuple(r) for r in islands_and_gaps(df, "e", "s", "t", min_start=1, range_width=width).collect()]
         assert sorted(got) == sorted(want)
     assert islands_and_gaps(df.limit(0), "e", "s", "t").count() == 0
+
+
+def test_ranges_of_the_hash_order(spark):
+    from pyspark.sql import functions as F
+
+    from seqweave.operators.references import hash_range
+
+    h = F.xxhash64("id")
+    rows = spark.range(5000).select(hash_range(F.col("id"), 7).alias("range_id"), h.alias("h")).collect()
+    in_order = [r["range_id"] for r in sorted(rows, key=lambda r: r["h"] % (1 << 64))]
+    assert in_order == sorted(in_order) and set(in_order) == set(range(7))
+    assert all(500 < in_order.count(k) < 950 for k in range(7))
