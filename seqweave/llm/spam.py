@@ -1,18 +1,20 @@
-"""Keyword-stuffed pages and link lists, by the coherence of neighbouring words.
-
-Corpus counts give the pointwise mutual information of neighbouring words. In
-prose a word goes with the next one and not with the one after it; in word salad
-and in lists of links both go equally well, or one collocation follows on
-itself: the gain of the neighbour over the words beyond is near nothing. Stretches
-without gain show which words keep incoherent company; a word's association with
-such stretches, learned from all documents in a few rounds, marks the phrase
-lists and tags made of the same matter. Counts are exact at every size of the
-corpus: words and pairs are counted in buckets of their hash, and each chunk of
-documents asks the buckets for what it needs. Nothing is broadcast.
+"""Keyword-stuffed pages and link lists, by the pointwise mutual information of words.
+
+In prose a word goes with the next one, not with those after it. Word salad and
+repeated collocations show in the words beyond: pairs two and three words apart
+that stand next to each other elsewhere in the corpus, in whatever order. The
+mean PMI of these pairs, normalised and cut at 0, is near nothing in prose, and
+stays there however large the corpus is. Stretches above a threshold are the seeds.
+A word's own PMI with the matter marked so far against that with the rest, learned
+over all documents in a fixed number of passes, then marks the phrase lists, links
+and tags made of the same words, and clears prose that happens to repeat itself.
+Counts are exact: each chunk of documents sends the keys it has and those it asks
+for to buckets of their hash, which add up and answer. Nothing is broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqweave.session import written
+from seqweave.session import delete_path, new_path
 
-# classes of forms; words are numbered from _WORD on
-_NONE, _PUNCT, _NUMBER, _CODE, _LINK, _TAG, _MARK, _WORD = range(8)
+# classes of forms; words are numbered by their hash from _WORD on
+_NONE, _PUNCT, _NUMBER, _MARK, _CODE, _LINK, _TAG, _WORD = range(8)
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _MARKUP = regex.compile(r"<[^>]*>?")
 _LINKED = regex.compile(r"https?:|www\.|href=", regex.I)
@@ -34,7 +36,8 @@ _LINKED = regex.compile(r"https?:|www\.|href=", regex.I)
 
 def form(token: str) -> int:
     """The number of a token's form: links, tags, markup, numbers and codes are
-    classes, other tokens their lower-case word without outer punctuation."""
+    classes, other tokens the 64-bit hash of their lower-case word without outer
+    punctuation."""
     if _LINKED.search(token):
         return _LINK
     if token[0] == "#" and len(token) > 1 and token[1].isalnum():
@@ -45,10 +48,7 @@ def form(token: str) -> int:
         return _MARK if "<" in token else _PUNCT
     if any(c.isdigit() for c in word):
         return _CODE if any(c.isalpha() for c in word) else _NUMBER
-    h = 0xCBF29CE484222325
-    for b in word.encode():
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return _WORD + ((h ^ (h >> 29)) % ((1 << 32) - _WORD))
+    return max(_WORD, int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
 
 
 class _Forms(dict):
@@ -71,90 +71,95 @@ def _batch(texts: list) -> tuple[np.ndarray, np.ndarray]:
     split = [t.split() for t in texts]
     lens = np.array([len(s) for s in split], dtype=np.int64)
     get = _FORMS.__getitem__
-    return np.fromiter((get(w) for s in split for w in s), dtype=np.uint32, count=int(lens.sum())), lens
+    return np.fromiter((get(w) for s in split for w in s), dtype=np.uint64, count=int(lens.sum())), lens
 
 
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    h = (keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ (keys + np.uint64(0x632BE59BD9B4E019))
-    h ^= h >> np.uint64(31)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(30)
-    return (h % np.uint64(n)).astype(np.int64)
+    return h
 
 
-def _pairs(forms: np.ndarray, d: int) -> np.ndarray:
-    """Keys of each word and the one ``d`` further: both forms in full. The form 0
-    (``_NONE``) is no word's, so a form by itself is a key too and equals no pair's."""
-    return (forms[:-d].astype(np.uint64) << np.uint64(32)) | forms[d:]
+class _Chunk:
+    """The words of some documents: ``vocab``, the forms they have in order, and ``codes``,
+    the place in it of each word."""
 
+    def __init__(self, vocab: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> None:
+        self.vocab, self.codes, self.lens = vocab, codes, lens
+        self.doc = np.repeat(np.arange(len(lens)), lens)
+        self.worded = (vocab >= _CODE)[codes]  # numbers, punctuation and markup have no wording
+        self.telling = ((vocab >= _LINK) | (vocab == _MARK))[codes]
 
-def _asked(forms: np.ndarray, doc: np.ndarray, reach: int) -> np.ndarray:
-    """The keys whose counts a chunk needs, each once, in order."""
-    return np.unique(np.concatenate([forms.astype(np.uint64), *(_pairs(forms, d)[doc[:-d] == doc[d:]] for d in range(1, min(reach, len(forms) - 1) + 1))]))
+    def live(self, d: int) -> np.ndarray:
+        """Places of words with one ``d`` further on in the same document, both worded."""
+        return np.flatnonzero((self.doc[:-d] == self.doc[d:]) & self.worded[:-d] & self.worded[d:]) if d < len(self.codes) else np.zeros(0, dtype=np.int64)
+
+    def pairs(self, at: np.ndarray, d: int) -> np.ndarray:
+        """64-bit keys of the words at these places and those ``d`` further on."""
+        left, right = _mixed(self.vocab * np.uint64(0x9E3779B97F4A7C15)), _mixed(self.vocab + np.uint64(0x632BE59BD9B4E019))
+        return _mixed(left[self.codes[at]] * np.uint64(3) + right[self.codes[at + d]])
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys whose counts the chunk needs, in order, and how often it has each: forms and
+        pairs of neighbours; of pairs further apart it has none."""
+        near, times = np.unique(self.pairs(self.live(1), 1), return_counts=True)
+        keys = np.unique(np.concatenate([self.vocab, near, *(self.pairs(self.live(d), d) for d in range(2, _REACH + 1))]))
+        own = np.zeros(len(keys), dtype=np.int64)
+        own[np.searchsorted(keys, near)] = times
+        own[np.searchsorted(keys, self.vocab)] = np.bincount(self.codes, minlength=len(self.vocab))
+        return keys, own
 
 
 class _Places:
-    """Where each word's document begins and ends."""
+    """The stretch of words around each word of a chunk."""
 
     def __init__(self, lens: np.ndarray, half: int) -> None:
-        last = np.cumsum(lens)
-        self.doc, self.first, self.last = np.repeat(np.arange(len(lens)), lens), np.repeat(last - lens, lens), np.repeat(last, lens)
+        ends = np.cumsum(lens)
+        first, last, n = np.repeat(ends - lens, lens), np.repeat(ends, lens), int(lens.sum())
         # at the edges of a document the stretch is moved inwards, not cut
-        self.lo = np.maximum(self.first, np.minimum(np.arange(len(self.doc)) - half, self.last - 2 * half - 1))
-        self.hi = np.minimum(self.last, self.lo + 2 * half + 1)
-
-    def mean(self, v: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-        """Weighted mean over the stretch around each word; 0 where nothing has weight."""
-        if weight is None:
-            sums = np.concatenate([[0.0], np.cumsum(v, dtype=float)])
-            return (sums[self.hi] - sums[self.lo]) / (self.hi - self.lo)
-        sums, weights = np.concatenate([[0.0], np.cumsum(v * weight)]), np.concatenate([[0], np.cumsum(weight)])
-        w = weights[self.hi] - weights[self.lo]
-        return np.where(w > 0, (sums[self.hi] - sums[self.lo]) / np.maximum(w, 1), 0.0)
-
-
-_REACH = 4  # words that the next word is held against, and itself
-
-
-def _salad(forms: np.ndarray, at: _Places, keys: np.ndarray, counts_of: np.ndarray, total: int, gain_below: float, reach: int = _REACH) -> np.ndarray:
-    """Which words stand in a stretch where the PMI with the next word exceeds that
-    with the words beyond by less than ``gain_below`` on average. Pairs of numbers,
-    codes and marks, which have no wording, and pairs that are a fixed collocation
-    of two words do not count."""
-    n = len(forms)
-    worded = (forms >= _LINK) & (forms != _MARK)
-    count = np.maximum(counts_of[np.searchsorted(keys, forms.astype(np.uint64))], 1.0)
-    one = np.log(count)
-    near, far, clear = np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool)
-    has, beyond = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
-    for d in range(1, min(reach, n - 1) + 1):
-        same = at.doc[:-d] == at.doc[d:]
-        live = same & worded[:-d] & worded[d:]
-        seen = np.zeros(n - d)
-        seen[same] = counts_of[np.searchsorted(keys, _pairs(forms, d)[same])]
-        clear[: n - d] |= seen > 1
-        # an unseen pair has half an occurrence
-        pmi = np.log(np.maximum(seen, 0.5)) + np.log(max(total, 1)) - one[:-d] - one[d:]
-        if d == 1:
-            # a fixed collocation says nothing of the order of what it stands in
-            fixed = seen > 0.3 * np.maximum(count[:-d], count[d:])
-            near[: n - d], has[: n - d] = pmi, live & ~(fixed & (forms[:-d] != forms[d:]))
-        else:
-            far[: n - d] += np.where(live, pmi, 0.0)
-            beyond[: n - d] += live
-    counts = has & (beyond > 0) & clear
-    gain = np.where(counts, near - far / np.maximum(beyond, 1), 0.0)
-    return (at.mean(gain, counts) < gain_below) & (at.mean(counts) > 0.25)
+        self.lo = np.maximum(first, np.minimum(np.arange(n) - half, last - 2 * half - 1))
+        self.hi = np.minimum(last, self.lo + 2 * half + 1)
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(v, dtype=float)])
+        return sums[self.hi] - sums[self.lo]
+
+    def mean(self, v: np.ndarray) -> np.ndarray:
+        return self.sums(v) / (self.hi - self.lo)
+
+    def weighted(self, v: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """Mean over the words that are on; 0 where none is."""
+        return self.sums(v * on) / np.maximum(self.sums(on), 1)
+
 
+_REACH = 3  # how far apart words are still held against each other
 
-def _marks(forms: np.ndarray, at: _Places, salad: np.ndarray, weight: np.ndarray | None, lean: float) -> np.ndarray:
-    """Which words stand in incoherent matter, as far as is known yet; ``weight`` is each word's."""
+
+def _salad(c: _Chunk, at: _Places, keys: np.ndarray, counts: np.ndarray, total: int, least: float) -> np.ndarray:
+    """Which words stand in a stretch where the mean positive NPMI of words two and
+    three apart is above ``least``; a pair must occur twice to count as known."""
+    n = len(c.codes)
+    one = np.log(np.maximum(counts[np.searchsorted(keys, c.vocab)], 1))[c.codes]
+    score, pairs, whole = np.zeros(n), np.zeros(n), np.log(max(total, 2))
+    for d in range(2, _REACH + 1):
+        i = c.live(d)
+        seen = counts[np.searchsorted(keys, c.pairs(i, d))]
+        known = np.log(np.maximum(seen, 1))
+        npmi = (known + whole - one[i] - one[i + d]) / np.maximum(whole - known, 1e-9)
+        score[i] += np.where(seen > 1, np.clip(npmi, 0, 1), 0)
+        pairs[i] += 1
+    return (at.sums(score) > least * at.sums(pairs)) & (at.mean(pairs) > 0.5)
+
+
+def _marks(c: _Chunk, at: _Places, salad: np.ndarray, weight: np.ndarray | None, lean: float) -> np.ndarray:
+    """Which words stand in incoherent matter, as far as is known yet; ``weight`` is that of
+    the chunk's vocabulary."""
     if weight is None:
         return salad
-    telling = (forms >= _LINK) | (forms == _NONE)
-    mean = at.mean(weight, telling)
+    mean = at.weighted(weight[c.codes], c.telling)
     # the words of prose in any order keep their own company and are not meant
-    return (at.mean(telling) > 0.25) & ((mean > lean) | (salad & (mean > 0)))
+    return (at.mean(c.telling) > 0.25) & ((mean > lean) | (salad & (mean > 0)))
 
 
 # ---------------------------------------------------------------- on Spark
@@ -168,9 +173,12 @@ def _open(raw: bytes, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd"), dtype=kind) if n else np.zeros(0, dtype=kind)
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(row: dict) -> _Chunk:
     lens = np.array(row["lens"], dtype=np.int64)
-    return _open(row["forms"], int(lens.sum()), np.uint32), lens
+    return _Chunk(_open(row["vocab"], row["forms"], np.uint64), _open(row["codes"], int(lens.sum()), np.uint32), lens)
+
+
+_HEAD = ["chunk", "lens", "forms", "vocab", "codes"]
 
 
 def _to_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +192,10 @@ def _to_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(texts[stop])
                 stop += 1
             forms, lens = _batch(texts[start:stop])
+            vocab, codes = np.unique(forms, return_inverse=True)
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], type=pa.int32()), a)
             ids = pa.concat_arrays([b.column(0).slice(start, stop - start)])
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), one(ids), one(pa.array(lens)), pa.array([_pack(forms)], type=pa.binary())], names=["chunk", "ids", "lens", "forms"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), one(ids), one(pa.array(lens)), pa.array([len(vocab)], type=pa.int32()), pa.array([_pack(vocab)], type=pa.binary()), pa.array([_pack(codes.astype(np.uint32))], type=pa.binary())], names=["chunk", "ids", "lens", "forms", "vocab", "codes"])
             chunk, start = chunk + 1, stop
 
 
@@ -197,13 +206,11 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), type=kinds[k]) for c, (_, k) in zip(cols, named)], names=[n for n, _ in named])
 
 
-def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of the keys by bucket, and (bucket, from, to) in that order."""
-    of = _bucket(keys, n)
-    order = np.argsort(of, kind="stable")
-    of = of[order]
+def _dealt(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of keys in order: buckets are equal ranges of the hashes."""
+    of = ((keys >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
-    return order, [(int(of[x]), int(x), int(y)) for x, y in zip(cuts, [*cuts[1:], len(of)])]
+    return [(int(of[x]), int(x), int(y)) for x, y in zip(cuts, [*cuts[1:], len(of)])]
 
 
 def _added(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -213,78 +220,48 @@ def _added(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarra
     return every, *(np.bincount(at, weights=np.concatenate(c), minlength=len(every)).astype(np.int64) for c in counts)
 
 
-def _answered(answers: pa.Table, order: np.ndarray, kind: type) -> np.ndarray:
+def _answered(answers: pa.Table, kind: type) -> np.ndarray:
     """The buckets' answers in the order of the keys that were asked."""
-    out = np.zeros(len(order), dtype=kind)
-    if len(order):
-        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-        out[order] = np.concatenate([_open(r["found"], r["n"], kind) for r in rows])
-    return out
+    rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+    return np.concatenate([np.zeros(0, dtype=kind), *(_open(r["found"], r["n"], kind) for r in rows)])
 
 
-_COUNTED = "bucket int, n int, keys binary, counts binary"
-_ASKED = "bucket int, chunk long, n int, keys binary"
+_ASKED = "bucket int, chunk long, n int, keys binary, own binary"
 _FOUND = "chunk long, bucket int, n int, found binary"
-_TALLY = "bucket int, chunk long, n int, keys binary, own binary, marked binary, spam long, print long"
-
-
-def _counted(buckets: int, held: int):
-    """Counts of words and of neighbours, by bucket; at most about ``held`` keys wait in a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, waiting = [], [], 0
-
-        def out():
-            every, n = _added(keys, counts)
-            order, parts = _dealt(every, buckets)
-            return _rows(_COUNTED, [(k, y - x, _pack(every[order[x:y]]), _pack(n[order[x:y]])) for k, x, y in parts]).to_batches()
-
-        for b in batches:
-            for row in b.to_pylist():
-                f, lens = _unpack(row)
-                if not len(f):
-                    continue
-                doc = np.repeat(np.arange(len(lens)), lens)
-                k, n = np.unique(np.concatenate([f.astype(np.uint64), _pairs(f, 1)[doc[1:] == doc[:-1]]]), return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                waiting += len(k)
-                if waiting > held:
-                    yield from out()
-                    keys, counts, waiting = [], [], 0
-        if keys:
-            yield from out()
-
-    return run
+_TALLY = "bucket int, chunk long, n int, keys binary, own binary, marked binary, spam long"
 
 
 def _asking(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                f, lens = _unpack(row)
-                if len(f):
-                    keys = _asked(f, np.repeat(np.arange(len(lens)), lens), _REACH)
-                    order, parts = _dealt(keys, buckets)
-                    yield from _rows(_ASKED, [(k, row["chunk"], y - x, _pack(keys[order[x:y]])) for k, x, y in parts]).to_batches()
+                if row["forms"]:
+                    keys, own = _unpack(row).asked()
+                    yield from _rows(_ASKED, [(k, row["chunk"], y - x, _pack(keys[x:y]), _pack(own[x:y])) for k, x, y in _dealt(keys, buckets)]).to_batches()
 
     return run
 
 
-def _look_up(asked: pa.Table, counted: pa.Table) -> pa.Table:
-    """Of one bucket: the counts of what every chunk asks for."""
-    rows = counted.to_pylist()
-    known, n = _added([_open(r["keys"], r["n"], np.uint64) for r in rows], [_open(r["counts"], r["n"], np.int64) for r in rows]) if rows else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
+def _look_up(asked: pa.Table) -> pa.Table:
+    """Of one bucket: the counts over all chunks of what every chunk asks for."""
+    rows = asked.to_pylist()
+    asks = [_open(r["keys"], r["n"], np.uint64) for r in rows]
+    own = [_open(r["own"], r["n"], np.int64) for r in rows]
+    known, n = _added([k[c > 0] for k, c in zip(asks, own)], [c[c > 0] for c in own])
     out = []
-    for r in asked.to_pylist():
-        keys = _open(r["keys"], r["n"], np.uint64)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        out.append((r["chunk"], r["bucket"], r["n"], _pack(np.where(known[at] == keys, n[at], 0))))
+    for r, keys in zip(rows, asks):
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            found = np.where(known[at] == keys, n[at], 0)
+        else:
+            found = np.zeros(len(keys), dtype=np.int64)
+        out.append((r["chunk"], r["bucket"], r["n"], _pack(found)))
     return _rows(_FOUND, out)
 
 
 def _weighed(a: float, e: float):
-    """Of one bucket: each form's association with marked matter, for every chunk that has the form."""
+    """Of one bucket: each form's PMI with marked matter less that with the rest, for every
+    chunk that has the form."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -297,18 +274,18 @@ def _weighed(a: float, e: float):
     return run
 
 
-def incoherent_documents(docs: DataFrame, doc_id: str, text: str, *, form_slots: int = 1 << 22, pair_slots: int = 1 << 23, half: int = 8, gain_below: float = 0.8, lean: float = 0.5, rounds: int = 8) -> DataFrame:
+def incoherent_documents(docs: DataFrame, doc_id: str, text: str, *, bucket_keys: int = 1 << 23, half: int = 8, least: float = 0.1, lean: float = 0.5, rounds: int = 3) -> DataFrame:
     """``doc_id, n_words, n_spam_words, spam_share`` of every document with a text:
     how many of its words (split at white space) stand in keyword salad, phrase
     lists, bare links or tags.
 
-    A stretch is ``half`` words to either side; it is salad if the mean gain (PMI
-    with the next word less the mean PMI with the three beyond) stays below
-    ``gain_below``, and it is marked if its words' mean association with marked
-    matter (log ratio of rates, relearned in each of ``rounds`` rounds over all
-    documents) is above ``lean``. All counts are exact. ``form_slots`` and
-    ``pair_slots`` are how many words' and pairs' counts a task holds at most, about;
-    a larger corpus has more buckets of them, and results do not depend on either.
+    A stretch is ``half`` words to either side. It is a seed if the mean positive
+    normalised PMI of its words two and three apart is above ``least``; in each of
+    ``rounds`` passes over all documents it is marked if its words' mean PMI with
+    matter marked before, less that with the rest, is above ``lean`` (0 is enough for a
+    seed). All counts are exact, words and pairs told apart by 64-bit hashes;
+    ``bucket_keys`` is about how many keys a task holds at once: a larger corpus has
+    more buckets, and results do not depend on it.
 
     Defined cases: null texts give no row; texts without words have 0 words and a
     share of 0; equal texts get equal marks, each row its own result; texts of any
@@ -317,79 +294,74 @@ def incoherent_documents(docs: DataFrame, doc_id: str, text: str, *, form_slots:
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType
     src = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).filter("text IS NOT NULL")
-    head = [T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("lens", T.ArrayType(T.LongType())), T.StructField("forms", T.BinaryType())]
-    forms = written(src.mapInArrow(_to_forms, T.StructType(head)), "forms")
+    paths = {}
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        paths[name] = new_path(spark, name)
+        df.write.parquet(paths[name])
+        return spark.read.schema(df.schema).parquet(paths[name])
+
+    field = T.StructField
+    head = [field("chunk", T.LongType()), field("ids", T.ArrayType(kind)), field("lens", T.ArrayType(T.LongType())), field("forms", T.IntegerType()), field("vocab", T.BinaryType()), field("codes", T.BinaryType())]
+    forms = stored(src.mapInArrow(_to_forms, T.StructType(head)), "forms")
     total = forms.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda acc, x: acc + x))).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a word asks for at most itself and the pairs within reach
-    pair_buckets, form_buckets = (max(shuffles, -(-n // slots)) for n, slots in (((_REACH + 1) * total, pair_slots), (total, form_slots)))
-
-    packed = forms.select("chunk", "lens", "forms")
-    counted = packed.mapInArrow(_counted(pair_buckets, min(pair_slots, 1 << 21)), _COUNTED)
-    found = packed.mapInArrow(_asking(pair_buckets), _ASKED).groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_look_up, _FOUND)
+    pair_buckets, form_buckets = (max(shuffles, -(-n // bucket_keys)) for n in ((_REACH + 1) * total, total))
+    found = forms.select(_HEAD).mapInArrow(_asking(pair_buckets), _ASKED).groupBy("bucket").applyInArrow(_look_up, _FOUND)
 
     def seed(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        f, lens = _unpack(chunk.select(["lens", "forms"]).to_pylist()[0])
+        row = chunk.select(_HEAD).to_pylist()[0]
         bits = b""
-        if len(f):
-            at = _Places(lens, half)
-            keys = _asked(f, at.doc, _REACH)
-            counts = _answered(answers, _dealt(keys, pair_buckets)[0], np.int64)
-            bits = _pack(np.packbits(_salad(f, at, keys, counts, total, gain_below)))
+        if row["forms"]:
+            c = _unpack(row)
+            bits = _pack(np.packbits(_salad(c, _Places(c.lens, half), c.asked()[0], _answered(answers, np.int64), total, least)))
         return chunk.append_column("salad", pa.array([bits], type=pa.binary()))
 
-    seeded = written(forms.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(seed, T.StructType([*head, T.StructField("salad", T.BinaryType())])), "salad")
+    seeded = stored(forms.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(seed, T.StructType([*head, field("salad", T.BinaryType())])), "salad")
+    delete_path(spark, paths["forms"])
 
     def over(chunks: DataFrame, weights: DataFrame | None, give, schema) -> DataFrame:
         """``give`` of each chunk with its marks under the weights known so far."""
 
         def marked(row: dict, answers: pa.Table | None):
-            f, lens = _unpack(row)
-            if not len(f):
-                return f, lens, np.zeros(0, dtype=bool)
-            weight = None
-            if answers is not None:
-                keys, at = np.unique(f, return_inverse=True)
-                weight = _answered(answers, _dealt(keys.astype(np.uint64), form_buckets)[0], np.float32)[at]
-            salad = np.unpackbits(_open(row["salad"], -(-len(f) // 8), np.uint8), count=len(f)).astype(bool)
-            return f, lens, _marks(f, _Places(lens, half), salad, weight, lean)
+            c = _unpack(row)
+            if not row["forms"]:
+                return c, np.zeros(0, dtype=bool)
+            weight = None if answers is None else _answered(answers, np.float32)
+            salad = np.unpackbits(_open(row["salad"], -(-len(c.codes) // 8), np.uint8), count=len(c.codes)).astype(bool)
+            return c, _marks(c, _Places(c.lens, half), salad, weight, lean)
 
         def plain(batches):
             for b in batches:
                 t = pa.Table.from_batches([b])
-                for i, row in enumerate(t.select(["chunk", "lens", "forms", "salad"]).to_pylist()):
+                for i, row in enumerate(t.select([*_HEAD, "salad"]).to_pylist()):
                     yield from give(t.slice(i, 1), row["chunk"], *marked(row, None)).to_batches()
 
         def joined(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-            row = chunk.select(["chunk", "lens", "forms", "salad"]).to_pylist()[0]
+            row = chunk.select([*_HEAD, "salad"]).to_pylist()[0]
             return give(chunk, row["chunk"], *marked(row, answers))
 
         return chunks.mapInArrow(plain, schema) if weights is None else chunks.groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(joined, schema)
 
-    def tally(_: pa.Table, chunk: int, f: np.ndarray, lens: np.ndarray, m: np.ndarray) -> pa.Table:
-        keys, at = np.unique(f.astype(np.uint64), return_inverse=True)
-        own, spam = np.bincount(at, minlength=len(keys)), np.bincount(at[m], minlength=len(keys))
-        order, parts = _dealt(keys, form_buckets)
-        # the same forms marked as often give the same sum of these, whatever chunk they are in
-        said = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) * spam.astype(np.uint64) & np.uint64((1 << 40) - 1)
-        cut = [(k, order[x:y]) for k, x, y in parts]
-        return _rows(_TALLY, [(k, chunk, len(o), _pack(keys[o]), _pack(own[o]), _pack(spam[o]), int(spam[o].sum()), int(said[o].sum()) % (1 << 40)) for k, o in cut])
-
-    weights, before = None, None
-    slim = seeded.select("chunk", "lens", "forms", "salad")
-    for _ in range(rounds):
-        tallies = written(over(slim, weights, tally, _TALLY), "tally")
-        spam, said = tallies.agg(F.coalesce(F.sum("spam"), F.lit(0)), F.coalesce(F.sum(F.col("print").cast("decimal(38,0)")), F.lit(0))).first()
+    def tally(_: pa.Table, chunk: int, c: _Chunk, m: np.ndarray) -> pa.Table:
+        own, spam = np.bincount(c.codes, minlength=len(c.vocab)), np.bincount(c.codes[m], minlength=len(c.vocab))
+        return _rows(_TALLY, [(k, chunk, y - x, _pack(c.vocab[x:y]), _pack(own[x:y]), _pack(spam[x:y]), int(spam[x:y].sum())) for k, x, y in _dealt(c.vocab, form_buckets)])
+
+    weights = None
+    slim = seeded.select(*_HEAD, "salad")
+    for number in range(rounds):
+        tallies = stored(over(slim, weights, tally, _TALLY), f"tally-{number}")
+        spam = tallies.agg(F.sum("spam")).first()[0] or 0
         weights = tallies.groupBy("bucket").applyInArrow(_weighed(spam + 1, total - spam + 1), _FOUND)
-        if before == (spam, said % (1 << 40)):
-            break
-        before = spam, said % (1 << 40)
+        if number:
+            delete_path(spark, paths[f"tally-{number - 1}"])
 
-    def result(chunk: pa.Table, _: int, f: np.ndarray, lens: np.ndarray, m: np.ndarray) -> pa.Table:
+    def result(chunk: pa.Table, _: int, c: _Chunk, m: np.ndarray) -> pa.Table:
         ends = np.concatenate([[0], np.cumsum(m)])
-        last = np.cumsum(lens)
-        n = ends[last] - ends[last - lens]
-        return pa.table([pa.concat_arrays(chunk["ids"].chunks).flatten(), pa.array(lens), pa.array(n.astype(np.int64)), pa.array(n / np.maximum(lens, 1))], names=["doc_id", "n_words", "n_spam_words", "spam_share"])
+        last = np.cumsum(c.lens)
+        n = ends[last] - ends[last - c.lens]
+        return pa.table([pa.concat_arrays(chunk["ids"].chunks).flatten(), pa.array(c.lens), pa.array(n.astype(np.int64)), pa.array(n / np.maximum(c.lens, 1))], names=["doc_id", "n_words", "n_spam_words", "spam_share"])
 
-    shape = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_spam_words", T.LongType()), T.StructField("spam_share", T.DoubleType())])
+    shape = T.StructType([field("doc_id", kind), field("n_words", T.LongType()), field("n_spam_words", T.LongType()), field("spam_share", T.DoubleType())])
     return over(seeded, weights, result, shape)

@@ -57,34 +57,35 @@ def test_marked_documents(spark):
     docs, bad = corpus(random.Random(8))
     docs += [(900, None, 0), (901, "", 0), (902, "  \n", 0), (903, "x", 0), (904, docs[0][1], 0), (905, "the half life of vusin was 3 hours at 4 degrees . " * 4000, 0)]
     df = spark.createDataFrame(docs, "k long, text string, n_words int").repartition(5)
-    got = {r["doc_id"]: r for r in incoherent_documents(df, "k", "text", form_slots=1 << 18, pair_slots=1 << 20).collect()}
+    got = {r["doc_id"]: r for r in incoherent_documents(df, "k", "text").collect()}
     assert set(got) == {d[0] for d in docs} - {900}
     assert all(got[i]["n_words"] == len(t.split()) for i, t, _ in docs if t is not None)
     found = {i for i, r in got.items() if r["n_spam_words"] * 2 > r["n_words"]}
     bad |= {904}
     assert len(found & bad) >= 0.95 * len(bad) and len(found - bad) <= 0.05 * len(bad)
     assert got[901]["spam_share"] == 0 and (got[0]["n_spam_words"] == got[904]["n_spam_words"])
-    assert incoherent_documents(df.limit(0), "k", "text", form_slots=1 << 10, pair_slots=1 << 10).count() == 0
+    assert incoherent_documents(df.limit(0), "k", "text").count() == 0
 
 
-def test_results_do_not_depend_on_the_counters(spark):
+def test_results_do_not_depend_on_the_buckets(spark):
     docs, _ = corpus(random.Random(9))
     df = spark.createDataFrame(docs, "k long, text string, n_words int").repartition(5)
-    few, many = ({tuple(r) for r in incoherent_documents(df, "k", "text", form_slots=f, pair_slots=p).collect()} for f, p in ((1 << 12, 1 << 12), (1 << 22, 1 << 23)))
+    few, many = ({tuple(r) for r in incoherent_documents(df, "k", "text", bucket_keys=b).collect()} for b in (1 << 12, 1 << 23))
     assert few == many and len(few) == len(docs)
 
 
 def test_counts_are_exact():
     rng = np.random.default_rng(3)
-    f, lens = rng.integers(spam._WORD, spam._WORD + 40, 3000).astype(np.uint32), np.array([5, 0, 1, 2000, 994])
-    doc = np.repeat(np.arange(len(lens)), lens)
-    row = {"chunk": 7, "lens": lens.tolist(), "forms": spam._pack(f)}
-    batch = pa.RecordBatch.from_pylist([row, row])
-    counted = pa.Table.from_batches(spam._counted(3, 100)([batch]))
-    asked = pa.Table.from_batches(spam._asking(3)([batch.slice(0, 1)]))
-    only = lambda t, k: t.filter(pc.equal(t["bucket"], k))
-    found = pa.concat_tables([spam._look_up(only(asked, k), only(counted, k)) for k in range(3)])
-    keys = spam._asked(f, doc, spam._REACH)
-    got = dict(zip(keys.tolist(), spam._answered(found, spam._dealt(keys, 3)[0], np.int64).tolist()))
-    want = Counter(f.tolist()) + Counter((int(f[i]) << 32) | int(f[i + 1]) for i in range(len(f) - 1) if doc[i] == doc[i + 1])
+    words = np.sort(rng.integers(spam._WORD, 1 << 63, 40).astype(np.uint64))
+    f, lens = words[rng.integers(0, 40, 3000)], np.array([5, 0, 1, 2000, 994])
+    vocab, codes = np.unique(f, return_inverse=True)
+    row = {"chunk": 7, "lens": lens.tolist(), "forms": len(vocab), "vocab": spam._pack(vocab), "codes": spam._pack(codes.astype(np.uint32))}
+    batch = pa.RecordBatch.from_pylist([row, row | {"chunk": 8}])
+    asked = pa.Table.from_batches(spam._asking(3)([batch]))
+    found = pa.concat_tables([spam._look_up(asked.filter(pc.equal(asked["bucket"], k))) for k in range(3)])
+    c = spam._Chunk(vocab, codes, lens)
+    got = dict(zip(c.asked()[0].tolist(), spam._answered(found.filter(pc.equal(found["chunk"], 7)), np.int64).tolist()))
+    near = c.live(1)
+    assert len(near) == 3000 - sum(n > 0 for n in lens)
+    want = Counter(f.tolist()) + Counter(c.pairs(near, 1).tolist())
     assert all(n == 2 * want[k] for k, n in got.items()) and set(want) <= set(got)
