@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/seqweave/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/seqweave/{name}-{uuid.uuid4().hex}"
+    """A fresh path for work files, which ``clear_work`` removes."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def lasting_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table that is to outlive the application; no one clears it."""
+    return f"{shared_dir(spark)}/seqweave/kept/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,13 +69,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    fs, hadoop = _file_system(spark, path)
+    fs.delete(hadoop, True)
+
+
+@contextmanager
+def open_output(spark: SparkSession, path: str):
+    """A file of any file system Spark knows, opened for writing (``write(bytes)``); folders
+    on the way are made, an older file of that name is replaced."""
+    fs, hadoop = _file_system(spark, path)
+    out = fs.create(hadoop, True)
+    try:
+        yield out
+    finally:
+        out.close()
 
 
 def clear_work(spark: SparkSession) -> None:
-    """Remove everything the operators wrote to the shared folder. Results that have not
-    been read or written elsewhere yet are lost with it."""
-    delete_path(spark, f"{shared_dir(spark)}/seqweave")
+    """Remove the work files this application's operators wrote to the shared folder; those
+    of other applications and tables meant to last stay. Results that have not
+    been read or written elsewhere yet are lost with them."""
+    delete_path(spark, work_dir(spark))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.operators.encoding import export
+from seqweave.session import open_output
 
 
 def overwrite_table(df: DataFrame, name: str) -> None:
@@ -16,6 +17,7 @@ def overwrite_table(df: DataFrame, name: str) -> None:
 
 
 #: Annotation tables, and the columns that tell their rows apart (see ``insert_or_ignore``).
+#: Names and columns are fixed values.
 TABLES = {
     "uniprot_quickgo_annotations": ("uniprot_id STRING NOT NULL, go_id STRING NOT NULL, go_name STRING, go_aspect STRING, go_evidence STRING, evidence_code STRING, qualifier STRING, assigned_by STRING, date_created STRING", ["uniprot_id", "go_id"]),
     "interpro_go_mapping": ("interpro_id STRING NOT NULL, interpro_description STRING, go_id STRING NOT NULL, go_name STRING", ["interpro_id", "go_id"]),
@@ -31,9 +33,9 @@ def create_tables(spark, database: str = "default") -> None:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
 
 
-def tables(spark) -> list[str]:
-    """The catalog's tables."""
-    return sorted(t.name for t in spark.catalog.listTables())
+def tables(spark, database: str = "default") -> list[str]:
+    """The tables of a database of the catalog."""
+    return sorted(t.name for t in spark.catalog.listTables(database))
 
 
 def fasta_records(ident: str, seq: str, description: list[str] | None = None, wrap: int | None = None) -> Column:
@@ -57,11 +59,11 @@ def write_vocabularies(v: DataFrame, path: str) -> None:
 
 
 def write_tokenizer(v: DataFrame, config: str, path: str) -> None:
-    """One configuration as a tokenizer file. A vocabulary has some ten thousand units
-    at most, so the driver writes it."""
+    """One configuration as a tokenizer file, on any file system Spark knows. A
+    vocabulary has some ten thousand units at most, so the driver writes it."""
     rows = v.filter(F.col("config_id") == config).select("token_id", "token", "merge_order", "pair").collect()
-    with open(path, "w") as f:
-        json.dump(export([r.asDict() for r in rows]), f)
+    with open_output(v.sparkSession, path) as f:
+        f.write(json.dumps(export([r.asDict() for r in rows])).encode())
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -29,6 +29,10 @@ def test_prosite_msa(spark, tmp_path):
     rows = R.read_prosite_msa(spark, p).orderBy("uniprot_id").collect()
     assert [tuple(r) for r in rows] == [("GIT_R", "Q1", 1, 12, "ARF", "PS50", 23.341, "ACDEF", "AC--dE.F"), ("MIC", "Q9", 2, 4, "ASX", "PS10", None, "ACD", "ACD")]
     assert [r["header"] for r in R.read_prosite_msa(spark, p, rejected=True).collect()] == ["broken header"]
+    bad = ["", "a|b/1-2", "a|b/1-x: c|d", "a|b: c|d", "|b/1-2: c|d", "a|b/1-2: c", "a|b/1-2: |d/3"]
+    p = put(tmp_path / "y.msa", "".join(f">{h}\nAC\n" for h in [*bad, "a|b/1-2: c|d/x: left"]))
+    assert sorted(r["header"] for r in R.read_prosite_msa(spark, p, rejected=True).collect()) == sorted(bad)
+    assert [r["score"] for r in R.read_prosite_msa(spark, p).collect()] == [None]
 
 
 def test_prosite_dat(spark, tmp_path):
@@ -41,6 +45,10 @@ def test_go_mapping(spark, tmp_path):
     p = put(tmp_path / "m", "!note\n\nInterPro:IPR000003 Retinoid X > GO:DNA binding ; GO:0003677\nbad line\n")
     assert [tuple(r) for r in R.read_go_mapping(spark, p).collect()] == [("IPR000003", "Retinoid X", "GO:0003677", "DNA binding")]
     assert [r["line"] for r in R.read_go_mapping(spark, p, rejected=True).collect()] == ["bad line"]
+    bad = ["InterPro:IPR1 > GO:x ; GO:1", "InterPro:PS1 x > GO:x ; GO:1", "Pfam:IPR1 x > GO:x ; GO:1", "InterPro:IPR1 x > x ; GO:1", "InterPro:IPR1 x > GO:x ; 1", "InterPro:IPR1 x > GO:x GO:1"]
+    p = put(tmp_path / "n", "\n".join([*bad, "InterPro:IPR1 a > b > GO:c ; d ; GO:2"]))
+    assert sorted(r["line"] for r in R.read_go_mapping(spark, p, rejected=True).collect()) == sorted(bad)
+    assert [tuple(r) for r in R.read_go_mapping(spark, p).collect()] == [("IPR1", "a > b", "GO:2", "c ; d")]
 
 
 def test_interpro_json(spark, tmp_path):
@@ -60,6 +68,9 @@ def test_obo(spark, tmp_path):
 def test_matrix_and_csv(spark, tmp_path):
     m = R.read_matrix(spark, put(tmp_path / "M", "# c\n   A  R\nA  4 -1\nR -1  5\n"))
     assert m == {("A", "A"): 4.0, ("A", "R"): -1.0, ("R", "A"): -1.0, ("R", "R"): 5.0}
+    for text in ("", "A R\n", "A R\nA 1 2\nR 1\n", "A\n" + "A 1\n" * 1000):
+        with pytest.raises(ValueError):
+            R.read_matrix(spark, put(tmp_path / "no", text))
     put(tmp_path / "t" / "HUMAN" / "a.csv", "mutant,score\nA1C,0.5\n")
     put(tmp_path / "t" / "b.csv", "mutant,score\nA2C,\n")
     assert R.read_csv_tree(spark, str(tmp_path / "t"), "mutant string, score double").count() == 2
@@ -107,8 +118,10 @@ def test_download_and_tables(spark, tmp_path):
     with tarfile.open(tmp_path / "a.tar", "w") as t:
         t.add(tmp_path / "src" / "inner.txt", arcname="inner.txt")
     (tmp_path / "to").mkdir()
-    R.download((tmp_path / "a.tar").as_uri(), str(tmp_path / "to" / "b.tar"))
+    R.download(spark, (tmp_path / "a.tar").as_uri(), str(tmp_path / "to"))
     assert (tmp_path / "to" / "inner.txt").read_text() == "x"
+    (one,) = R.download(spark, (tmp_path / "src" / "inner.txt").as_uri(), str(tmp_path / "far" / "away"), chunk=1)
+    assert open(one).read() == "x"
     assert set(K.TABLES) >= {"prosite_entries", "prosite_patterns"}
     spark.createDataFrame([("c1", "A"), ("c2", "B")], "config_id string, token string").write.partitionBy("config_id").parquet(str(tmp_path / "v"))
     df = R.load_vocabularies(spark, str(tmp_path / "v"), ["c2"])
