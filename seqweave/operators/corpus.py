@@ -21,6 +21,11 @@ def quality_filter(df: DataFrame, seq: str, *, max_len: int = 3000, min_len: int
     return df.filter(keep)
 
 
+def said_true(flag: str, text: str = "True") -> Column:
+    """Whether a truth value kept as text says so; null says no."""
+    return F.coalesce(F.col(flag) == text, F.lit(False))
+
+
 def without_long_parents(slices: DataFrame, key: str, whole: DataFrame, whole_key: str, seq: str, max_len: int = 3000) -> DataFrame:
     """Slices of sequences whose whole is not above ``max_len``: an anti join, so a
     slice without a whole stays."""

@@ -11,7 +11,7 @@ from seqweave.operators.encoding import encode, export
 from seqweave.operators.genealogy import families
 from seqweave.operators.substitution import class_matrix, first_alternatives
 from seqweave.operators.trainer import Rules, train_distributed, train_units
-from seqweave.plans.domain_queries import _MUT, _mutated, proteins, vocab
+from seqweave.plans.domain_queries import _MUT, _mutated, proteins
 from seqweave.plans.tables import table
 from seqweave.session import new_path, written
 from seqweave.sources import readers as R
@@ -96,20 +96,6 @@ def variant_siblings(s: SparkSession, d: str) -> DataFrame:
     return V.sibling_rates(V.with_siblings(judged, families(v)), "config_id")
 
 
-@query()
-def tokenizer_export(s: SparkSession, d: str) -> DataFrame:
-    """Every vocabulary of the table written as JSON and read back."""
-    path = new_path(s, "vocab")
-    K.write_vocabularies(vocab(s, d), path)
-    raw = s.read.text(path)
-    kind = R.VOCAB_JSON
-    rows = raw.select("config_id", F.posexplode(F.map_entries(F.from_json("value", kind))).alias("place", "e"))
-    return rows.select("config_id", F.col("e.key").alias("token"), F.col("e.value.frequency").alias("frequency"), F.col("e.value.parent").alias("parent"))
-
-
-SQL["tokenizer_export"] = "SELECT DISTINCT config_id, token, frequency, parent FROM vocab_entries"
-
-
 @query("SELECT entry AS id, any_value(sequence) AS sequence FROM proteins WHERE sequence <> '' GROUP BY 1")
 def fasta_round_trip(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "fasta")

@@ -30,6 +30,11 @@ def read_csv_tree(spark: SparkSession, path: str, schema: str, containing: str |
     return df.filter(F.contains("path", F.lit(containing))) if containing else df
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Stored results: CSV with a header, types found by reading."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
 VOCAB_JSON = "map<string,struct<frequency:bigint,order:int,pair:array<string>,parent:string,similarity:double,is_parent:boolean>>"
 
 
@@ -144,7 +149,7 @@ def interpro_rows(dumps: DataFrame) -> DataFrame:
 
 def read_obo(spark: SparkSession, path: str) -> DataFrame:
     """Terms of an ontology in OBO text: ``go_id, go_name, go_aspect, is_a, obsolete``."""
-    raw = spark.read.option("lineSep", "\n[").text(path).filter(F.startswith("value", F.lit("Term]"))).select(F.split("value", "\n").alias("l"))
+    raw = spark.read.option("lineSep", "\n[").text(path).select(F.regexp_replace("value", r"^\[", "").alias("v")).filter(F.startswith("v", F.lit("Term]"))).select(F.split("v", "\n").alias("l"))
     named = lambda t: F.transform(F.filter("l", lambda x: F.startswith(x, F.lit(f"{t}: "))), lambda x: F.trim(F.substr(x, F.lit(len(t) + 3))))
     one = lambda t: F.get(named(t), F.lit(0))
     return raw.select(one("id").alias("go_id"), one("name").alias("go_name"), one("namespace").alias("go_aspect"), F.transform(named("is_a"), lambda x: F.split_part(x, F.lit(" "), F.lit(1))).alias("is_a"), F.coalesce(one("is_obsolete") == "true", F.lit(False)).alias("obsolete"))
