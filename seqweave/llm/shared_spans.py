@@ -2,11 +2,13 @@
 
 Records are kept in chunks. The smallest hash of the k-mers in a window names the
 shard of that window, so equal windows meet in one shard whatever records hold
-them. A chunk sends each distinct stretch of windows of one shard once, a shard
+them. A chunk has each distinct stretch of windows of one shard once; the chunks of a
+task send what they have for a task's worth of shards together. A shard
 builds a compressed FM-index over the stretches whose anchor several records
 have, streams them through it by backward search and answers the chunk with the
 windows that different records hold; the chunk turns these into maximal spans.
-A stretch common to a third of all records reaches its shard once per chunk.
+A stretch common to a third of all records reaches its shard once per chunk; shards
+that hold much more than others, measured first, are cut anew by longer k-mers.
 """
 
 from __future__ import annotations
@@ -81,24 +83,51 @@ def _spread(flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Homes:
+    """Which group of shards a window belongs to: equal ranges of its anchor's hash. The
+    windows of ``hot`` groups are dealt to ``extra`` further groups by a second, longer anchor."""
+
+    def __init__(self, k: int, span: int, groups: int, hot: np.ndarray | None = None, extra: int = 0) -> None:
+        self.k, self.span, self.groups, self.extra = k, span, groups, extra
+        self.hot = np.zeros(0, dtype=np.int64) if hot is None else np.sort(hot)
+
+    @staticmethod
+    def _range(lead: np.ndarray, n: int) -> np.ndarray:
+        return ((lead >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
+
+    def of(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all windows: hash, anchor's hash and group."""
+        small, wide = _hashes(text, self.k, self.span)
+        lead = _mixed(_smallest(_mixed(small), self.span - self.k + 1) * np.uint64(5) + np.uint64(7))
+        home = self._range(lead, self.groups)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, home), len(self.hot) - 1)
+            again = self.hot[at] == home
+            if again.any():
+                k2 = (self.k + self.span) // 2
+                second = _smallest(_mixed(_hashes(text, k2, self.span)[0] + np.uint64(_B)), self.span - k2 + 1)
+                lead = np.where(again, _mixed(lead * np.uint64(11) + second), lead)
+                home = np.where(again, self.groups + self._range(lead, self.extra), home)
+        return wide, lead, home
+
+
 class _Stretches:
     """The stretches of a chunk: runs of windows with one anchor, at most _MOST
-    windows each; ``rep`` are the distinct ones in order of shard."""
+    windows each; ``rep`` are the distinct ones in order of group."""
 
-    def __init__(self, text: np.ndarray, lens: np.ndarray, rec: np.ndarray, k: int, span: int, shards: int) -> None:
-        none = np.zeros(0, dtype=np.int64)
-        self.text, self.start, self.windows, self.rep, self.inverse, self.shard = text, none, none, none, none, none
+    def __init__(self, text: np.ndarray, lens: np.ndarray, rec: np.ndarray, homes: _Homes) -> None:
+        none, span = np.zeros(0, dtype=np.int64), homes.span
+        self.text, self.start, self.windows, self.rep, self.inverse, self.group = text, none, none, none, none, none
         if len(text) < span:
             return
-        small, wide = _hashes(text, k, span)
-        anchor = _smallest(_mixed(small), span - k + 1)
+        wide, lead, home = homes.of(text)
         n = len(text) - span + 1
         ends = np.cumsum(lens + 1) - 1
         owner = np.zeros(n + 1, dtype=np.int32)
         np.add.at(owner, np.minimum(ends[ends < n] + 1, n), 1)
         owner = np.cumsum(owner[:n], dtype=np.int32)
         whole = np.arange(n) + span <= ends[owner]
-        cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (whole[1:] != whole[:-1])]))
+        cut = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1]) | (whole[1:] != whole[:-1])]))
         size = np.diff(np.append(cut, n))
         keep = whole[cut]
         cut, size = cut[keep], size[keep]
@@ -125,19 +154,23 @@ class _Stretches:
         if len(odd):
             inverse[odd] = len(rep) + np.arange(len(odd))
             rep = np.concatenate([rep, odd])
-        lead = _mixed(anchor[cut[rep]] * np.uint64(5) + np.uint64(7))
-        shard = (lead >> np.uint64(33)).astype(np.int64) % shards
-        order = np.argsort(shard, kind="stable")
+        group = home[cut[rep]]
+        order = np.argsort(group, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
-        self.rep, self.shard, self.inverse = rep[order], shard[order], place[inverse]
-        self.lead = (lead[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.rep, self.group, self.inverse = rep[order], group[order], place[inverse]
+        self.lead = (lead[cut[self.rep]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         low, high = np.full(len(rep), np.iinfo(np.int64).max), np.full(len(rep), np.iinfo(np.int64).min)
         np.minimum.at(low, self.inverse, self.rec)
         np.maximum.at(high, self.inverse, self.rec)
         self.several = low != high
         self.low = low
 
+    def parts(self) -> list[tuple[int, int, int]]:
+        """(group, from, to) of the distinct stretches."""
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(self.group) != 0])) if len(self.rep) else []
+        return [(int(self.group[x]), int(x), int(y)) for x, y in zip(cuts, [*cuts[1:], len(self.rep)])]
+
 
 def _gather(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     total = int(length.sum())
@@ -167,11 +200,11 @@ def _distinct(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[
     return rep[order], place[inverse]
 
 
-def _chunk_of(t: pa.Table, i: int, k: int, span: int, shards: int) -> _Stretches:
+def _chunk_of(t: pa.Table, i: int, homes: _Homes) -> _Stretches:
     lens = np.array(t["lens"][i].values)
     kind = np.uint32 if t["wide"][i].as_py() else np.uint8
     flat = _unzip(t["body"][i].as_py(), int(lens.sum()), kind)
-    return _Stretches(_spread(flat, lens), lens, np.array(t["recs"][i].values), k, span, shards)
+    return _Stretches(_spread(flat, lens), lens, np.array(t["recs"][i].values), homes)
 
 
 def _chunks(chunk_chars: int):
@@ -211,34 +244,92 @@ def _chunks(chunk_chars: int):
     return run
 
 
-def _send(k: int, span: int, shards: int):
+_SENT = T.StructType([T.StructField("home", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("wide", T.BooleanType()), T.StructField("chunks", T.ArrayType(T.StringType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("body", T.BinaryType()), T.StructField("rest", T.BinaryType())])
+
+
+def _weigh(homes: _Homes):
+    """``home, symbols``: how much each chunk has for each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            for i in range(len(t)):
+                s = _chunk_of(t, i, homes)
+                size = np.cumsum(np.append(0, s.windows[s.rep] + homes.span - 1))
+                parts = s.parts()
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in parts], type=pa.int32()), pa.array([int(size[y] - size[x]) for _, x, y in parts], type=pa.int64())], names=["home", "symbols"])
+
+    return run
+
+
+def _send(homes: _Homes, most: int):
+    """What the chunks of a task have for each group, in one row; after every ``most`` symbols."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = homes.span
+        held: dict[int, list] = {}
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            out: dict[str, list] = {c: [] for c in _SENT.names}
+            for g, pieces in sorted(held.items()):
+                cols = list(zip(*pieces))
+                text, low, lead, flags = (np.concatenate(c) for c in cols[3:])
+                rest = np.concatenate([low.view(np.uint8), lead.view(np.uint8), flags])
+                for c, v in zip(out, (g, len(low), text.dtype.itemsize > 1, cols[0], cols[1], cols[2], _zip(text), _zip(rest))):
+                    out[c].append(v)
+            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(out.values(), kinds)], names=list(out))
+
         for b in batches:
             t = pa.Table.from_batches([b])
             for i in range(len(t)):
-                s = _chunk_of(t, i, k, span, shards)
-                if not len(s.rep):
-                    continue
-                cuts = np.flatnonzero(np.concatenate([[True], np.diff(s.shard) != 0]))
-                cuts = np.append(cuts, len(s.rep))
-                rows = {"shard": [], "n": [], "wide": [], "body": [], "rest": []}
+                s, name = _chunk_of(t, i, homes), t["chunk"][i].as_py()
                 length = s.windows[s.rep] + span - 1
-                for a, e in zip(cuts[:-1], cuts[1:]):
-                    text = _gather(s.text, s.start[s.rep[a:e]], length[a:e])
-                    rows["shard"].append(int(s.shard[a]))
-                    rows["n"].append(int(e - a))
-                    rows["wide"].append(text.dtype.itemsize > 1)
-                    rows["body"].append(_zip(text))
-                    rest = np.concatenate([s.low[a:e].view(np.uint8), s.lead[a:e].view(np.uint8), (length[a:e] - span).astype(np.uint8) | (s.several[a:e].astype(np.uint8) << 7)])
-                    rows["rest"].append(_zip(rest))
-                yield pa.RecordBatch.from_arrays([pa.array([t["chunk"][i].as_py()] * len(rows["n"])), pa.array(rows["shard"], type=pa.int32()), pa.array(rows["n"], type=pa.int32()), pa.array(rows["wide"]), pa.array(rows["body"], type=pa.binary()), pa.array(rows["rest"], type=pa.binary())], names=["chunk", "shard", "n", "wide", "body", "rest"])
+                for g, x, y in s.parts():
+                    flags = (length[x:y] - span).astype(np.uint8) | (s.several[x:y].astype(np.uint8) << 7)
+                    held.setdefault(g, []).append((name, x, y - x, _gather(s.text, s.start[s.rep[x:y]], length[x:y]), s.low[x:y], s.lead[x:y], flags))
+                size += int(length.sum())
+                if size >= most:
+                    yield rows()
+                    held, size = {}, 0
+        if held:
+            yield rows()
 
     return run
 
 
-def _answer(span: int):
+def _solve(text: np.ndarray, begin: np.ndarray, length: np.ndarray, rec: np.ndarray, several: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches, longest first: which of them have windows that different records hold, and
+    the first and last of each run of these."""
+    # copies sent by several chunks stand in the index once
+    rep, inverse = _distinct(text, begin, length)
+    low, high = np.full(len(rep), np.iinfo(np.int64).max), np.full(len(rep), np.iinfo(np.int64).min)
+    np.minimum.at(low, inverse, rec)
+    np.maximum.at(high, inverse, rec)
+    more = low != high
+    np.logical_or.at(more, inverse, several)
+    size = length[rep]
+    symbols, dense = np.unique(_gather(text, begin[rep], size), return_inverse=True)
+    sigma = len(symbols) + 1
+    index = FMIndex(_spread(dense.astype(np.uint8 if sigma < 256 else np.uint32), size), sigma, span)
+    # which blocks of equal windows different records hold
+    owner = np.repeat(np.arange(len(size)), size + 1)[index.order]
+    starts = index.starts[:-1]
+    shared = np.minimum.reduceat(low[owner], starts) != np.maximum.reduceat(low[owner], starts)
+    shared |= np.logical_or.reduceat(more[owner], starts)
+    found = np.zeros((len(size), _MOST + 2), dtype=bool)
+    start = np.cumsum(size + 1) - size - 1
+    for docs, window, block in index.block_matches(start, size):
+        found[docs, window + 1] = shared[block]
+    found = found[inverse]
+    doc, at = np.nonzero(found[:, 1:] != found[:, :-1])
+    return doc[::2], at[::2], at[1::2] - 1
+
+
+def _answer(span: int, shard_chars: int):
     def run(t: pa.Table) -> pa.Table:
-        rec, lead, length, several, texts, origin, place = [], [], [], [], [], [], []
+        rec, lead, length, several, texts, origin, place, names = [], [], [], [], [], [], [], []
         for i in range(len(t)):
             n = t["n"][i].as_py()
             rest = _unzip(t["rest"][i].as_py(), 13 * n, np.uint8)
@@ -248,80 +339,56 @@ def _answer(span: int):
             length.append((flags & 127).astype(np.int64) + span)
             several.append(flags >= 128)
             texts.append(_unzip(t["body"][i].as_py(), int(length[-1].sum()), np.uint32 if t["wide"][i].as_py() else np.uint8))
-            origin.append(np.full(n, i))
-            place.append(np.arange(n))
+            starts, counts = np.array(t["starts"][i].values), np.array(t["counts"][i].values)
+            origin.append(np.repeat(len(names) + np.arange(len(counts)), counts))
+            place.append(np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(n))
+            names += t["chunks"][i].as_py()
         rec, lead, length, several, text, origin, place = map(np.concatenate, (rec, lead, length, several, texts, origin, place))
         # anchors that only one record has cannot lie in a shared window
         order = np.argsort(lead, kind="stable")
         group = np.flatnonzero(np.concatenate([[True], lead[order][1:] != lead[order][:-1]]))
         many = (np.minimum.reduceat(rec[order], group) != np.maximum.reduceat(rec[order], group)) | np.logical_or.reduceat(several[order], group)
         kept = order[np.repeat(many, np.diff(np.append(group, len(order))))]
-        out = {"chunk": [], "shard": [], "n": [], "runs": []}
-        if len(kept):
-            kept = kept[np.argsort(-length[kept], kind="stable")]  # longest first
-            begin = (np.cumsum(length) - length)[kept]
-            length, rec, several, origin, place = (a[kept] for a in (length, rec, several, origin, place))
-            # copies sent by several chunks stand in the index once
-            rep, inverse = _distinct(text, begin, length)
-            low, high = np.full(len(rep), np.iinfo(np.int64).max), np.full(len(rep), np.iinfo(np.int64).min)
-            np.minimum.at(low, inverse, rec)
-            np.maximum.at(high, inverse, rec)
-            more = low != high
-            np.logical_or.at(more, inverse, several)
-            size = length[rep]
-            symbols, dense = np.unique(_gather(text, begin[rep], size), return_inverse=True)
-            sigma = len(symbols) + 1
-            shard = _spread(dense.astype(np.uint8 if sigma < 256 else np.uint32), size)
-            index = FMIndex(shard, sigma, span)
-            # which blocks of equal windows different records hold
-            owner = np.repeat(np.arange(len(size)), size + 1)[index.order]
-            starts = index.starts[:-1]
-            shared = np.minimum.reduceat(low[owner], starts) != np.maximum.reduceat(low[owner], starts)
-            shared |= np.logical_or.reduceat(more[owner], starts)
-            found = np.zeros((len(size), _MOST + 2), dtype=bool)
-            start = np.cumsum(size + 1) - size - 1
-            for docs, window, block in index.block_matches(start, size):
-                found[docs, window + 1] = shared[block]
-            found = found[inverse]
-            edge = found[:, 1:] != found[:, :-1]
-            doc, at = np.nonzero(edge)
-            doc, a, e = doc[::2], at[::2], at[1::2] - 1
-            by = np.argsort(origin[doc], kind="stable")
-            doc, a, e = doc[by], a[by], e[by]
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(origin[doc]) != 0])) if len(doc) else np.zeros(0, dtype=np.int64)
-            for x, y in zip(cuts, np.append(cuts[1:], len(doc))):
-                out["chunk"].append(t["chunk"][int(origin[doc[x]])].as_py())
-                out["shard"].append(t["shard"][0].as_py())
-                out["n"].append(int(y - x))
-                out["runs"].append(_zip(np.concatenate([place[doc[x:y]], a[x:y], e[x:y]]).astype(np.int32)))
-        return pa.table({"chunk": pa.array(out["chunk"], type=pa.string()), "shard": pa.array(out["shard"], type=pa.int32()), "n": pa.array(out["n"], type=pa.int32()), "runs": pa.array(out["runs"], type=pa.binary())})
+        begin = np.cumsum(length) - length
+        # a group's shards: the same anchor is in the same one
+        shards = max(1, -(-int(length[kept].sum()) // shard_chars))
+        of = lead[kept] % np.uint32(shards)
+        found = [np.zeros((4, 0), dtype=np.int64)]
+        for k in range(shards):
+            mine = kept[of == k] if shards > 1 else kept
+            if len(mine):
+                mine = mine[np.argsort(-length[mine], kind="stable")]  # longest first
+                doc, a, e = _solve(text, begin[mine], length[mine], rec[mine], several[mine], span)
+                found.append(np.stack([origin[mine][doc], place[mine][doc], a, e]))
+        runs = np.concatenate(found, axis=1)
+        runs = runs[:, np.argsort(runs[0], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(runs[0]) != 0])) if runs.shape[1] else []
+        out: dict[str, list] = {"chunk": [], "n": [], "runs": []}
+        for x, y in zip(cuts, [*cuts[1:], runs.shape[1]]):
+            for c, v in zip(out.values(), (names[runs[0, x]], int(y - x), _zip(runs[1:, x:y].astype(np.int32)))):
+                c.append(v)
+        return pa.table({"chunk": pa.array(out["chunk"], type=pa.string()), "n": pa.array(out["n"], type=pa.int32()), "runs": pa.array(out["runs"], type=pa.binary())})
 
     return run
 
 
-def _resolve(k: int, span: int, shards: int):
+def _resolve(homes: _Homes):
     names = ["src", "id", "span_start", "span_end"]
     empty = pa.table({"src": pa.array([], type=pa.string()), "id": pa.array([], type=pa.string()), "span_start": pa.array([], type=pa.int64()), "span_end": pa.array([], type=pa.int64())})
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(chunks) or not len(answers):
             return empty
-        s = _chunk_of(chunks, 0, k, span, shards)
-        first = np.searchsorted(s.shard, np.arange(shards))
-        which, a, e = [], [], []
-        for i in range(len(answers)):
-            runs = _unzip(answers["runs"][i].as_py(), 3 * answers["n"][i].as_py(), np.int32).reshape(3, -1)
-            which.append(runs[0] + first[answers["shard"][i].as_py()])
-            a.append(runs[1])
-            e.append(runs[2])
-        which, a, e = map(np.concatenate, (which, a, e))
+        s = _chunk_of(chunks, 0, homes)
+        runs = [_unzip(answers["runs"][i].as_py(), 3 * answers["n"][i].as_py(), np.int32).reshape(3, -1) for i in range(len(answers))]
+        which, a, e = np.concatenate(runs, axis=1)
         # every stretch with the same text as the one answered for
         by = np.argsort(s.inverse, kind="stable")
         sorted_ = s.inverse[by]
         lo, hi = np.searchsorted(sorted_, which, "left"), np.searchsorted(sorted_, which, "right")
         n = hi - lo
         each = by[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        begin, stop = s.start[each] + np.repeat(a, n), s.start[each] + np.repeat(e, n) + span
+        begin, stop = s.start[each] + np.repeat(a, n), s.start[each] + np.repeat(e, n) + homes.span
         cover = np.zeros(len(s.text) + 1, dtype=np.int32)
         np.add.at(cover, begin, 1)
         np.add.at(cover, stop, -1)
@@ -337,7 +404,7 @@ def _resolve(k: int, span: int, shards: int):
     return run
 
 
-def shared_spans(records: DataFrame, src: str, record_id: str, sequence: str, *, span: int = 40, anchor: int = 10, chunk_chars: int = 1_500_000, shard_chars: int = 1_000_000) -> DataFrame:
+def shared_spans(records: DataFrame, src: str, record_id: str, sequence: str, *, span: int = 40, anchor: int = 10, chunk_chars: int = 1_500_000, group_chars: int = 4_000_000, shard_chars: int = 4_000_000, send_chars: int = 64_000_000, hot: float = 4.0) -> DataFrame:
     """``src, id, span_start, span_end``: the maximal runs of symbols that lie in a
     window of ``span`` symbols which a different record holds too; positions from 1,
     both ends included.
@@ -348,8 +415,11 @@ def shared_spans(records: DataFrame, src: str, record_id: str, sequence: str, *,
     record (its rows are taken to hold the same sequence); sequences are compared
     symbol by symbol, in any alphabet and of any length; an empty table gives no
     row; further columns are not read. Records are told apart by 64-bit hashes of
-    their names. The table is written in chunks of about ``chunk_chars`` symbols, the number of
-    shards follows its size by ``shard_chars``.
+    their names. The table is written in chunks of about ``chunk_chars`` symbols; the number of
+    groups of shards, each a task's work, follows its size by ``group_chars``. Groups of more than
+    ``hot`` times the mean are cut anew, so at most a share 1 / ``hot`` of all groups is named to the
+    tasks. ``shard_chars`` bounds an index and ``send_chars`` what waits to be sent; none of these
+    changes the result.
     """
     src_rows = records.select(records[src].cast("string").alias("src"), records[record_id].cast("string").alias("id"), records[sequence].alias("seq")).filter("src IS NOT NULL AND id IS NOT NULL AND seq IS NOT NULL")
     rows = src_rows.select("src", "id", F.xxhash64("src", "id").alias("rec"), "seq", F.length("seq").alias("chars"))
@@ -357,10 +427,20 @@ def shared_spans(records: DataFrame, src: str, record_id: str, sequence: str, *,
     shape = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("srcs", text), T.StructField("ids", text), T.StructField("recs", T.ArrayType(T.LongType())), T.StructField("lens", T.ArrayType(T.LongType())), T.StructField("wide", T.BooleanType()), T.StructField("chars", T.LongType()), T.StructField("body", T.BinaryType())])
     chunks = written(rows.mapInArrow(_chunks(chunk_chars), shape), "chunks")
     total = chunks.agg(F.sum("chars")).first()[0] or 0
-    shards = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_chars))
-    sent = chunks.select("chunk", "recs", "lens", "wide", "body").mapInArrow(_send(anchor, span, shards), "chunk string, shard int, n int, wide boolean, body binary, rest binary")
-    # some shards or chunks to a task, however few partitions the session has
-    several = lambda df, key, chars: df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * chars))), key)
-    answers = several(sent, "shard", shard_chars).groupBy("shard").applyInArrow(_answer(span), "chunk string, shard int, n int, runs binary")
-    found = several(chunks, "chunk", chunk_chars).groupBy("chunk").cogroup(several(answers, "chunk", chunk_chars).groupBy("chunk")).applyInArrow(_resolve(anchor, span, shards), "src string, id string, span_start long, span_end long")
+    shuffles = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(shuffles, -(-total // group_chars))
+    homes = _Homes(anchor, span, groups)
+    slim = chunks.select("chunk", "recs", "lens", "wide", "body")
+    held = slim.mapInArrow(_weigh(homes), "home int, symbols long").groupBy("home").agg(F.sum("symbols").alias("symbols"))
+    mean = (total * (1 + span / 8)) / groups
+    large = held.filter(F.col("symbols") > hot * max(mean, group_chars)).collect()
+    if large:
+        homes = _Homes(anchor, span, groups, np.array([r["home"] for r in large], dtype=np.int64), sum(-(-r["symbols"] // group_chars) for r in large))
+    every = groups + homes.extra
+    sent = slim.mapInArrow(_send(homes, send_chars), _SENT)
+    answers = sent.repartition(every, "home").groupBy("home").applyInArrow(_answer(span, shard_chars), "chunk string, n int, runs binary")
+    # some chunks to a task, however few partitions the session has
+    tasks = max(shuffles, -(-total // (4 * chunk_chars)))
+    by_chunk = lambda df: df.repartition(tasks, "chunk").groupBy("chunk")
+    found = by_chunk(chunks).cogroup(by_chunk(answers)).applyInArrow(_resolve(homes), "src string, id string, span_start long, span_end long")
     return found.distinct()

@@ -59,7 +59,8 @@ def test_spans_against_brute_force(spark, letters):
     rows += [("p", "self", own + word(9) + own), ("p", "none", None), (None, "x", "A" * 40), ("p", None, "A" * 40), ("p", "empty", ""), ("u", "same", word(200) + domain)]
     rows += rows[:30] + [("u", f"copy{i}", rows[3][2]) for i in range(60)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "src string, id string, seq string, rec int").repartition(5)
-    for sizes in ({"chunk_chars": 300, "shard_chars": 200}, {}):
+    small = {"chunk_chars": 300, "group_chars": 200, "shard_chars": 150, "send_chars": 900}
+    for sizes in (small | {"hot": 1e-9}, small | {"hot": 1.5}, small, {}):
         got = shared_spans(df, "src", "id", "seq", span=14, anchor=4, **sizes).collect()
         assert {tuple(r) for r in got} == brute(rows, 14) and len(got) == len({tuple(r) for r in got})
     assert shared_spans(df.limit(0), "src", "id", "seq").count() == 0
