@@ -436,9 +436,9 @@ def shared_spans(records: DataFrame, src: str, record_id: str, sequence: str, *,
     large = held.filter(F.col("symbols") > hot * max(mean, group_chars)).collect()
     if large:
         homes = _Homes(anchor, span, groups, np.array([r["home"] for r in large], dtype=np.int64), sum(-(-r["symbols"] // group_chars) for r in large))
-    every = groups + homes.extra
+    every = groups + homes.extra  # a group is a partition
     sent = slim.mapInArrow(_send(homes, send_chars), _SENT)
-    answers = sent.repartition(every, "home").groupBy("home").applyInArrow(_answer(span, shard_chars), "chunk string, n int, runs binary")
+    answers = sent.repartitionById(every, "home").groupBy("home").applyInArrow(_answer(span, shard_chars), "chunk string, n int, runs binary")
     # some chunks to a task, however few partitions the session has
     tasks = max(shuffles, -(-total // (4 * chunk_chars)))
     by_chunk = lambda df: df.repartition(tasks, "chunk").groupBy("chunk")
