@@ -1,23 +1,27 @@
 """References to records that do not exist.
 
-Keys are cut into equal ranges of their 64-bit hash order. Each range holds its
-parents as one sorted array; batches of references are probed against it by
-binary search. The references of a range with more rows than ``block_rows`` are
-dealt to several blocks, each with a copy of the range's parents, so one key on
-a third of all rows makes more blocks, not a longer task.
+Keys are cut into ranges that hold about as many rows each, bounds drawn from the
+keys of both sides. Each range holds its parents as one sorted array; batches of
+references are probed against it by binary search. The references of a range with
+more rows than ``block_rows`` are dealt to several blocks, each with a copy of the
+range's parents, so one key on a third of all rows makes more blocks, not a longer task.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_RANGES = 65_536
+_POINTS = 2_000_000  # keys that the bounds are drawn from, about
+_WIDE = 64
 _NEVER = np.iinfo(np.int64).max
 _FIRST = np.iinfo(np.int64).min
 
@@ -25,9 +29,76 @@ _FIRST = np.iinfo(np.int64).min
 def _fixed(keys: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Strings as fixed-width bytes that sort and compare exactly; keys beyond
     64 bytes become digests with a mark that no shorter key has."""
-    raw = [k.encode() for k in keys.to_pylist()]
-    raw = [k if len(k) <= 64 and not k.endswith(b"\0") else b"\xff" + hashlib.blake2b(k, digest_size=32).digest() + b"\xff" for k in raw]
-    return np.array(raw, dtype="S66") if raw else np.zeros(0, dtype="S66")
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    if not len(keys):
+        return np.zeros(0, dtype=f"S{_WIDE + 2}")
+    raw = keys.cast(pa.binary())
+    odd = pc.or_(pc.greater(pc.binary_length(raw), _WIDE), pc.or_(pc.invert(pc.string_is_ascii(keys)), pc.ends_with(keys, "\0")))
+    out = np.zeros(len(keys), dtype=f"S{_WIDE + 2}")
+    plain = pc.ascii_rpad(keys.filter(pc.invert(odd)), _WIDE + 2, "\0").cast(pa.binary())
+    flat = np.frombuffer(plain.buffers()[2], dtype=f"S{_WIDE + 2}", count=len(plain), offset=np.frombuffer(plain.buffers()[1], dtype=np.int32)[plain.offset]) if len(plain) else out[:0]
+    odd = odd.to_numpy(zero_copy_only=False)
+    out[~odd] = flat
+    # only keys that are long or not ASCII are handled one by one
+    for i in np.flatnonzero(odd):
+        k = raw[int(i)].as_py()
+        out[i] = k if len(k) <= _WIDE and not k.endswith(b"\0") else b"\xff" + hashlib.blake2b(k, digest_size=32).digest() + b"\xff"
+    return out
+
+
+def _points(most: int):
+    """``point, rows``: every so many keys of a task in their order, and how many each stands for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.sort(np.concatenate([_fixed(pa.array([], type=pa.string())), *(_fixed(b.column(0)) for b in batches)]))
+        if len(keys):
+            cuts = np.unique(np.linspace(0, len(keys), min(most, len(keys)) + 1).astype(np.int64))
+            # padded again: the bytes are compared as they are
+            points = [k.ljust(_WIDE + 2, b"\0") for k in keys[(cuts[:-1] + cuts[1:]) // 2].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(points, type=pa.binary()), pa.array(np.diff(cuts))], names=["point", "rows"])
+
+    return run
+
+
+class Ranges:
+    """Ranges of the keys with about ``rows`` of the rows that the points stand for, ``least`` of
+    them if there are as many points, and the blocks of each."""
+
+    def __init__(self, points: list[bytes], weights: list[int], rows: int, least: int, block_rows: int) -> None:
+        order = np.argsort(np.array(points, dtype=f"S{_WIDE + 2}"), kind="stable") if points else np.zeros(0, dtype=np.int64)
+        key, weight = np.array(points, dtype=f"S{_WIDE + 2}")[order], np.array(weights, dtype=np.int64)[order]
+        before = np.cumsum(weight) - weight
+        n = int(min(MAX_RANGES, max(least, -(-int(weight.sum()) // rows), 1)))
+        at = np.searchsorted(before, np.arange(1, n) * (weight.sum() / n))
+        # a key begins a range, so rows of one key stay in one; a range begins behind it too
+        self.bounds = np.unique(key[np.minimum(at, len(key) - 1)]) if len(key) else key
+        share = np.bincount(self.of(key), weights=weight, minlength=len(self.bounds) + 1)
+        self.blocks = np.maximum(1, -(-share.astype(np.int64) // block_rows))
+        self.first = np.cumsum(self.blocks) - self.blocks
+        self.count = int(self.blocks.sum())
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, keys, "right")
+
+    def deal(self, copies: bool):
+        """Adds ``home`` to rows by their first column: references go to one block of their range
+        each in turn, parents to all of them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            turn = 0
+            for b in batches:
+                r = self.of(_fixed(b.column(0)))
+                if copies:
+                    n = self.blocks[r]
+                    at = np.repeat(np.arange(len(r)), n)
+                    home = self.first[r][at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                    b = b.take(pa.array(at))
+                else:
+                    home = self.first[r] + (turn + np.arange(len(r))) % self.blocks[r]
+                    turn += len(r)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32))], names=[*b.schema.names, "home"])
+
+        return run
 
 
 def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
@@ -52,17 +123,11 @@ def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
     bad = reason > 0
     names = np.array([None, "absent", "not_yet", "withdrawn"], dtype=object)[reason[bad]]
     kept = refs.filter(pa.array(bad))
-    drop = ("rkey", "at", "range_id", "salt")
+    drop = ("rkey", "at", "home")
     cols = {n: kept[n] for n in kept.column_names if n not in drop}
     return pa.table(cols | {"reason": pa.array(names, type=pa.string())})
 
 
-def hash_range(c, n: int):
-    """The range of a key: the order of its 64-bit hash, taken without sign, cut into
-    ``n`` (at most 2^31) equal ranges by its leading 31 bits."""
-    return F.shiftright(F.shiftrightunsigned(F.xxhash64(c), 33) * F.lit(n).cast("long"), 31).cast("int")
-
-
 def orphan_references(
     refs: DataFrame,
     parents: DataFrame,
@@ -90,27 +155,16 @@ def orphan_references(
     do no harm; keys of any length compare exactly up to a 256-bit digest.
     """
     micros = lambda df, c: F.unix_micros(df[c].cast("timestamp")) if c else F.lit(None).cast("long")
-    shuffles = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = int(min(MAX_RANGES, max(shuffles, parents.count() / range_rows + 1)))
-    ranged = lambda c: hash_range(c, n)
-    p = (
-        parents.select(parents[parent_key].alias("pkey"), micros(parents, parent_first).alias("first"), micros(parents, parent_gone).alias("gone"))
-        .filter(F.col("pkey").isNotNull())
-        .groupBy("pkey")
-        .agg(F.min("first").alias("first"), F.min("gone").alias("gone"))
-        .withColumn("range_id", ranged(F.col("pkey")))
-    )
+    least = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inner = [f"carry_{i}" for i in range(len(carry))]
-    r = refs.select(refs[ref_key].alias("rkey"), micros(refs, ref_time).alias("at"), *(refs[c].alias(i) for c, i in zip(carry, inner))).filter(F.col("rkey").isNotNull()).withColumn("range_id", ranged(F.col("rkey")))
-    # at most MAX_RANGES rows of two integers, so both the collect and the broadcast are bounded
-    counts = r.groupBy("range_id").count().filter(F.col("count") > block_rows).collect()
-    if counts:
-        hot = refs.sparkSession.createDataFrame([(int(c["range_id"]), int(-(-c["count"] // block_rows))) for c in counts], "range_id int, salts int")
-        salted = lambda df: df.join(F.broadcast(hot), "range_id", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        r = salted(r).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int")).drop("salts")
-        p = salted(p).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    else:
-        r, p = r.withColumn("salt", F.lit(0)), p.withColumn("salt", F.lit(0))
+    p = parents.select(parents[parent_key].alias("pkey"), micros(parents, parent_first).alias("first"), micros(parents, parent_gone).alias("gone")).filter(F.col("pkey").isNotNull())
+    r = refs.select(refs[ref_key].alias("rkey"), micros(refs, ref_time).alias("at"), *(refs[c].alias(i) for c, i in zip(carry, inner))).filter(F.col("rkey").isNotNull())
+    keys = r.select("rkey").unionByName(p.select(F.col("pkey").alias("rkey")))
+    # a bounded number of keys in all, whatever the number of tasks
+    drawn = keys.mapInArrow(_points(max(4, min(1024, _POINTS // max(1, keys.rdd.getNumPartitions())))), "point binary, rows long").toArrow()
+    ranges = Ranges(drawn["point"].to_pylist(), drawn["rows"].to_pylist(), range_rows, least, block_rows)
+    p = p.groupBy("pkey").agg(F.min("first").alias("first"), F.min("gone").alias("gone"))
+    dealt = lambda df, copies: df.mapInArrow(ranges.deal(copies), T.StructType([*df.schema.fields, T.StructField("home", T.IntegerType())])).repartitionById(ranges.count, "home").groupBy("home")
     schema = T.StructType([T.StructField(i, refs.schema[c].dataType) for c, i in zip(carry, inner)] + [T.StructField("reason", T.StringType())])
-    found = r.groupBy("range_id", "salt").cogroup(p.groupBy("range_id", "salt")).applyInArrow(_probe, schema)
+    found = dealt(r, False).cogroup(dealt(p, True)).applyInArrow(_probe, schema)
     return found.select(*(F.col(i).alias(c) for c, i in zip(carry, inner)), "reason")

@@ -120,13 +120,26 @@ def test_islands_and_gaps(spark):
     assert islands_and_gaps(df.limit(0), "e", "s", "t").count() == 0
 
 
-def test_ranges_of_the_hash_order(spark):
-    from pyspark.sql import functions as F
-
-    from seqweave.operators.references import hash_range
-
-    h = F.xxhash64("id")
-    rows = spark.range(5000).select(hash_range(F.col("id"), 7).alias("range_id"), h.alias("h")).collect()
-    in_order = [r["range_id"] for r in sorted(rows, key=lambda r: r["h"] % (1 << 64))]
-    assert in_order == sorted(in_order) and set(in_order) == set(range(7))
-    assert all(500 < in_order.count(k) < 950 for k in range(7))
+def test_ranges_of_the_keys():
+    import numpy as np
+    import pyarrow as pa
+
+    from seqweave.operators.references import Ranges, _fixed, _points
+
+    rng = random.Random(5)
+    keys = ["", "a", "a" * 64, "a" * 65, "a" * 66, "é", "é" * 33, "z\0", "z"]
+    fixed = _fixed(pa.array(keys))
+    assert len(set(fixed.tolist())) == len(keys) and fixed[1] == b"a" and fixed[4][0] == 255
+    rows = [f"k{rng.randrange(4000):05d}" for _ in range(6000)] + ["k01000"] * 3000
+    rng.shuffle(rows)
+    drawn = [b for at in range(0, 9000, 3000) for b in _points(200)(iter([pa.RecordBatch.from_arrays([pa.array(rows[at : at + 3000])], names=["k"])]))]
+    ranges = Ranges([x for b in drawn for x in b.column(0).to_pylist()], [x for b in drawn for x in b.column(1).to_pylist()], 900, 4, 700)
+    of = ranges.of(_fixed(pa.array(sorted(rows))))
+    assert (np.diff(of) >= 0).all() and len(ranges.bounds) >= 7
+    load = np.bincount(of, minlength=len(ranges.blocks))
+    assert (load / ranges.blocks < 1300).all() and ranges.blocks[ranges.of(_fixed(pa.array(["k01000"])))[0]] >= 4
+    (dealt,) = ranges.deal(False)(iter([pa.RecordBatch.from_arrays([pa.array(rows)], names=["k"])]))
+    assert np.bincount(dealt["home"].to_numpy()).max() < 1300
+    (held,) = ranges.deal(True)(iter([pa.RecordBatch.from_arrays([pa.array(["k01000", "k03999"])], names=["k"])]))
+    assert len(held) == sum(ranges.blocks[ranges.of(_fixed(pa.array(["k01000", "k03999"])))])
+    assert Ranges([], [], 10, 3, 10).count == 1
