@@ -70,9 +70,10 @@ def per_key_totals(df: DataFrame, key: str, value: str | None = None, *, blocks:
     Only the two named columns are read, whatever else the table holds.
     """
     spark = df.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df.select(df[key].cast("string").alias("k"), (df[value].cast("double") if value else F.lit(0.0)).alias("v")).filter(F.col("k").isNotNull())
     splits = src.rdd.getNumPartitions()
+    # a split has a bounded number of keys, so blocks that grow with the splits stay bounded
+    blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), splits // 4)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

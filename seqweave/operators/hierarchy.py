@@ -2,10 +2,12 @@
 
 Nodes are cut into blocks by id within their group. A block follows its own
 chains to the exits of its fragments; the nodes other blocks point to form a
-smaller quotient forest, which is solved the same way with wider blocks; its
+smaller quotient forest, which is solved the same way, its blocks wider by as much as
+the forest has shrunk, so that no block grows; its
 answers are then expanded through the fragments. A chain that never leaves a
 block and never ends is a local ring; one that does so only in the quotient is a
-global ring.
+global ring. A quotient that has not shrunk to half, as where parents lie anywhere, is
+solved by doubling the reach of every node instead, which needs no blocks.
 """
 
 from __future__ import annotations
@@ -24,17 +26,22 @@ TREE, RING, TAIL = "tree", "ring", "leads_to_ring"
 # ---------------------------------------------------------------- resolving names
 
 
-def resolved_nodes(df: DataFrame, group: str, node: str, name: str, links: list) -> DataFrame:
-    """Distinct ``g, id, name, target`` rows: one per name and resolved link
-    (Column giving the linked name), and one with a null target where a name has
-    none. Rows with a null group, id or name are left out; of different ids of
-    one name the smallest counts; links to absent names end there."""
-    src = df.select(df[group].alias("g"), df[node].cast("long").alias("id"), df[name].alias("name"), F.array(*links).alias("links")).filter(F.col("g").isNotNull() & F.col("id").isNotNull() & F.col("name").isNotNull())
-    nodes = src.groupBy("g", "name").agg(F.min(F.struct("id", "links")).alias("m")).select("g", "name", "m.id", "m.links")
-    named = nodes.select("g", "id", "name", F.explode("links").alias("link")).filter(F.col("link").isNotNull())
-    # names without links never enter the join, so nulls make no hot key
-    found = named.join(nodes.select("g", F.col("name").alias("link"), F.col("id").alias("target")), ["g", "link"]).select("g", "id", "name", "target")
-    return nodes.select("g", "id", "name").join(found.select("g", "id", "target").distinct(), ["g", "id"], "left")
+class Resolved:
+    """Entries and links of a table, names resolved once for links of all kinds:
+    ``nodes`` (``g, id, name``) and ``links`` (``g, kind, id, target``), both written to
+    the shared folder. ``links`` names Columns that give linked names, by kind.
+
+    Rows with a null group, id or name are left out; of different ids of one name the
+    smallest counts; links to absent names end there; repeats count once."""
+
+    def __init__(self, df: DataFrame, group: str, node: str, name: str, links: dict[str, list]) -> None:
+        named = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("link")) for k, cols in links.items() for c in cols))
+        src = df.select(df[group].alias("g"), df[node].cast("long").alias("id"), df[name].alias("name"), named.alias("links")).filter(F.col("g").isNotNull() & F.col("id").isNotNull() & F.col("name").isNotNull())
+        rows = written(src.groupBy("g", "name").agg(F.min(F.struct("id", "links")).alias("m")).select("g", "name", "m.id", "m.links"), "nodes")
+        self.nodes = rows.select("g", "id", "name")
+        # names without links never enter the join, so nulls make no hot key
+        each = rows.select("g", "id", F.inline("links")).filter(F.col("link").isNotNull())
+        self.links = written(each.join(rows.select("g", F.col("name").alias("link"), F.col("id").alias("target")), ["g", "link"]).select("g", "kind", "id", "target").distinct(), "links")
 
 
 # ---------------------------------------------------------------- forests
@@ -78,7 +85,26 @@ def _contract(t: pa.Table) -> pa.Table:
     return pa.table(out, names=["g", "id", "exit", "frag", "status"])
 
 
-def forest_paths(df: DataFrame, group: str, node: str, name: str, parent: str, *, block_nodes: int = 200_000, widen: int = 16) -> DataFrame:
+def _doubled(level: DataFrame) -> DataFrame:
+    """``g, id, exit, frag, status`` of all nodes of a forest (``g, id, target, frag, dead``), none with an
+    exit: every open node takes over the reach of the node it has come to, until all have
+    ended. A chain that meets a name again ends; its node is on the ring if the name is its own."""
+    status = F.when(F.col("dead"), TAIL).when(F.col("target").isNull(), TREE)
+    now = level.select("g", "id", "target", "frag", F.col("frag").alias("own"), status.alias("status"))
+    while True:
+        now = written(now, "doubled")
+        ended, live = now.filter("status IS NOT NULL"), now.filter("status IS NULL")
+        if live.isEmpty():
+            return now.select("g", "id", F.lit(None).cast("long").alias("exit"), F.when(F.col("status") == TREE, F.col("frag")).otherwise(F.col("own")).alias("frag"), "status")
+        above = now.select("g", F.col("id").alias("target"), F.col("target").alias("next"), F.col("frag").alias("up"), F.col("status").alias("end"))
+        step = live.join(above, ["g", "target"]).withColumn("frag", F.when(F.col("end").isin(TAIL, RING), F.col("frag")).otherwise(F.concat("up", "frag")))
+        again = F.size(F.array_distinct("frag")) < F.size("frag")
+        own = F.array_contains(F.slice("frag", F.lit(1), F.size("frag") - 1), F.element_at("frag", -1))
+        end = F.when(F.col("end").isin(TAIL, RING), TAIL).when(again & own, RING).when(again, TAIL).when(F.col("end") == TREE, TREE)
+        now = ended.unionByName(step.select("g", "id", F.col("next").alias("target"), "frag", "own", end.alias("status")))
+
+
+def forest_paths(df: DataFrame | Resolved, group: str = "", node: str = "", name: str = "", parent: str = "", *, kind: str = "parent", block_nodes: int = 200_000) -> DataFrame:
     """``g, id, name, depth, root, path, status`` for every node of the forest.
 
     ``path`` is the array of names from the root down to the node, ``depth`` its
@@ -86,34 +112,43 @@ def forest_paths(df: DataFrame, group: str, node: str, name: str, parent: str, *
     (the node can be reached from itself) or ``leads_to_ring``; the last two have
     a null path, root and depth.
 
-    Defined cases: a null or absent parent makes a root; a node that is its own
-    parent is a ring; exact repeats count once; rows with a null group, id or name
-    are left out; an empty table gives no row; further columns are not read.
+    Defined cases: those of ``Resolved``, which may be given instead of a table and has the
+    links as ``kind``; a null or absent parent makes a root; a node that is its own
+    parent is a ring; an empty table gives no row; further columns are not read.
     ``block_nodes`` is the width in ids of a block at the first level; only nodes
-    that other blocks point to go on to the next, in blocks ``widen`` times as wide.
+    that other blocks point to go on to the next.
     """
-    level = written(resolved_nodes(df, group, node, name, [df[parent]]).withColumns({"frag": F.array("name"), "dead": F.lit(False)}), "forest-0")
-    names = level.select("g", "id", "name")
+    known = df if isinstance(df, Resolved) else Resolved(df, group, node, name, {kind: [df[parent]]})
+    names = known.nodes
+    links = known.links.filter(F.col("kind") == kind).select("g", "id", "target")
+    level = names.join(links, ["g", "id"], "left").select("g", "id", "target", F.array("name").alias("frag"), F.lit(False).alias("dead"))
     shape = T.StructType([T.StructField("g", level.schema["g"].dataType), T.StructField("id", T.LongType()), T.StructField("exit", T.LongType()), T.StructField("frag", T.ArrayType(T.StringType())), T.StructField("status", T.StringType())])
-    width, levels = block_nodes, []
+    width, levels, before = block_nodes, [], None
     while True:
         local = written(level.select("g", "id", "target", "frag", "dead", F.floor(F.col("id") / width).alias("block")).groupBy("g", "block").applyInArrow(_contract, shape), f"forest-{len(levels) + 1}")
         levels.append(local)
+        before = before or local.count()
         exits = local.filter(F.col("exit").isNotNull()).select("g", F.col("exit").alias("id")).distinct()
         level = written(exits.join(local, ["g", "id"]).select("g", "id", F.col("exit").alias("target"), "frag", F.coalesce(F.col("status") != TREE, F.lit(False)).alias("dead")), "quotient")
-        if level.isEmpty():
+        left = level.count()
+        if not left:
             break
-        width *= widen
+        if left > block_nodes and left * 2 > before:
+            levels.append(_doubled(level))
+            break
+        # as many nodes to a block as before; what fits in one block altogether is one
+        width = 1 << 62 if left <= block_nodes else width * (before // left)
+        before = left
     ring_names = None
     for local in levels:
         part = local.filter(F.col("status") == RING).select("g", F.explode("frag").alias("name"))
         ring_names = part if ring_names is None else ring_names.unionByName(part)
     solved = levels[-1].select("g", "id", "frag", "status")
     for local in reversed(levels[:-1]):
-        known = local.filter(F.col("exit").isNull()).select("g", "id", "frag", "status")
+        ended = local.filter(F.col("exit").isNull()).select("g", "id", "frag", "status")
         above = solved.select("g", F.col("id").alias("exit"), F.col("frag").alias("up"), "status")
         rest = local.filter(F.col("exit").isNotNull()).select("g", "id", "exit", "frag").join(above, ["g", "exit"])
-        solved = known.unionByName(rest.select("g", "id", F.concat("up", "frag").alias("frag"), "status"))
+        solved = ended.unionByName(rest.select("g", "id", F.concat("up", "frag").alias("frag"), "status"))
     tree = F.col("status") == TREE
     out = names.join(solved, ["g", "id"]).join(ring_names.distinct().withColumn("on_ring", F.lit(True)), ["g", "name"], "left")
     path = F.when(tree, F.col("frag"))
@@ -197,20 +232,22 @@ def _rings(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     return member
 
 
-def ring_members(df: DataFrame, group: str, node: str, name: str, links: list, *, block_edges: int = 1_000_000, width: int = 200_000, widen: int = 16, max_levels: int = 8) -> DataFrame:
+def ring_members(df: DataFrame | Resolved, group: str = "", node: str = "", name: str = "", links: list | None = None, *, kind: str = "link", block_edges: int = 1_000_000, width: int = 200_000, widen: int = 16, max_levels: int = 8) -> DataFrame:
     """``g, id``: the nodes that can be reached from themselves by one or more of
     ``links`` (Columns giving the linked names; several for links of more parts).
+    Such nodes have several ways on, so there are no chains to contract.
 
     Groups of more than ``block_edges`` links are first cut into blocks of
     ``width`` ids: a block takes off the nodes whose ways all end inside it, the
     rest goes to blocks ``widen`` times as wide. Only what stays, the rings and
     what lies between them, is searched as one piece.
 
-    Defined cases: those of ``resolved_nodes``; a node linked to itself is a
-    ring; a node that merely leads to a ring is none; an empty table gives no row.
+    Defined cases: those of ``Resolved``, which may be given instead of a table and has the
+    links as ``kind``; a node linked to itself is a ring; a node that merely leads to a ring is none; an empty table gives no row.
     """
-    kind = df.schema[group].dataType
-    edges = written(resolved_nodes(df, group, node, name, links).filter(F.col("target").isNotNull()).select("g", "id", "target"), "ring-edges")
+    known = df if isinstance(df, Resolved) else Resolved(df, group, node, name, {kind: links})
+    edges = known.links.filter(F.col("kind") == kind).select("g", "id", "target")
+    of_group = edges.schema["g"].dataType
 
     def trim(t: pa.Table) -> pa.Table:
         a, b, own = t["id"].to_numpy(), t["target"].to_numpy(), t["block"].to_numpy()[0]
@@ -223,7 +260,7 @@ def ring_members(df: DataFrame, group: str, node: str, name: str, links: list, *
         dead_in = ~live & (a // w != own)
         return pa.table({"g": t["g"].filter(pa.array(mine | dead_in)), "id": a[mine | dead_in], "target": b[mine | dead_in], "kept": pa.array(mine[mine | dead_in])})
 
-    shape = T.StructType([T.StructField("g", kind), T.StructField("id", T.LongType()), T.StructField("target", T.LongType()), T.StructField("kept", T.BooleanType())])
+    shape = T.StructType([T.StructField("g", of_group), T.StructField("id", T.LongType()), T.StructField("target", T.LongType()), T.StructField("kept", T.BooleanType())])
     for _ in range(max_levels):
         big = edges.groupBy("g").count().filter(F.col("count") > block_edges).select("g")
         if big.isEmpty():
@@ -246,4 +283,4 @@ def ring_members(df: DataFrame, group: str, node: str, name: str, links: list, *
         found = ids[_rings(src[live], dst[live], len(ids))]
         return pa.table({"g": pa.array([t["g"][0].as_py()] * len(found), type=t["g"].type), "id": pa.array(found)})
 
-    return edges.groupBy("g").applyInArrow(search, T.StructType([T.StructField("g", kind), T.StructField("id", T.LongType())]))
+    return edges.groupBy("g").applyInArrow(search, T.StructType([T.StructField("g", of_group), T.StructField("id", T.LongType())]))

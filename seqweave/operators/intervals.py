@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqweave.session import written
+
 
 def islands_and_gaps(df: DataFrame, entity: str, start: str, end: str, *, min_start: int | None = None, range_width: int = 16_384, step: int = 1) -> DataFrame:
     """``entity_id, kind, start_index, end_index`` with kind ``covered`` or ``gap``.
@@ -26,8 +28,8 @@ def islands_and_gaps(df: DataFrame, entity: str, start: str, end: str, *, min_st
     src = df.select(df[entity].alias("e"), df[start].cast("long").alias("s"), df[end].cast("long").alias("t")).filter(F.col("e").isNotNull() & F.col("s").isNotNull() & (F.col("s") <= F.col("t")))
     if min_start is not None:
         src = src.filter(F.col("s") >= min_start)
-    # one row per entity and start: repeats end here, before the sort
-    src = src.groupBy("e", "s").agg(F.max("t").alias("t")).withColumn("r", F.floor(F.col("s") / range_width))
+    # one row per entity and start: repeats end here, before the sort; read twice, so written
+    src = written(src.groupBy("e", "s").agg(F.max("t").alias("t")).withColumn("r", F.floor(F.col("s") / range_width)), "starts")
     by_range = W.partitionBy("e", "r").orderBy("s")
     over = W.partitionBy("e").orderBy("r")
     carried = src.groupBy("e", "r").agg(F.max("t").alias("m")).withColumn("carry", F.max("m").over(over.rowsBetween(W.unboundedPreceding, -1)))

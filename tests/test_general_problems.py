@@ -88,7 +88,7 @@ def test_forest_and_rings(spark, width):
             pairs[g, i] = i in out
     rows += [(None, 1, "t", None, None, 1), ("a", None, "t", None, None, 1), ("a", 99, None, None, None, 1)]
     df = spark.createDataFrame(rows, "g string, id int, name string, parent string, pair array<string>, target int")
-    paths = forest_paths(df, "g", "id", "name", "parent", block_nodes=width, widen=3)
+    paths = forest_paths(df, "g", "id", "name", "parent", block_nodes=width)
     got = {(r["g"], r["id"]): (r["status"], r["path"]) for r in paths.collect()}
     assert got == want
     below = Counter((r["g"], r["ancestor"]) for r in descendants(paths).collect())
