@@ -13,7 +13,7 @@ from seqweave.llm.leaks import leaked_items
 from seqweave.llm.packing import pack, token_counts
 from seqweave.llm.shared_spans import shared_spans
 from seqweave.llm.spam import incoherent_documents
-from seqweave.session import written
+from seqweave.session import new_path, written
 
 #: Folder of the public tokenizers' files; a parameter of the environment.
 TOKENIZERS = os.environ.get("SEQWEAVE_TOKENIZERS", "/opt/tokenizers")
@@ -28,13 +28,10 @@ def _pair_table(spark: SparkSession, d: str) -> PairTable:
     they were loaded in, and the rest."""
     rows = _table(spark, d, "uniprot_quickgo_annotations").select(canonical_accession("uniprot_id").alias("basket"), canonical_go("go_id").alias("item"), "loaded_at")
     low, high = rows.agg(F.min("loaded_at"), F.max("loaded_at")).first()
-    pairs = PairTable(spark)
-    if low is None:
-        pairs.update(rows.select("basket", "item"))
-        return pairs
-    late = F.coalesce(F.col("loaded_at") > F.lit(low + (high - low) / 2), F.lit(True))
-    pairs.update(rows.filter(~late).select("basket", "item"))
-    pairs.update(rows.filter(late).select("basket", "item"))
+    pairs = PairTable(spark, new_path(spark, "pairs"))
+    late = F.lit(True) if low is None else F.coalesce(F.col("loaded_at") > F.lit(low + (high - low) / 2), F.lit(True))
+    for part in (~late, late):
+        pairs.rescore(pairs.update(rows.filter(part).select("basket", "item")))
     return pairs
 
 
@@ -50,8 +47,8 @@ def p4_pair_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 _P4 = f"""
-WITH t AS (SELECT DISTINCT {ACCESSION_SQL.format(c="uniprot_id")} AS u, {GO_SQL.format(c="go_id")} AS g FROM uniprot_quickgo_annotations WHERE uniprot_id IS NOT NULL AND go_id IS NOT NULL),
-n AS (SELECT count(DISTINCT u) AS n FROM t), m AS (SELECT g, count(*) AS c FROM t GROUP BY 1),
+WITH t AS (SELECT DISTINCT {ACCESSION_SQL.format(c="uniprot_id")} AS u, {GO_SQL.format(c="go_id")} AS g FROM uniprot_quickgo_annotations WHERE uniprot_id IS NOT NULL),
+n AS (SELECT count(DISTINCT u) AS n FROM t), m AS (SELECT g, count(*) AS c FROM t WHERE g IS NOT NULL GROUP BY 1),
 j AS (SELECT x.g AS a, y.g AS b, count(*) AS j FROM t x JOIN t y ON x.u = y.u AND x.g < y.g GROUP BY 1, 2),
 s AS (SELECT a AS go_id_a, b AS go_id_b, j, ma.c AS n_a, mb.c AS n_b, n.n FROM j JOIN m ma ON ma.g = a JOIN m mb ON mb.g = b CROSS JOIN n)
 """
