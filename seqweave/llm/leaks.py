@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text, by greedy string tiling.
 
 The evaluation items are a stated query set: they are numbered word by word and
-sent to the executors in blocks of bounded size, every document is held against
-every block. Rolling hashes of ``min_match`` words give the seeds; runs of seeds
+sent to the executors in blocks of bounded size, one after the other; every document is
+held against every block, and a block's findings are stored before it goes. Rolling hashes of ``min_match`` words give the seeds; runs of seeds
 are the maximal common stretches; the longest ones are marked first, and what a
 mark covers of a later stretch is cut away, so passages count in any order.
 """
@@ -19,9 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqweave.session import written
+
 _WORDS = regex.compile(r"[\p{L}\p{N}]+|\x01").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PART = 2_000_000  # characters worked on at once
+_HITS = 4_000_000  # places of items worked on at once
 
 
 def words(text: str) -> list[str]:
@@ -87,16 +90,22 @@ class ItemIndex:
         order = np.argsort(h, kind="stable")
         self.hashes, self.at = h[order], at[order]
 
-    def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Maximal common stretches of at least k words: start in ``ids``, start in
-        the items, length. Negative ids match nothing."""
-        none = np.zeros(0, dtype=np.int64)
+    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of ``ids`` whose hash the items have: their places, and where in the order
+        of hashes it stands how often."""
         where = np.flatnonzero(_whole(ids, self.k))
         if not len(where) or not len(self.hashes):
-            return none, none, none
+            return where[:0], where[:0], where[:0]
         h = rolling(ids, self.k)[where]
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        n = hi - lo
+        lo = np.searchsorted(self.hashes, h, "left")
+        hit = self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h
+        where, lo = where[hit], lo[hit]
+        return where, lo, np.searchsorted(self.hashes, h[hit], "right") - lo
+
+    def matches(self, ids: np.ndarray, where: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal common stretches of at least k words from seeds: start in ``ids``, start in
+        the items, length. Negative ids match nothing."""
+        none = np.zeros(0, dtype=np.int64)
         p = np.repeat(where, n)
         q = self.at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         same = np.ones(len(p), dtype=bool)
@@ -143,11 +152,25 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, i
     for b in range(blocks):
         rows = (src.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else src).collect()
         sent = spark.sparkContext.broadcast(([r["i"] for r in rows], ItemIndex([r["t"] for r in rows], min_match)))
-        got = corpus.mapInArrow(_searcher(sent, min_match, min_coverage), schema)
+        got = written(corpus.mapInArrow(_searcher(sent, min_match, min_coverage), schema), "leaks")
+        sent.destroy()
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def _shares(where: np.ndarray, n: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Seeds of documents (which end before ``ends``) in shares of at most ``_HITS`` places of items,
+    or one document: wording that many items have is not expanded for all documents at once."""
+    so_far, edges = np.concatenate([[0], np.cumsum(n)]), np.unique(np.append(np.searchsorted(where, ends), len(where)))
+    out, first = [], 0
+    while first < len(where):
+        after = int(np.searchsorted(edges, first, "right"))
+        stop = int(edges[max(after, int(np.searchsorted(so_far[edges], so_far[first] + _HITS, "right")) - 1)])
+        out.append((first, stop))
+        first = stop
+    return out
+
+
 def _searcher(sent, min_match: int, min_coverage: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, index = sent.value
@@ -165,9 +188,12 @@ def _searcher(sent, min_match: int, min_coverage: float):
                 found = _WORDS(joined)
                 # documents are kept apart by a word that no item has
                 ids = np.fromiter(map(get, found, repeat(-1)), dtype=np.int64, count=len(found))
-                p, q, n = index.matches(ids)
-                if len(p):
-                    ends = np.flatnonzero(np.fromiter((w == "\x01" for w in found), dtype=bool, count=len(found)))
+                ends = np.flatnonzero(np.fromiter((w == "\x01" for w in found), dtype=bool, count=len(found)))
+                seeds = index.seeds(ids)
+                for first, last in _shares(seeds[0], seeds[2], ends):
+                    p, q, n = index.matches(ids, *(x[first:last] for x in seeds))
+                    if not len(p):
+                        continue
                     of_doc, of_item = np.searchsorted(ends, p), index.owner[q]
                     order = np.lexsort((of_item, of_doc))
                     key = of_doc[order] * len(names) + of_item[order]

@@ -4,13 +4,15 @@ Items are dealt by hash to partitions of bounded size and packed best-fit
 decreasing. Dual feasible functions give each partition a proven lower bound on
 its number of containers; the partitions above theirs give the documents of
 their slack containers to an exchange, which is packed again in new, fewer
-partitions. An exchange that does not save containers is not taken.
+partitions. This goes on until every partition is certified or an exchange saves no
+container; that one is not taken.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +109,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-_PACKED = "id {}, piece int, n_tokens long, round int, part long, bin long, fill long, bins long, bound long"
+_PACKED = "id {}, copy long, piece int, n_tokens long, round int, part long, bin long, fill long, bins long, bound long"
 
 
 def _pack(capacity: int, number: int):
@@ -119,53 +121,59 @@ def _pack(capacity: int, number: int):
         where[order] = best_fit_decreasing(sizes[order], capacity)
         fill = np.bincount(where, weights=sizes).astype(np.int64)
         same = lambda v, k=pa.int64(): pa.array(np.full(len(sizes), v), type=k)
-        cols = {"id": t["id"], "piece": t["piece"], "n_tokens": t["n_tokens"], "round": same(number, pa.int32()), "part": t["part"], "bin": pa.array(where), "fill": pa.array(fill[where]), "bins": same(len(fill)), "bound": same(lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity))}
+        cols = {"id": t["id"], "copy": t["copy"], "piece": t["piece"], "n_tokens": t["n_tokens"], "round": same(number, pa.int32()), "part": t["part"], "bin": pa.array(where), "fill": pa.array(fill[where]), "bins": same(len(fill)), "bound": same(lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity))}
         return pa.table(cols)
 
     return run
 
 
-def pack(sizes: DataFrame, *, capacity: int = 2048, part_items: int = 100_000, rounds: int = 3, slack: float = 0.002) -> tuple[DataFrame, DataFrame]:
+def pack(sizes: DataFrame, *, capacity: int = 2048, part_items: int = 100_000, slack: float = 0.002) -> tuple[DataFrame, DataFrame]:
     """Containers of ``sizes`` (``id, n_tokens``), and their certificate.
 
     First table: ``id, piece, token_start, n_tokens, container``; an item above the
     capacity is cut into pieces of exactly the capacity and one rest, any other
-    is whole with piece 0. Second: ``round, part, items, containers, lower_bound``
-    of every packing made, its last row per round being part -1 for all partitions
-    together.
+    is whole with piece 0. Second: ``round, part, items, containers, lower_bound, unused``
+    of every packing made, with part -1 for all partitions of a round together, and last
+    a row with round -1 for the containers of the first table as they are, against
+    the bound of all items; ``unused`` is the room left in tokens.
 
     Defined cases: items of 0 tokens take a place like others; a null size is left
-    out; equal items and repeated rows are each packed; an empty table gives none.
+    out; equal items and repeated rows are each packed; an empty table gives none; the
+    result does not depend on the order or the files the rows come in.
     A partition gets about ``part_items`` items whatever the table's size;
     containers with more than ``slack`` of their room unused are exchanged.
     """
     kind = sizes.schema["id"].dataType.simpleString()
     schema = _PACKED.format(kind)
-    whole = sizes.filter(F.col("n_tokens").isNotNull())
+    # rows that repeat are told apart by a number, so dealing needs no order of the input
+    whole = sizes.filter(F.col("n_tokens").isNotNull()).groupBy("id", "n_tokens").agg(F.count("*").alias("copies"))
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
-    items = whole.select("id", "n_tokens", F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece"))
-    items = items.select("id", "piece", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("long").alias("n_tokens"))
+    items = whole.select("id", "n_tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("id", "n_tokens", "copy", F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece"))
+    items = items.select("id", "copy", "piece", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("long").alias("n_tokens"))
 
     def packed(df: DataFrame, number: int) -> DataFrame:
         parts = max(1, -(-df.count() // part_items))
-        order = F.xxhash64("id", "piece", F.lit(number))
-        dealt = df.select("id", "piece", "n_tokens", order.alias("order")).withColumn("part", F.pmod(F.xxhash64("order", F.monotonically_increasing_id()), F.lit(parts)).cast("long"))
+        order = F.xxhash64("id", "copy", "piece", F.lit(number))
+        dealt = df.select("id", "copy", "piece", "n_tokens", order.alias("order")).withColumn("part", F.pmod(F.shiftright("order", 7), F.lit(parts)).cast("long"))
         return written(dealt.groupBy("part").applyInArrow(_pack(capacity, number), schema), f"packed-{number}")
 
-    def certificate(df: DataFrame) -> DataFrame:
-        each = df.groupBy("round", "part").agg(F.count("*").alias("items"), F.max("bins").alias("containers"), F.max("bound").alias("lower_bound"))
+    def bound_of(df: DataFrame) -> int:
         hist = df.groupBy("n_tokens").count().collect()  # at most capacity + 1 sizes
-        if not hist:
-            return each
         counts = np.zeros(capacity + 1, dtype=np.int64)
         counts[[r["n_tokens"] for r in hist]] = [r["count"] for r in hist]
-        bound = lower_bound(counts, capacity)
-        total = each.groupBy("round").agg(F.lit(-1).cast("long").alias("part"), F.sum("items").alias("items"), F.sum("containers").alias("containers"))
-        return each.unionByName(total.withColumn("lower_bound", F.lit(bound).cast("long")))
+        return lower_bound(counts, capacity) if hist else 0
+
+    def certificate(df: DataFrame) -> DataFrame:
+        room = (F.col("containers") * capacity - F.col("tokens")).alias("unused")
+        each = df.groupBy("round", "part").agg(F.count("*").alias("items"), F.max("bins").alias("containers"), F.max("bound").alias("lower_bound"), F.sum("n_tokens").alias("tokens"))
+        total = each.groupBy("round").agg(F.lit(-1).cast("long").alias("part"), F.sum("items").alias("items"), F.sum("containers").alias("containers"), F.lit(bound_of(df)).cast("long").alias("lower_bound"), F.sum("tokens").alias("tokens"))
+        return each.unionByName(total).select("round", "part", "items", "containers", "lower_bound", room)
 
-    now, final, report = packed(items, 0), [], []
+    now, final, report, number = packed(items, 0), [], [], 0
     report.append(certificate(now))
-    for number in range(1, rounds + 1):
+    everything = bound_of(now)
+    while True:
+        number += 1
         loose = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity * (1 - slack))
         pool = now.filter(loose)
         before = pool.select("round", "part", "bin").distinct().count()
@@ -179,11 +187,8 @@ def pack(sizes: DataFrame, *, capacity: int = 2048, part_items: int = 100_000, r
         report.append(certificate(again))
         now = again
     final.append(now)
-    out = final[0]
-    for f in final[1:]:
-        out = out.unionByName(f)
-    cert = report[0]
-    for r in report[1:]:
-        cert = cert.unionByName(r)
+    out = reduce(DataFrame.unionByName, final)
+    used = out.groupBy("round", "part", "bin").agg(F.count("*").alias("items"), F.sum("n_tokens").alias("tokens"))
+    last = used.agg(F.lit(-1).alias("round"), F.lit(-1).cast("long").alias("part"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.count("*").alias("containers"), F.lit(everything).cast("long").alias("lower_bound"), F.coalesce(F.count("*") * capacity - F.sum("tokens"), F.lit(0)).alias("unused"))
     out = out.select("id", "piece", (F.col("piece").cast("long") * capacity).alias("token_start"), "n_tokens", F.format_string("%d-%d-%d", "round", "part", "bin").alias("container"))
-    return out, cert
+    return out, reduce(DataFrame.unionByName, report).unionByName(last.filter("containers > 0"))

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from seqweave.llm import leaks
 from seqweave.llm.leaks import leaked_items, words
 
 ARGS = dict(doc_id="k", text="text", item_id="k", item_text="text")
@@ -47,3 +50,11 @@ def test_reordered_passages_are_tiled(spark):
     d, e = spark.createDataFrame([(1, text, 0)], SCHEMA), spark.createDataFrame([(7, " ".join(item), 0)], SCHEMA)
     row = leaked_items(d, e, min_match=5, min_coverage=0.9, **ARGS).collect()[0]
     assert (row["tiled_words"], row["n_tiles"], row["longest"], row["coverage"]) == (40, 2, 20, 1.0)
+
+
+def test_shares_of_seeds(monkeypatch):
+    monkeypatch.setattr(leaks, "_HITS", 10)
+    where, n = np.array([1, 2, 7, 8, 20, 30, 31]), np.array([3, 3, 4, 20, 1, 2, 2])
+    # documents end at 5, 15, 25; the second is beyond the limit by itself
+    assert leaks._shares(where, n, np.array([5, 15, 25])) == [(0, 2), (2, 4), (4, 7)]
+    assert leaks._shares(where[:0], n[:0], np.array([5])) == [] and leaks._shares(where, n, np.array([], dtype=int)) == [(0, 7)]

@@ -56,7 +56,7 @@ def test_pack_covers_every_item_once(spark):
     rng = random.Random(5)
     sizes = [(i, rng.choice([0, 1, 100, 100, rng.randrange(101), rng.randrange(400)])) for i in range(700)] + [(None, 5), (1, 5), (3, None)]
     df = spark.createDataFrame(sizes, "id long, n_tokens long")
-    out, cert = pack(df, capacity=100, part_items=100, rounds=2)
+    out, cert = pack(df, capacity=100, part_items=100)
     rows = out.collect()
     got, fill = {}, {}
     for r in rows:
@@ -73,4 +73,8 @@ def test_pack_covers_every_item_once(spark):
     assert all(p["containers"] >= p["lower_bound"] for p in parts)
     whole = next(p for p in parts if p["round"] == 0 and p["part"] == -1)
     assert whole["lower_bound"] <= len(fill) <= whole["containers"]
-    assert pack(df.limit(0))[0].count() == 0
+    final = next(p for p in parts if p["round"] == -1)
+    assert (final["items"], final["containers"], final["unused"]) == (len(rows), len(fill), 100 * len(fill) - sum(fill.values())) and final["lower_bound"] == whole["lower_bound"]
+    again = pack(df.repartition(7, "n_tokens"), capacity=100, part_items=100)[0].collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+    assert [x.count() for x in pack(df.limit(0))] == [0, 0]
