@@ -1,10 +1,14 @@
 """Column functions over symbol sequences, tokens and coded strings.
 
-All are JVM expressions; null in, null out unless said otherwise.
+Null in, null out unless said otherwise. All are JVM expressions but for ``boundaries``,
+which works on whole Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,16 +41,29 @@ def kmers(seq: Column | str, k: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{k}}}"), F.lit(0))
 
 
+def running_ends(t: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of lists of strings: where each list begins among all strings, where each string ends in
+    its list (in symbols), and the strings themselves."""
+    flat = t.flatten()
+    counts = pc.fill_null(pc.list_value_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    before = np.concatenate([[0], ends])[first[:-1]]
+    return first, ends - np.repeat(before, counts), flat
+
+
 def boundaries(tokens: Column | str) -> Column:
     """Cut positions of a tokenisation, 0 and the end among them."""
-    # the sums grow as text: appending to an array copies it boxed in every step
-    start = F.struct(F.lit(0).alias("at"), F.lit("0").alias("s"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x)
-        return F.struct(at.alias("at"), F.concat(acc["s"], F.lit(","), at.cast("string")).alias("s"))
+    # running sums of whole batches; in a higher-order function every step copies the array
+    @F.arrow_udf("array<int>")
+    def cuts(t: pa.Array) -> pa.Array:
+        first, ends, _ = running_ends(t)
+        out = np.insert(ends, first[:-1], 0).astype(np.int32)
+        offsets = pa.array(first + np.arange(len(first)), type=pa.int32(), mask=np.append(t.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(out))
 
-    return F.aggregate(_c(tokens), start, step, lambda acc: F.split(acc["s"], ",").cast("array<int>"))
+    return cuts(_c(tokens))
 
 
 def offsets(tokens: Column | str) -> Column:

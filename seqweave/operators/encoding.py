@@ -5,9 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from seqweave.functions.sequences import running_ends
+
 ENCODED = "array<struct<token:string,start:int,end:int>>"
 
 
@@ -83,14 +87,12 @@ def encode(df: DataFrame, seq: str, model: dict, out: str = "encoding", native:
                 found = [e.tokens for e in done]
             else:
                 found = [own.tokens(s or "") for s in seqs]
-            cells = []
-            for s, toks in zip(seqs, found):
-                pos, cell = 0, []
-                for t in toks:
-                    cell.append({"token": t, "start": pos, "end": pos + len(t)})
-                    pos += len(t)
-                cells.append(None if s is None else cell)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, type=kind)], names=[*b.schema.names, out])
+            tokens = pa.array(found, type=pa.list_(pa.string()))
+            first, ends, flat = running_ends(tokens)
+            starts = ends - pc.utf8_length(flat).to_numpy(zero_copy_only=False)
+            cell = pa.StructArray.from_arrays([flat, pa.array(starts, type=pa.int32()), pa.array(ends, type=pa.int32())], fields=list(kind.value_type))
+            offsets = pa.array(first, type=pa.int32(), mask=np.array([*(s is None for s in seqs), False]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, cell)], names=[*b.schema.names, out])
 
     from pyspark.sql import types as T
 

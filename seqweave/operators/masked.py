@@ -7,10 +7,12 @@ its place, for instance a language model behind a pandas UDF.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.functions.sequences import differing_positions, hashed_number, let, symbols, with_letter
+from seqweave.functions.sequences import hashed_number, let, symbols, with_letter
 from seqweave.operators.substitution import ALTERNATIVE_LETTERS
 
 EDGE = "^"
@@ -47,19 +49,29 @@ def win_rates(df: DataFrame, scores: DataFrame, *by: str, max_pos: int | None =
     positions, as a model of bounded length does. An unseen letter scores 0; each
     (neighbours, letter) is looked up once per position."""
     names = ("original", "mutated", "alternative", "baseline")
-    diff = differing_positions(*(F.col(c) for c in names))
-    if max_pos is not None:
-        diff = F.filter(diff, lambda i: i < max_pos)
-    arrays = F.struct(diff.alias("d"), *(symbols(c).alias(c) for c in names))
-
-    def places(a: Column) -> Column:
-        o = lambda i: F.coalesce(F.get(a["original"], i), F.lit(EDGE))
-        before = lambda i: F.when(i == 0, EDGE).otherwise(o(i - 1))
-        kinds = zip(("orig", "mut", "alt", "base"), names)
-        cells = [(k, a[c]) for k, c in kinds]
-        return F.transform(a["d"], lambda i: F.struct(before(i).alias("prev"), o(i + 1).alias("next"), *(F.get(x, i).alias(k) for k, x in cells)))
-
-    p = df.select(*by, F.explode(let(arrays, places)).alias("x")).select(*by, "x.*")
+    last = max_pos if max_pos is not None else 1 << 31
+    keys = ("prev", "next", "orig", "mut", "alt", "base")
+
+    @F.arrow_udf("array<struct<prev:string,next:string,orig:string,mut:string,alt:string,base:string>>")
+    def places(o: pa.Array, m: pa.Array, a: pa.Array, r: pa.Array) -> pa.Array:
+        cells: list[list] = [[] for _ in keys]
+        sizes = []
+        for row in zip(*(x.to_pylist() for x in (o, m, a, r))):
+            n = 0 if None in row else min(map(len, row))
+            at = np.zeros(0, dtype=np.int64)
+            if n:
+                x = [np.frombuffer(t[:n].encode("utf-32-le"), dtype=np.uint32) for t in row]
+                at = np.flatnonzero((x[0] != x[1]) & (x[0] != x[2]) & (x[0] != x[3]))
+                at = at[at < last]
+            sizes.append(len(at))
+            for i in at.tolist():
+                text = row[0]
+                for c, v in zip(cells, (text[i - 1] if i else EDGE, text[i + 1] if i + 1 < len(text) else EDGE, *(t[i] for t in row))):
+                    c.append(v)
+        cell = pa.StructArray.from_arrays([pa.array(c, type=pa.string()) for c in cells], names=list(keys))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32()), cell)
+
+    p = df.select(*by, F.explode(places(*names)).alias("x")).select(*by, "x.*")
     by_place = scores.groupBy("prev", "next").agg(F.map_from_entries(F.collect_list(F.struct("letter", "n"))).alias("m"))
     p = p.join(by_place, ["prev", "next"], "left")
     score = lambda k: F.coalesce(F.element_at("m", F.col(k)), F.lit(0))

@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from seqweave.session import written
 
 
-def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """``child, ancestor``: all proper ancestors of each term, by joining the paths found
     with themselves until none is new (paths double in each round); rings end too.
     A term on a ring is its own ancestor."""
     known = written(edges.select(F.col("child"), F.col("parent").alias("ancestor")).filter("child IS NOT NULL AND parent IS NOT NULL").distinct(), "closure")
     n = known.count()
-    for _ in range(max_rounds):
+    while True:
         step = known.select("child", F.col("ancestor").alias("via")).join(known.select(F.col("child").alias("via"), "ancestor"), "via").select("child", "ancestor")
         known = written(known.unionByName(step).distinct(), "closure")
         m = known.count()
         if m == n:
-            break
+            return known
         n = m
-    return known
 
 
 def nearest_in(edges: DataFrame, slim: DataFrame) -> DataFrame:

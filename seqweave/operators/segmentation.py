@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from seqweave.functions.sequences import boundaries, let
 
 
+def _both(a: Column, b: Column, body) -> Column:
+    return let(F.struct(boundaries(a).alias("x"), boundaries(b).alias("y")), lambda cuts: body(cuts["x"], cuts["y"]))
+
+
 def boundary_dice(a: Column, b: Column) -> Column:
     """Dice coefficient of the cut positions, 0 and the end among them; null for
     segmentations of unequal length."""
     body = lambda x, y: F.when(F.element_at(x, -1) == F.element_at(y, -1), 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
-    return let(boundaries(a), lambda x: let(boundaries(b), lambda y: body(x, y)))
+    return _both(a, b, body)
 
 
 def boundary_accuracy(a: Column, b: Column) -> Column:
@@ -24,7 +28,7 @@ def boundary_accuracy(a: Column, b: Column) -> Column:
         odd = F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(x, y))
         return F.when(length == F.element_at(y, -1), (length + 1 - odd) / (length + 1))
 
-    return let(boundaries(a), lambda x: let(boundaries(b), lambda y: body(x, y)))
+    return _both(a, b, body)
 
 
 def kway_dice(*tokenisations: Column) -> Column:
@@ -62,4 +66,4 @@ def pair_indices(a: Column, b: Column) -> Column:
         tn = n["all"] - tp - fp - fn
         return F.struct(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), F.try_divide(tp + tn, n["all"]).alias("rand"), (2 * tp / (2 * tp + fp + fn + 1e-10)).alias("dice"), (tp / (tp + fp + fn + 1e-10)).alias("jaccard"))
 
-    return let(boundaries(a), lambda x: let(boundaries(b), lambda y: body(x, y)))
+    return _both(a, b, body)

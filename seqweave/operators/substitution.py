@@ -8,13 +8,14 @@ It has at most a few hundred cells, so it enters plans as a literal.
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweave.functions.sequences import symbols
-
 #: Dayhoff's six classes of amino acids (fixed values).
 CLASSES = ("AGPST", "C", "DENQ", "FWY", "HKR", "ILMV")
 #: Ambiguity letters and what they stand for (fixed values).
@@ -51,10 +52,6 @@ def matrix_values(matrix: dict) -> str:
     return ", ".join(f"('{a}', '{b}', {s})" for (a, b), s in sorted(matrix.items()))
 
 
-def _literal_map(items: dict, value) -> Column:
-    return F.create_map(*(x for k, v in sorted(items.items()) for x in (F.lit(k), value(v))))
-
-
 def mutations(token: Column | str, matrix: dict, cutoff: float) -> Column:
     """All other strings of the token's length with similarity of at least ``cutoff``,
     as an array of structs (mutated, similarity), most similar first, then by name.
@@ -63,27 +60,41 @@ def mutations(token: Column | str, matrix: dict, cutoff: float) -> Column:
     position only letters of score 0 or more count whose own loss stays below
     1 - cutoff; X and letters outside the matrix stay as they are and have no
     score. The token itself is left out; a token of X alone has none."""
-    t = F.col(token) if isinstance(token, str) else token
-    own = {a: s for (a, b), s in matrix.items() if a == b and a != "X"}
+    own = {a: float(s) for (a, b), s in matrix.items() if a == b and a != "X"}
     near: dict = {}
-    for (a, b), s in matrix.items():
-        if a != "X" and s >= -1e-4 and a in own:
-            near.setdefault(a, []).append((float(own[a] - s), b))
-    pairs = lambda v: F.array(*(F.struct(F.lit(loss).alias("loss"), F.lit(c).alias("c")) for loss, c in sorted(v)))
-    known, selfs = _literal_map(near, pairs), _literal_map({a: float(s) for a, s in own.items()}, F.lit)
-    start = F.array(F.struct(F.lit("").alias("s"), F.lit(0.0).alias("lost")))
-    total = F.aggregate(symbols(t), F.lit(0.0), lambda acc, a: acc + F.coalesce(F.element_at(selfs, a), F.lit(0.0)))
-
-    def grown(acc: Column, a: Column) -> Column:
-        fixed = F.array(F.struct(F.lit(0.0).alias("loss"), a.alias("c")))
-        step = F.filter(F.coalesce(F.element_at(known, a), fixed), lambda c: c["loss"] < total * (1 - cutoff) + F.when(c["loss"] == 0, 1.0).otherwise(-1e-9))
-        one = lambda p: F.transform(F.filter(step, lambda c: p["lost"] + c["loss"] <= total * (1 - cutoff) + 1e-9), lambda c: F.struct(F.concat(p["s"], c["c"]).alias("s"), (p["lost"] + c["loss"]).alias("lost")))
-        return F.flatten(F.transform(acc, one))
-
-    grown_all = F.aggregate(symbols(t), start, grown)
-    named = F.transform(F.filter(grown_all, lambda p: p["s"] != t), lambda p: F.struct((1 - p["lost"] / total).alias("similarity"), p["s"].alias("mutated")))
-    ordered = F.array_sort(named, lambda x, y: F.when(x["similarity"] > y["similarity"], -1).when(x["similarity"] < y["similarity"], 1).when(x["mutated"] < y["mutated"], -1).otherwise(1))
-    return F.when(total > 0, F.transform(ordered, lambda p: F.struct(p["mutated"].alias("mutated"), p["similarity"].alias("similarity"))))
+    for (a, b), s in sorted(matrix.items()):
+        if a in own and s >= -1e-4:
+            near.setdefault(a, []).append((own[a] - s, ord(b)))
+    near = {a: (np.array([x for x, _ in v]), np.array([c for _, c in v], dtype=np.uint32)) for a, v in near.items()}
+    kind = pa.struct([("mutated", pa.string()), ("similarity", pa.float64())])
+
+    def grown(t: str) -> tuple[list, np.ndarray] | None:
+        total = sum(own.get(a, 0.0) for a in t)
+        if total <= 0:
+            return None
+        room = total * (1 - cutoff)
+        text, lost = np.zeros((1, 0), dtype=np.uint32), np.zeros(1)
+        for a in t:
+            loss, letter = near.get(a, (np.zeros(1), np.array([ord(a)], dtype=np.uint32)))
+            step = (loss == 0) | (loss < room - 1e-9)
+            loss, letter = loss[step], letter[step]
+            # every string so far with every letter, as far as the loss allows
+            i, j = np.nonzero(lost[:, None] + loss[None, :] <= room + 1e-9)
+            text, lost = np.concatenate([text[i], letter[j][:, None]], axis=1), lost[i] + loss[j]
+        other = (text != np.array([ord(a) for a in t], dtype=np.uint32)).any(axis=1)
+        text, lost = text[other], lost[other]
+        order = np.lexsort((*text.T[::-1], lost.round(12))) if len(text) else np.zeros(0, dtype=np.int64)
+        return np.ascontiguousarray(text[order]).view(f"U{len(t)}")[:, 0].tolist(), 1 - lost[order] / total
+
+    @F.arrow_udf("array<struct<mutated:string,similarity:double>>")
+    def similar(t: pa.Array) -> pa.Array:
+        done = [None if x is None or not x else grown(x) for x in t.to_pylist()]
+        sizes = [0 if d is None else len(d[0]) for d in done]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32(), mask=np.array([*(d is None for d in done), False]))
+        names, values = [x for d in done if d for x in d[0]], np.concatenate([np.zeros(0), *(d[1] for d in done if d)])
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(names, type=pa.string()), pa.array(values)], fields=list(kind)))
+
+    return similar(F.col(token) if isinstance(token, str) else token)
 
 
 #: Letters for which alternatives are looked up (fixed value).
@@ -128,6 +139,9 @@ def first_alternatives(v: DataFrame, matrix: dict, *, block_tokens: int = 2_000)
         code = np.full(text.shape, len(letters))
         for x, k in letters.items():
             code[text == x] = k
+        place = {n: i for i, n in enumerate(names)}
+        letter_of = {i: x for x, i in letters.items()}
+        choices = {k: [letter_of[i] for i in np.flatnonzero(~np.isnan(g))] for k, g in gains.items()}
         pool: dict = {}
         for r in sorted(rows, key=lambda r: r[3]):
             if r[1] is not None:
@@ -136,14 +150,14 @@ def first_alternatives(v: DataFrame, matrix: dict, *, block_tokens: int = 2_000)
             for mutation, after in pool.get(parent, ()):
                 if mutation == token or after is None:
                     continue
-                at, score = np.flatnonzero(order > after), None
-                for i, (o, m) in enumerate(zip(token, mutation)):
-                    if o == m:
-                        at = at[text[at, i] == o]
-                    elif (o, m) in gains:
-                        at = at[~np.isnan(np.append(gains[o, m], np.nan)[code[at, i]])]
-                    else:
-                        at = at[:0]
+                steps = [(o,) if o == m else choices.get((o, m), ()) for o, m in zip(token, mutation)]
+                if math.prod(map(len, steps)) <= len(names):
+                    # the few strings that would do are looked up
+                    at = sorted(place[x] for x in map("".join, product(*steps)) if x in place and order[place[x]] > after)
+                else:
+                    at = np.flatnonzero(order > after)
+                    for i, (o, m) in enumerate(zip(token, mutation)):
+                        at = at[text[at, i] == o] if o == m else at[~np.isnan(np.append(gains[o, m], np.nan)[code[at, i]])]
                 at = [a for a in at if family[a] != parent and names[a] not in (token, parent)]
                 if at:
                     score = [sum(gains[o, m][code[a, i]] for i, (o, m) in enumerate(zip(token, mutation)) if o != m) for a in at]

@@ -144,8 +144,9 @@ def scaled(cells: DataFrame, value: str) -> DataFrame:
     return cells.crossJoin(F.broadcast(ends)).withColumn("scaled", F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")
 
 
-def balance_threshold(counts: DataFrame, n: str = "n", denom: int = 1) -> DataFrame:
-    """``threshold``: the mean, cut to a whole number, of the largest count(*) // denom
-    class counts."""
-    ranked = counts.select(n).withColumn("_r", F.row_number().over(W.orderBy(F.desc(n))))
-    return ranked.crossJoin(F.broadcast(counts.agg((F.floor(F.count("*") / denom)).alias("_k")))).filter("_r <= _k").agg(F.avg(n).cast("long").alias("threshold"))
+def balance_threshold(counts: DataFrame, n: str = "n", denom: int = 1) -> int:
+    """The mean, cut to a whole number, of the largest count(*) // denom class counts; 0
+    where there is none. One number, so it can bound a window before its rows are sorted."""
+    counts = written(counts.select(n), "class-counts")
+    most = counts.count() // denom
+    return counts.orderBy(F.desc(n)).limit(most).agg(F.avg(n).cast("long")).first()[0] or 0 if most else 0

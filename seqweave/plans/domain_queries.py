@@ -51,7 +51,7 @@ def proteins(s: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- substitution
 
-_CUT = 0.9
+_CUT = 0.8
 
 
 @query(
@@ -154,17 +154,17 @@ def random_vocabulary_clone(s: SparkSession, d: str) -> DataFrame:
     return G.random_clone(vocab(s, d), V.LETTERS)
 
 
-_GRID = "SELECT 0.5 + k AS x FROM range(0, 40) r(k)"
+_GRID = "SELECT 0.0001 + k * (40 - 0.0001) / 999 AS x FROM range(0, 1000) r(k)"
 
 
 @query(
     f"""WITH {VOCAB}, f AS (SELECT config_id, parent, count(*) AS size FROM v WHERE parent IS NOT NULL GROUP BY 1, 2), h AS (SELECT config_id, stddev_samp(size) * pow(count(*), -0.2) AS h, count(*) AS n FROM f GROUP BY 1), g AS ({_GRID})
-SELECT config_id, x::DOUBLE AS x, round(sum(exp(-pow((x - size) / h, 2) / 2)) / any_value(n * h * sqrt(2 * 3.141592653589793)), 6) AS density FROM f JOIN h USING (config_id) CROSS JOIN g WHERE h > 0 GROUP BY 1, 2"""
+SELECT config_id, round(x, 6)::DOUBLE AS x, round(sum(exp(-pow((x - size) / h, 2) / 2)) / any_value(n * h * sqrt(2 * 3.141592653589793)), 6) AS density FROM f JOIN h USING (config_id) CROSS JOIN g WHERE h > 0 GROUP BY 1, 2"""
 )
 def family_size_density(s: SparkSession, d: str) -> DataFrame:
     f = vocab(s, d).filter("parent IS NOT NULL").groupBy("config_id", "parent").agg(F.count("*").alias("size"))
-    grid = s.range(40).select((F.col("id") + 0.5).alias("x"))
-    return G.gaussian_density(f, "config_id", "size", grid).select("config_id", "x", F.round("density", 6).alias("density"))
+    grid = s.range(1000).select((F.lit(0.0001) + F.col("id") * (40 - 0.0001) / 999).alias("x"))
+    return G.gaussian_density(f, "config_id", "size", grid).select("config_id", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
 
 
 @query(f"WITH {VOCAB}, f AS (SELECT config_id, parent, count(*) + 1 AS size FROM v WHERE parent IS NOT NULL GROUP BY 1, 2) SELECT config_id, count(*) AS families, round(avg(size), 9) AS mean_size, max(size) AS max_size, min(size) AS min_size, sum(size)::BIGINT AS members, quantile_cont(size, 0.5) AS median_size FROM f GROUP BY 1")
@@ -225,10 +225,10 @@ def reversed_mutation_codes(s: SparkSession, d: str) -> DataFrame:
     return m.select("entry", "code", F.md5(with_letter("mutated", F.col("c.pos"), F.col("c.orig"))).alias("original"))
 
 
-@query(f"WITH {_MUT} SELECT entry, l::INT AS n, i::INT AS start, substr(s, i + 1, l) AS token FROM m CROSS JOIN range(1, 5) a(l), range(0, length(s)) b(i) WHERE i <= pos AND i + l > pos AND i + l <= length(s)")
+@query(f"WITH {_MUT} SELECT entry, l::INT AS n, i::INT AS start, substr(s, i + 1, l) AS token FROM m CROSS JOIN range(1, 11) a(l), range(0, length(s)) b(i) WHERE i <= pos AND i + l > pos AND i + l <= length(s)")
 def tokens_over_position(s: SparkSession, d: str) -> DataFrame:
     m = _mutated(s, d)
-    toks = tokens_over(F.col("pos"), "s", 4)
+    toks = tokens_over(F.col("pos"), "s", 10)
     return m.select("entry", "pos", F.posexplode(toks).alias("k", "token"), F.length("s").alias("len")).withColumn("n", F.length("token")).select("entry", "n", "token", "pos", "len", "k").withColumn("first", F.greatest(F.lit(0), F.col("pos") - F.col("n") + 1)).withColumn("start", F.col("first") + F.rank().over(_by_token()) - 1).select("entry", "n", "start", "token")
 
 
@@ -371,7 +371,7 @@ _GO = f"q AS (SELECT row_id, {GO_SQL.format(c='go_id')} AS g, {ACCESSION_SQL.for
 def class_balance(s: SparkSession, d: str) -> DataFrame:
     q = table(s, d, "uniprot_quickgo_annotations").select("row_id", canonical_go("go_id").alias("g"))
     t = T.balance_threshold(q.groupBy("g").agg(F.count("*").alias("n")), "n", 4)
-    return undersampled(q.crossJoin(F.broadcast(t)), "g", F.col("row_id"), F.col("threshold")).select("row_id")
+    return undersampled(q, "g", F.col("row_id"), t).select("row_id")
 
 
 _UP = "e AS (SELECT DISTINCT go_id AS child, unnest(is_a) AS parent FROM go_terms), c AS (SELECT child, parent AS ancestor FROM e UNION SELECT c.child, e.parent FROM c JOIN e ON e.child = c.ancestor)"
