@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -122,6 +122,18 @@ def features(text: Column | str, kind: str) -> Column:
     return F.transform(whole, lambda z: F.struct(z["a"].cast("int").alias("start_index"), z["b"].cast("int").alias("end_index"), named(z["attrs"], "note").alias("note"), named(z["attrs"], "evidence").alias("evidence")))
 
 
+def literal_list(text: Column | str) -> Column:
+    """A list of strings written as a literal, ``['A', 'BC']``, as an array."""
+    return F.regexp_extract_all(_c(text), F.lit("'([^']*)'"), F.lit(1))
+
+
+def feature_rows(df: DataFrame, ident: str, columns: dict[str, str]) -> DataFrame:
+    """``ident, source, start_index, end_index, note, evidence``: all features of several
+    feature columns, each given with the kind its entries begin with."""
+    cells = F.array(*(F.struct(F.lit(c).alias("source"), features(c, kind).alias("found")) for c, kind in columns.items()))
+    return df.select(ident, F.inline(cells)).select(ident, "source", F.inline("found"))
+
+
 def interval_list(text: Column | str) -> Column:
     """``11-41_290-389`` as an array of structs (start_index, end_index)."""
     return F.transform(F.split(_c(text), "_"), lambda x: F.struct(F.split_part(x, F.lit("-"), F.lit(1)).cast("int").alias("start_index"), F.split_part(x, F.lit("-"), F.lit(2)).cast("int").alias("end_index")))

@@ -69,16 +69,30 @@ def shared_units(a: DataFrame, b: DataFrame, compat: bool = False) -> DataFrame:
     return both.agg(F.count_if(on).alias("shared"), (F.count_if(on) / F.count("na")).alias("shared_ratio"), (F.sum(F.when(on, F.col("na"))) / (sum_b if compat else sum_a)).alias("used_ratio_a"), (F.sum(F.when(on, F.col("nb"))) / (sum_a if compat else sum_b)).alias("used_ratio_b"))
 
 
-def vocabulary_identity(v: DataFrame) -> DataFrame:
+def vocabulary_identity(v: DataFrame, match=None) -> DataFrame:
     """``config_a, config_b, shared, identity``: units of a that b has too, over a's
     size (not symmetric). Counted from tokens in several configurations, so disjoint
-    pairs have no row."""
+    pairs have no row. ``match``, a condition on the two names, says which to compare."""
     t = v.select("config_id", "token")
     size = t.groupBy("config_id").agg(F.count("*").alias("size"))
-    both = t.withColumnRenamed("config_id", "config_a").join(t.withColumnRenamed("config_id", "config_b"), "token").groupBy("config_a", "config_b").agg(F.count("*").alias("shared"))
+    both = t.withColumnRenamed("config_id", "config_a").join(t.withColumnRenamed("config_id", "config_b"), "token")
+    if match is not None:
+        both = both.filter(match(F.col("config_a"), F.col("config_b")))
+    both = both.groupBy("config_a", "config_b").agg(F.count("*").alias("shared"))
     return both.join(size.withColumnRenamed("config_id", "config_a"), "config_a").select("config_a", "config_b", "shared", (F.col("shared") / F.col("size")).alias("identity"))
 
 
+def observed_ratios(v: DataFrame, used: DataFrame) -> DataFrame:
+    """Per configuration, over a corpus' use of its units (``config_id, token, n``): length mean
+    and deviation of the units as they occur, and the shares of occurrences that are
+    parents and mutated units. Units outside the vocabulary do not count."""
+    n, size = F.col("n"), F.length("token")
+    j = used.join(v.select("config_id", "token", "parent", "is_parent"), ["config_id", "token"])
+    total, mean = F.sum("n"), F.sum(n * size) / F.sum("n")
+    spread = F.sqrt((F.sum(n * size * size) - F.sum("n") * mean * mean) / (F.sum("n") - 1))
+    return j.groupBy("config_id").agg(total.alias("n"), mean.alias("ulength_mean"), spread.alias("ulength_std"), (F.sum(F.when(F.col("is_parent"), n).otherwise(0)) / total).alias("p_ratio"), (F.sum(F.when(F.col("parent").isNotNull(), n).otherwise(0)) / total).alias("m_ratio"))
+
+
 def random_clone(v: DataFrame, letters: str, seed: str = "clone", tries: int = 40) -> DataFrame:
     """``config_id, token_id, token`` of a random vocabulary of the same lengths; single
     letters stay. A draw that collides is drawn again, up to ``tries`` times in all; the

@@ -29,42 +29,63 @@ def df_filtered(counts: DataFrame, *, max_df: float = 0.9, min_df: int = 1) -> D
     return counts.join(keep.select("term"), "term", "left_semi")
 
 
-def class_tfidf(counts: DataFrame, value: str = "n") -> DataFrame:
+def class_tfidf(counts: DataFrame, value: str = "n", by: tuple = ()) -> DataFrame:
     """``class, term, weight``: the root of the term's share of its class times
-    ln(1 + average class total, cut to a whole number, over the term's total)."""
+    ln(1 + average class total, cut to a whole number, over the term's total); all of it
+    within each ``by``."""
     x = F.col(value)
-    per_class = counts.groupBy("class").agg(F.sum(x).alias("in_class"))
-    mean = per_class.agg(F.avg("in_class").cast("long").alias("mean_class"))
-    per_term = counts.groupBy("term").agg(F.sum(x).alias("of_term"))
-    joined = counts.join(per_class, "class").join(per_term, "term").crossJoin(F.broadcast(mean))
-    return joined.select("class", "term", (F.sqrt(x / F.col("in_class")) * F.log(1 + F.col("mean_class") / F.col("of_term"))).alias("weight"))
+    per_class = counts.groupBy(*by, "class").agg(F.sum(x).alias("in_class"))
+    mean = per_class.groupBy(*by).agg(F.avg("in_class").cast("long").alias("mean_class"))
+    per_term = counts.groupBy(*by, "term").agg(F.sum(x).alias("of_term"))
+    joined = counts.join(per_class, [*by, "class"]).join(per_term, [*by, "term"])
+    joined = joined.join(mean, list(by)) if by else joined.crossJoin(F.broadcast(mean))
+    return joined.select(*by, "class", "term", (F.sqrt(x / F.col("in_class")) * F.log(1 + F.col("mean_class") / F.col("of_term"))).alias("weight"))
 
 
-def unit_graph(edges: DataFrame, *, alpha: float = 1.0, beta: float = 3.0, theta: float = 2.0) -> DataFrame:
+def unit_graph(edges: DataFrame, *, by: tuple = (), alpha: float = 1.0, beta: float = 3.0, theta: float = 2.0) -> DataFrame:
     """``a, b, weight``, symmetric, of edges (``src, dst, kind``): ``alpha`` between a
     unit and its parts, ``theta`` between a parent and its mutations, ``beta`` between
     mutations of one parent; of several links the mutational one counts, of these the
-    one between siblings. A unit has no link with itself."""
-    e = edges.select("src", "dst", "kind").distinct().filter("src <> dst")
-    link = lambda df, a, b, w, rank: df.select(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(float(w)).alias("weight"), F.lit(rank).alias("rank"))
+    one between siblings. A unit has no link with itself. ``by`` keeps graphs apart, one
+    for each tokenizer."""
+    e = edges.select(*by, "src", "dst", "kind").distinct().filter("src <> dst")
+    link = lambda df, a, b, w, rank: df.select(*by, F.col(a).alias("a"), F.col(b).alias("b"), F.lit(float(w)).alias("weight"), F.lit(rank).alias("rank"))
     pair, kin = e.filter("kind = 'pair'"), e.filter("kind = 'mutation'")
-    twins = kin.select("src", F.col("dst").alias("x")).join(kin.select("src", F.col("dst").alias("y")), "src").filter("x <> y")
+    twins = kin.select(*by, "src", F.col("dst").alias("x")).join(kin.select(*by, "src", F.col("dst").alias("y")), [*by, "src"]).filter("x <> y")
     every = link(pair, "src", "dst", alpha, 1).unionByName(link(pair, "dst", "src", alpha, 1)).unionByName(link(kin, "src", "dst", theta, 2)).unionByName(link(kin, "dst", "src", theta, 2)).unionByName(link(twins, "x", "y", beta, 3))
-    return every.groupBy("a", "b").agg(F.max_by("weight", "rank").alias("weight"))
+    return every.groupBy(*by, "a", "b").agg(F.max_by("weight", "rank").alias("weight"))
 
 
-def smoothing(graph: DataFrame, units: DataFrame, lam: float = 0.5) -> DataFrame:
+def smoothing(graph: DataFrame, units: DataFrame, lam: float = 0.5, by: tuple = ()) -> DataFrame:
     """``a, b, value`` of (1 - lam) I + lam A D: the graph with its columns brought to
-    sum 1, mixed with the identity over ``units`` (``unit``)."""
-    col = graph.groupBy("b").agg(F.sum("weight").alias("total"))
-    spread = graph.join(col, "b").select("a", "b", (lam * F.col("weight") / F.col("total")).alias("value"))
-    same = units.select(F.col("unit").alias("a"), F.col("unit").alias("b"), F.lit(1 - lam).alias("value"))
-    return spread.unionByName(same).groupBy("a", "b").agg(F.sum("value").alias("value"))
+    sum 1, mixed with the identity over ``units`` (``unit``); a matrix for each ``by``."""
+    col = graph.groupBy(*by, "b").agg(F.sum("weight").alias("total"))
+    spread = graph.join(col, [*by, "b"]).select(*by, "a", "b", (lam * F.col("weight") / F.col("total")).alias("value"))
+    same = units.select(*by, F.col("unit").alias("a"), F.col("unit").alias("b"), F.lit(1 - lam).alias("value"))
+    return spread.unionByName(same).groupBy(*by, "a", "b").agg(F.sum("value").alias("value"))
 
 
-def smoothed_counts(counts: DataFrame, matrix: DataFrame) -> DataFrame:
-    """``class, term, n``: counts times the smoothing matrix."""
-    return counts.join(matrix, counts["term"] == matrix["a"]).groupBy("class", F.col("b").alias("term")).agg(F.sum(F.col("n") * F.col("value")).alias("n"))
+def smoothed_counts(counts: DataFrame, matrix: DataFrame, by: tuple = ()) -> DataFrame:
+    """``class, term, n``: counts times the smoothing matrix, or times each of several (``by``,
+    columns of the matrix that become columns of the result)."""
+    return counts.join(matrix.withColumnRenamed("a", "term"), "term").groupBy(*by, "class", F.col("b").alias("term")).agg(F.sum(F.col("n") * F.col("value")).alias("n"))
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """Adds the place of each row in an order over the whole table, from 1: rows are cut into
+    ranges, numbered inside each, and moved by the sizes of the ranges before."""
+    placed = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
+    # one row per range, as many as there are partitions
+    before = placed.groupBy("_p").agg(F.count("*").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(F.broadcast(before.select("_p", "_off")), "_p").withColumn(name, F.col("_off") + F.row_number().over(W.partitionBy("_p").orderBy(*order))).drop("_p", "_off")
+
+
+def permuted(df: DataFrame, ident: str, label: str, seed: str = "42") -> DataFrame:
+    """The null model: the labels dealt anew among the rows, in the order of the md5 of (seed,
+    ident); each label keeps its number of rows."""
+    rows = numbered(df.drop(label), F.md5(F.concat_ws("|", F.lit(seed), F.col(ident).cast("string"))), F.col(ident))
+    labels = numbered(df.select(label, F.col(ident).alias("_i")), label, "_i").drop("_i")
+    return rows.join(labels, "place").drop("place")
 
 
 def top_terms(weights: DataFrame, n: int) -> DataFrame:

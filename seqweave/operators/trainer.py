@@ -17,11 +17,13 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqweave.session import written
 
@@ -231,6 +233,32 @@ def _merged(x: np.ndarray, rules: list[tuple[int, int, int]]) -> np.ndarray:
     return x
 
 
+def merged_symbols(df: DataFrame, seq: str, pairs: list[tuple[str, str]], out: str = "symbols") -> DataFrame:
+    """Adds the symbols of each sequence after merging the pairs, one after the other, each
+    left to right without overlaps; null for a null sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, names = {"": 0}, [""]
+
+            def number(x: str) -> int:
+                if x not in code:
+                    code[x] = len(names)
+                    names.append(x)
+                return code[x]
+
+            texts = b.column(b.schema.get_field_index(seq)).to_pylist()
+            x = np.array([number(c) for s in texts for c in (*(s or ""), "")], dtype=np.int32)
+            x = _merged(x, [(number(a), number(c), number(a + c)) for a, c in pairs])
+            ends = np.flatnonzero(x == 0)
+            offsets = np.concatenate([[0], ends - np.arange(len(ends))])
+            mask = np.array([*(s is None for s in texts), False])
+            cells = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32(), mask=mask), pa.array(names).take(pa.array(x[x > 0])))
+            yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))]))
+
+
 def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "config", rewrite_every: int = 24) -> DataFrame:
     """The same vocabulary with the corpus left where it is: each round counts the
     pairs of all chunks and merges; only pair counts reach the driver, at most one per
@@ -344,3 +372,13 @@ def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "c
 
     vocab = _learn(Vocabulary(letters), rules, best, merge, spelled)
     return spark.createDataFrame(vocab.rows(config), VOCAB_SCHEMA)
+
+
+def train(df: DataFrame, seq: str, configs: dict[str, Rules], *, most_chars: int = 5_000_000) -> DataFrame:
+    """One vocabulary per configuration by the trainer that suits the corpus' size. Both give
+    the same; a round over chunks costs a job, which a corpus that fits in a task is spared."""
+    size = df.agg(F.sum(F.length(seq))).first()[0] or 0
+    if size <= most_chars:
+        return written(train_units(df, seq, configs, most_chars=most_chars), "learned")
+    each = [train_distributed(df, seq, rules, config=name) for name, rules in configs.items()]
+    return reduce(DataFrame.unionByName, each)

@@ -17,6 +17,7 @@ from seqweave.operators import topics as T
 from seqweave.operators import variants as V
 from seqweave.operators.corpus import adjacent_pairs, undersampled
 from seqweave.plans.tables import table
+from seqweave.session import written
 
 QUERIES, SQL = {}, {}
 
@@ -114,7 +115,7 @@ def lineage(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {VOCAB} SELECT config_id, count(*) AS v_size, round(count(*) FILTER (is_parent) / count(*)::DOUBLE, 9) AS p_ratio, round(count(parent) / count(*)::DOUBLE, 9) AS m_ratio, round(avg(length(token)), 9) AS ulength_mean, round(stddev_samp(length(token)), 9) AS ulength_std FROM v GROUP BY 1")
 def vocabulary_stats(s: SparkSession, d: str) -> DataFrame:
-    x = G.vocabulary_stats(vocab(s, d))
+    x = G.vocabulary_stats(vocab(s, d)).orderBy("config_id")
     return x.select("config_id", "v_size", *(F.round(c, 9).alias(c) for c in ("p_ratio", "m_ratio", "ulength_mean", "ulength_std")))
 
 
@@ -298,43 +299,64 @@ def topic_top_terms(s: SparkSession, d: str) -> DataFrame:
     return T.top_terms(T.class_tfidf(_class_counts(s, d)).select("class", "term", F.round("weight", 8).alias("weight")), 10).select("class", "term", F.col("rank").cast("long").alias("rank"))
 
 
-_EDGES = f"""{VOCAB}, e AS (SELECT DISTINCT src, dst, kind FROM (SELECT unnest(pair) AS src, token AS dst, 'pair' AS kind FROM v UNION ALL SELECT parent, token, 'mutation' FROM v) WHERE src IS NOT NULL AND src <> dst),
+_EDGES = f"""{VOCAB}, e AS (SELECT DISTINCT config_id, src, dst, kind FROM (SELECT config_id, unnest(pair) AS src, token AS dst, 'pair' AS kind FROM v UNION ALL SELECT config_id, parent, token, 'mutation' FROM v) WHERE src IS NOT NULL AND src <> dst),
 k AS (SELECT * FROM e WHERE kind = 'mutation'),
-l AS (SELECT src AS a, dst AS b, 1 AS r, 1.0 AS w FROM e WHERE kind = 'pair' UNION ALL SELECT dst, src, 1, 1.0 FROM e WHERE kind = 'pair' UNION ALL SELECT src, dst, 2, 2.0 FROM k UNION ALL SELECT dst, src, 2, 2.0 FROM k
-      UNION ALL SELECT x.dst, y.dst, 3, 3.0 FROM k x JOIN k y ON x.src = y.src AND x.dst <> y.dst),
-g AS (SELECT a, b, max_by(w, r)::DOUBLE AS weight FROM l GROUP BY 1, 2)"""
+l AS (SELECT config_id, src AS a, dst AS b, 1 AS r, 1.0 AS w FROM e WHERE kind = 'pair' UNION ALL SELECT config_id, dst, src, 1, 1.0 FROM e WHERE kind = 'pair' UNION ALL SELECT config_id, src, dst, 2, 2.0 FROM k UNION ALL SELECT config_id, dst, src, 2, 2.0 FROM k
+      UNION ALL SELECT x.config_id, x.dst, y.dst, 3, 3.0 FROM k x JOIN k y ON x.config_id = y.config_id AND x.src = y.src AND x.dst <> y.dst),
+g AS (SELECT config_id, a, b, max_by(w, r)::DOUBLE AS weight FROM l GROUP BY 1, 2, 3)"""
+_EACH = ("config_id",)
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:
-    return T.unit_graph(G.edges(vocab(s, d)))
+    return T.unit_graph(G.edges(vocab(s, d)), by=_EACH)
 
 
-@query(f"WITH {_EDGES} SELECT a, b, weight FROM g")
+@query(f"WITH {_EDGES} SELECT config_id, a, b, weight FROM g")
 def unit_graph(s: SparkSession, d: str) -> DataFrame:
     return _graph(s, d)
 
 
-_SMOOTH = _EDGES + """, u AS (SELECT DISTINCT a AS unit FROM g UNION SELECT token FROM v), sm AS (SELECT a, b, sum(value) AS value FROM (SELECT a, b, 0.5 * weight / sum(weight) OVER (PARTITION BY b) AS value FROM g UNION ALL SELECT unit, unit, 0.5 FROM u) GROUP BY 1, 2)"""
+_SMOOTH = _EDGES + """, u AS (SELECT DISTINCT config_id, a AS unit FROM g UNION SELECT config_id, token FROM v), sm AS (SELECT config_id, a, b, sum(value) AS value FROM (SELECT config_id, a, b, 0.5 * weight / sum(weight) OVER (PARTITION BY config_id, b) AS value FROM g UNION ALL SELECT config_id, unit, unit, 0.5 FROM u) GROUP BY 1, 2, 3)"""
 
 
 def _smoothing(s: SparkSession, d: str) -> DataFrame:
     g = _graph(s, d)
-    units = g.select(F.col("a").alias("unit")).union(table(s, d, "vocab_entries").select("token")).distinct()
-    return T.smoothing(g, units, 0.5)
+    units = g.select("config_id", F.col("a").alias("unit")).union(table(s, d, "vocab_entries").select("config_id", "token")).distinct()
+    return T.smoothing(g, units, 0.5, by=_EACH)
 
 
-@query(f"WITH {_SMOOTH} SELECT a, b, round(value, 9) AS value FROM sm")
+@query(f"WITH {_SMOOTH} SELECT config_id, a, b, round(value, 9) AS value FROM sm")
 def smoothing_matrix(s: SparkSession, d: str) -> DataFrame:
-    return _smoothing(s, d).select("a", "b", F.round("value", 9).alias("value"))
+    return _smoothing(s, d).select("config_id", "a", "b", F.round("value", 9).alias("value"))
 
 
-_VC = "SELECT regexp_extract(config_id, '_([a-z]+[0-9]+)_', 1) AS class, token AS term, sum(frequency)::BIGINT AS n FROM v WHERE frequency > 0 GROUP BY 1, 2"
+_AWARE = "y AS (SELECT config_id, class, b AS term, sum(n * value) AS n FROM c JOIN sm ON term = a GROUP BY 1, 2, 3) SELECT config_id, class, term, round(sqrt(n / sum(n) OVER (PARTITION BY config_id, class)) * ln(1 + trunc(sum(n) OVER (PARTITION BY config_id) / classes) / sum(n) OVER (PARTITION BY config_id, term)), 7) AS weight FROM y JOIN (SELECT config_id, count(DISTINCT class) AS classes FROM y GROUP BY 1) USING (config_id)"
 
 
-@query(f"WITH {_SMOOTH}, c AS ({_VC}), y AS (SELECT class, b AS term, sum(n * value) AS n FROM c JOIN sm ON term = a GROUP BY 1, 2) SELECT class, term, round(weight, 7) AS weight FROM ({_TFIDF.format(t='y')})")
+def _aware(s: SparkSession, d: str, p: DataFrame) -> DataFrame:
+    counts = T.smoothed_counts(T.class_counts(p, "class", "t"), _smoothing(s, d), by=_EACH)
+    return T.class_tfidf(counts, by=_EACH).select("config_id", "class", "term", F.round("weight", 7).alias("weight"))
+
+
+@query(f"WITH {_SMOOTH}, {_CC.replace('x AS', 'c AS', 1)}, {_AWARE}")
 def ctfidf_graph_aware(s: SparkSession, d: str) -> DataFrame:
-    c = vocab(s, d).filter("frequency > 0").groupBy(F.regexp_extract("config_id", "_([a-z]+[0-9]+)_", 1).alias("class"), F.col("token").alias("term")).agg(F.sum("frequency").alias("n"))
-    return T.class_tfidf(T.smoothed_counts(c, _smoothing(s, d))).select("class", "term", F.round("weight", 7).alias("weight"))
+    """Term weights of the classes as the graph of each tokenizer spreads the counts."""
+    p = table(s, d, "proteins").filter("sequence <> ''").select(F.col("subcellular_location").alias("class"), kmers("sequence", 3).alias("t"))
+    return _aware(s, d, p)
+
+
+_DEALT = f"""{PROTEINS}, lab AS (SELECT entry, min(subcellular_location) AS class FROM proteins GROUP BY 1), q AS (SELECT entry, s, class FROM p JOIN lab USING (entry) WHERE class IS NOT NULL),
+o AS (SELECT s, row_number() OVER (ORDER BY md5('42|' || entry), entry) AS n FROM q), w AS (SELECT class, row_number() OVER (ORDER BY class, entry) AS n FROM q),
+c AS (SELECT class, term, count(*) AS n FROM (SELECT class, unnest(list_transform(range(1, length(s) + 1, 3), lambda i: substr(s, i, 3))) AS term FROM o JOIN w USING (n)) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SMOOTH}, {_DEALT}, {_AWARE}")
+def ctfidf_permuted(s: SparkSession, d: str) -> DataFrame:
+    """The same with the labels dealt anew among the proteins: the null model."""
+    p = table(s, d, "proteins").filter("sequence <> ''").groupBy("entry").agg(F.min("sequence").alias("s"))
+    lab = table(s, d, "proteins").groupBy("entry").agg(F.min("subcellular_location").alias("class"))
+    q = T.permuted(p.join(lab.filter("class IS NOT NULL"), "entry"), "entry", "class")
+    return _aware(s, d, q.select("class", kmers("s", 3).alias("t")))
 
 
 _MEAN = "e AS (SELECT label, pos, avg(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2), c AS (SELECT x.label AS a, y.label AS b, sum(x.v * y.v) / sqrt(sum(x.v * x.v) * sum(y.v * y.v)) AS cosine FROM e x JOIN e y USING (pos) WHERE x.label < y.label GROUP BY 1, 2)"
@@ -446,14 +468,26 @@ def slim_graph(s: SparkSession, d: str) -> DataFrame:
 _GC = "x AS (SELECT organism_id % 10 AS class, term, count(*) AS n FROM (SELECT organism_id, unnest(list_transform(range(1, length(sequence) + 1, 3), lambda i: substr(sequence, i, 3))) AS term FROM proteins WHERE sequence <> '' AND organism_id IS NOT NULL) GROUP BY 1, 2)"
 
 
+_P_VALUE = """CASE WHEN abs(rho) < 1 AND n > 2 THEN round(greatest(0, 1 - 2 * (SELECT t / 6000 * sum(exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * pow(1 + pow(i * t / 2000, 2) / (n - 2), -(n - 1) / 2.0) * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) FROM range(0, 2001) r(i))), 6) ELSE 0 END"""
+
+
 @query(
-    f"""WITH {_GC}, {_MEAN}, w AS ({_TFIDF.format(t='x')}), u AS (SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY class ORDER BY weight DESC, term) AS r FROM w) WHERE r <= 200), z AS (SELECT * FROM w WHERE term IN (SELECT term FROM u)),
-nn AS (SELECT class, sqrt(sum(weight * weight)) AS norm FROM z GROUP BY 1), k AS (SELECT a.class AS a, b.class AS b, sum(a.weight * b.weight) AS dot FROM z a JOIN z b USING (term) WHERE a.class < b.class GROUP BY 1, 2),
-q AS (SELECT dot / n1.norm / n2.norm AS x, cosine AS y FROM k JOIN nn n1 ON n1.class = k.a JOIN nn n2 ON n2.class = k.b JOIN c ON c.a = k.a AND c.b = k.b),
-r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM q) SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r"""
+    f"""WITH {_GC}, {_MEAN}, w AS ({_TFIDF.format(t='x')}), u AS (SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY class ORDER BY weight DESC, term) AS r FROM w) WHERE r <= 200),
+rd AS (SELECT term FROM (SELECT DISTINCT term FROM w) ORDER BY md5('42|' || term), term LIMIT (SELECT count(*) FROM u)),
+z AS (SELECT 'all' AS strategy, * FROM w UNION ALL SELECT 'top', * FROM w WHERE term IN (SELECT term FROM u) UNION ALL SELECT 'random', * FROM w WHERE term IN (SELECT term FROM rd)),
+nn AS (SELECT strategy, class, sqrt(sum(weight * weight)) AS norm FROM z GROUP BY 1, 2), k AS (SELECT a.strategy, a.class AS a, b.class AS b, sum(a.weight * b.weight) AS dot FROM z a JOIN z b USING (strategy, term) WHERE a.class < b.class GROUP BY 1, 2, 3),
+q AS (SELECT k.strategy, dot / n1.norm / n2.norm AS x, cosine AS y FROM k JOIN nn n1 ON n1.strategy = k.strategy AND n1.class = k.a JOIN nn n2 ON n2.strategy = k.strategy AND n2.class = k.b JOIN c ON c.a = k.a AND c.b = k.b),
+r AS (SELECT strategy, rank() OVER (PARTITION BY strategy ORDER BY x) + (count(*) OVER (PARTITION BY strategy, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY strategy ORDER BY y) + (count(*) OVER (PARTITION BY strategy, y) - 1) / 2.0 AS ry FROM q),
+f AS (SELECT strategy, count(*) AS n, corr(rx, ry) AS rho, abs(corr(rx, ry)) * sqrt((count(*) - 2) / (1 - corr(rx, ry) * corr(rx, ry))) AS t FROM r GROUP BY 1)
+SELECT strategy, n, round(rho, 6) AS rho, {_P_VALUE} AS p FROM f"""
 )
 def profile_correlation(s: SparkSession, d: str) -> DataFrame:
+    """Similarity of classes by their units against that by another profile: over all units, the
+    heaviest, and as many drawn at random; with the probability of a rank correlation so far from 0."""
     p = table(s, d, "proteins").filter("sequence <> ''").select((F.col("organism_id") % 10).alias("g"), kmers("sequence", 3).alias("t"))
     e = table(s, d, "embeddings").select(F.col("label").alias("id"), F.posexplode("embedding").alias("dim", "v")).groupBy("id", "dim").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    x = T.similarity_correlation(T.class_tfidf(T.class_counts(p, "g", "t")), e, strategy="top", n=200)
-    return x.select("n", F.round("rho", 6).alias("rho"))
+    w, e, rows = written(T.class_tfidf(T.class_counts(p, "g", "t")), "weights"), written(e, "profile"), []
+    for strategy in ("all", "top", "random"):
+        x = T.similarity_correlation(w, e, strategy=strategy, n=200).first()  # one row
+        rows.append((strategy, x["n"], round(x["rho"], 6), round(T.spearman_p(x["n"], x["rho"]), 6)))
+    return s.createDataFrame(rows, "strategy string, n long, rho double, p double")

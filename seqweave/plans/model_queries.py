@@ -10,10 +10,10 @@ from seqweave.operators import variants as V
 from seqweave.operators.encoding import encode, export
 from seqweave.operators.genealogy import families
 from seqweave.operators.substitution import class_matrix, first_alternatives
-from seqweave.operators.trainer import Rules, train_distributed, train_units
+from seqweave.operators.trainer import Rules, train
 from seqweave.plans.domain_queries import _MUT, _mutated, proteins
 from seqweave.plans.tables import table
-from seqweave.session import new_path, written
+from seqweave.session import new_path
 from seqweave.sources import readers as R
 from seqweave.sources import sinks as K
 from seqweave.streaming.units import run_once, windowed_counts
@@ -39,22 +39,12 @@ def _corpus(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "uniref50_representatives").groupBy("id").agg(F.min("sequence").alias("s"))
 
 
-def _learned(s: SparkSession, d: str, kind: str) -> DataFrame:
-    """Both trainers give the same vocabulary; a round over chunks costs a job, which a
-    corpus that fits in a task is spared."""
-    c = _corpus(s, d)
-    size = c.agg(F.sum(F.length("s"))).first()[0] or 0
-    if size <= 5_000_000:
-        return written(train_units(c, "s", {kind: _RULES[kind]}), "learned")
-    return train_distributed(c, "s", _RULES[kind], config=kind)
-
-
 def _plain(s: SparkSession, d: str) -> DataFrame:
-    return _learned(s, d, "plain")
+    return train(_corpus(s, d), "s", {"plain": _RULES["plain"]})
 
 
 def _family(s: SparkSession, d: str) -> DataFrame:
-    return _learned(s, d, "family")
+    return train(_corpus(s, d), "s", {"family": _RULES["family"]})
 
 
 @query()
