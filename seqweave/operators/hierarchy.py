@@ -187,13 +187,15 @@ def _trimmed(src: np.ndarray, dst: np.ndarray, free_src: np.ndarray, free_dst: n
     return live
 
 
-def _rings(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
-    """Nodes that can be reached from themselves (strong components of more than
-    one node, and loops), by one depth-first pass with an explicit stack."""
+def _components(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Of each node the first node of its ring (strong components of more than one node, and
+    loops), -1 for nodes that cannot be reached from themselves; one depth-first pass with
+    an explicit stack."""
     order = np.argsort(src, kind="stable")
     out, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
-    number, low, on, member = [0] * n, [0] * n, bytearray(n), np.zeros(n, dtype=bool)
-    member[src[src == dst]] = True
+    number, low, on, ring = [0] * n, [0] * n, bytearray(n), np.full(n, -1, dtype=np.int64)
+    loops = src[src == dst]
+    ring[loops] = loops
     count, stack = 0, []
     for start in np.unique(src).tolist():
         if number[start]:
@@ -224,63 +226,108 @@ def _rings(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
                 for w in stack[cut:]:
                     on[w] = 0
                 if len(stack) - cut > 1:
-                    member[stack[cut:]] = True
+                    ring[stack[cut:]] = min(stack[cut:])
                 del stack[cut:]
             if work:
                 u = work[-1][0]
                 low[u] = min(low[u], low[v])
-    return member
-
-
-def ring_members(df: DataFrame | Resolved, group: str = "", node: str = "", name: str = "", links: list | None = None, *, kind: str = "link", block_edges: int = 1_000_000, width: int = 200_000, widen: int = 16, max_levels: int = 8) -> DataFrame:
+    return ring
+
+
+def _bypassed(src: list, dst: list, kept: set) -> tuple[list, dict, dict]:
+    """Links of a graph without rings after nodes outside ``kept`` with one way in or one way on
+    are taken out, their neighbours linked instead; and for each node taken out the nodes
+    that are left before and after it."""
+    into, on, way = {}, {}, []
+    for a, b in zip(src, dst):
+        on.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+    for v in sorted(into.keys() & on.keys() - kept):
+        if len(into[v]) == 1 or len(on[v]) == 1:
+            before, after = into.pop(v), on.pop(v)
+            for a in before:
+                on[a].remove(v)
+                on[a] |= after
+            for b in after:
+                into[b].remove(v)
+                into[b] |= before
+            way.append((v, before, after))
+    first, last = {}, {}
+    for v, before, after in reversed(way):  # those taken out later stand between those that are left
+        first[v] = set().union(*(first.get(a, {a}) for a in before))
+        last[v] = set().union(*(last.get(b, {b}) for b in after))
+    return [(a, b) for a, way_on in on.items() for b in way_on], first, last
+
+
+def _fragments(t: pa.Table) -> pa.Table:
+    """One block of links: ``role, id, other`` rows. A ``member`` lies on a local ring, known by its
+    first node; an ``edge`` leads on in the quotient, where rings are single nodes and chains
+    single links; ``before`` and ``after`` name the ends of the fragments a node lies on."""
+    a, b, own, w = t["id"].to_numpy(), t["target"].to_numpy(), t["block"][0].as_py(), t["width"][0].as_py()
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, src, dst = len(ids), flat[: len(a)], flat[len(a) :]
+    outside = ids // w != own  # nodes of other blocks keep their unknown ways
+    live = _trimmed(src, dst, outside, outside, n)
+    src, dst = src[live], dst[live]
+    entry, leaves = outside[src], outside[dst]
+    inner = ~entry & ~leaves
+    ring = _components(src[inner], dst[inner], n)
+    rep = np.where(ring >= 0, ring, np.arange(n))
+    src, dst = rep[src], rep[dst]
+    inner &= src != dst
+    enters, exits = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    enters[dst[entry]] = True
+    exits[src[leaves & ~entry]] = True
+    # with the rings closed to nodes, ways that neither come in nor lead out end here
+    stay = _trimmed(src[inner], dst[inner], enters, exits, n)
+    edges, first, last = _bypassed(src[inner][stay].tolist(), dst[inner][stay].tolist(), {*np.flatnonzero(enters | exits | (ring >= 0)).tolist()})
+    member = np.flatnonzero(ring >= 0)
+    edges += list(zip(src[leaves & ~entry].tolist(), dst[leaves & ~entry].tolist()))
+    rows = [("member", v, ring[v]) for v in member.tolist()] + [("edge", *e) for e in edges]
+    rows += [(role, v, x) for role, of in (("before", first), ("after", last)) for v, xs in of.items() for x in xs]
+    role, one, two = zip(*rows) if rows else ((), (), ())
+    at = lambda x: pa.array(ids[np.array(x, dtype=np.int64)])
+    return pa.table({"g": pa.array([t["g"][0].as_py()] * len(rows), type=t["g"].type), "role": pa.array(role, type=pa.string()), "id": at(one), "other": at(two)})
+
+
+def ring_members(df: DataFrame | Resolved, group: str = "", node: str = "", name: str = "", links: list | None = None, *, kind: str = "link", width: int = 200_000, block_edges: int = 1_000_000) -> DataFrame:
     """``g, id``: the nodes that can be reached from themselves by one or more of
     ``links`` (Columns giving the linked names; several for links of more parts).
-    Such nodes have several ways on, so there are no chains to contract.
 
-    Groups of more than ``block_edges`` links are first cut into blocks of
-    ``width`` ids: a block takes off the nodes whose ways all end inside it, the
-    rest goes to blocks ``widen`` times as wide. Only what stays, the rings and
-    what lies between them, is searched as one piece.
+    Blocks of ``width`` ids take off the nodes whose ways all end inside, close local rings
+    to single nodes and contract chains to links between the nodes other blocks see.
+    What is left, the quotient, is solved the same way, its blocks wider by as much as it
+    has shrunk; one of fewer than ``block_edges`` links, or that has not shrunk to half,
+    as one block a group. Then the nodes inside the fragments are expanded: one is on a
+    global ring if a node before it and a node after it lie on the same one.
 
     Defined cases: those of ``Resolved``, which may be given instead of a table and has the
-    links as ``kind``; a node linked to itself is a ring; a node that merely leads to a ring is none; an empty table gives no row.
+    links as ``kind``; a node linked to itself is a
+    ring; a node that merely leads to a ring is none; an empty table gives no row.
     """
     known = df if isinstance(df, Resolved) else Resolved(df, group, node, name, {kind: links})
     edges = known.links.filter(F.col("kind") == kind).select("g", "id", "target")
-    of_group = edges.schema["g"].dataType
-
-    def trim(t: pa.Table) -> pa.Table:
-        a, b, own = t["id"].to_numpy(), t["target"].to_numpy(), t["block"].to_numpy()[0]
-        w = t["width"].to_numpy()[0]
-        ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-        src, dst = flat[: len(a)], flat[len(a) :]
-        outside = ids // w != own  # nodes of other blocks keep their unknown ways
-        live = _trimmed(src, dst, outside, outside, len(ids))
-        mine = live & (a // w == own)
-        dead_in = ~live & (a // w != own)
-        return pa.table({"g": t["g"].filter(pa.array(mine | dead_in)), "id": a[mine | dead_in], "target": b[mine | dead_in], "kept": pa.array(mine[mine | dead_in])})
-
-    shape = T.StructType([T.StructField("g", of_group), T.StructField("id", T.LongType()), T.StructField("target", T.LongType()), T.StructField("kept", T.BooleanType())])
-    for _ in range(max_levels):
-        big = edges.groupBy("g").count().filter(F.col("count") > block_edges).select("g")
-        if big.isEmpty():
-            break
-        wide = edges.join(big, "g", "left_semi")
+    shape = T.StructType([T.StructField("g", edges.schema["g"].dataType), T.StructField("role", T.StringType()), T.StructField("id", T.LongType()), T.StructField("other", T.LongType())])
+    levels, before = [], edges.count()
+    while before:
         block = lambda c, w=width: F.floor(F.col(c) / F.lit(w))
-        # an edge between blocks goes to both, so that either end can end it
-        dealt = wide.select("*", F.explode(F.array_distinct(F.array(block("id"), block("target")))).alias("block"), F.lit(width).cast("long").alias("width"))
-        parts = written(dealt.groupBy("g", "block").applyInArrow(trim, shape), "ring-trim")
-        stay = parts.filter("kept").select("g", "id", "target").join(parts.filter("not kept").select("g", "id", "target"), ["g", "id", "target"], "left_anti")
-        edges = written(edges.join(big, "g", "left_anti").unionByName(stay), "ring-edges")
-        width *= widen
-
-    def search(t: pa.Table) -> pa.Table:
-        ids, flat = np.unique(np.concatenate([t["id"].to_numpy(), t["target"].to_numpy()]), return_inverse=True)
-        m = len(t)
-        src, dst = flat[:m], flat[m:]
-        none = np.zeros(len(ids), dtype=bool)
-        live = _trimmed(src, dst, none, none, len(ids))
-        found = ids[_rings(src[live], dst[live], len(ids))]
-        return pa.table({"g": pa.array([t["g"][0].as_py()] * len(found), type=t["g"].type), "id": pa.array(found)})
-
-    return edges.groupBy("g").applyInArrow(search, T.StructType([T.StructField("g", of_group), T.StructField("id", T.LongType())]))
+        # a link between blocks goes to both: one sees where it leads, the other that it comes in
+        dealt = edges.select("*", F.explode(F.array_distinct(F.array(block("id"), block("target")))).alias("block"), F.lit(width).cast("long").alias("width"))
+        parts = written(dealt.groupBy("g", "block").applyInArrow(_fragments, shape), "ring-parts")
+        levels.append(parts)
+        members = parts.filter("role = 'member'").select("g", F.col("id").alias("target"), F.col("other").alias("rep"))
+        onward = parts.filter("role = 'edge'").select("g", "id", F.col("other").alias("target")).join(members, ["g", "target"], "left")
+        edges = written(onward.select("g", "id", F.coalesce("rep", "target").alias("target")).distinct(), "ring-edges")
+        left = edges.count()
+        width = 1 << 62 if left <= block_edges or left * 2 > before else width * (before // left)
+        before = left
+    labels = known.nodes.select("g", "id", F.col("id").alias("label")).limit(0)
+    for parts in reversed(levels):
+        of = lambda role, c: parts.filter(F.col("role") == role).select("g", "id", F.col("other").alias(c))  # noqa: E731, B023
+        named = labels.select("g", F.col("id").alias("rep"), "label")
+        labels = labels.unionByName(of("member", "rep").join(named, ["g", "rep"], "left").select("g", "id", F.coalesce("label", "rep").alias("label"))).distinct()
+        if len(levels) > 1:
+            labels = written(labels, "ring-labels")
+            at = lambda role: of(role, "x").join(labels.select("g", F.col("id").alias("x"), "label"), ["g", "x"]).select("g", "id", "label").distinct()  # noqa: E731, B023
+            labels = labels.unionByName(at("before").join(at("after"), ["g", "id", "label"])).distinct()
+    return labels.select("g", "id").distinct()

@@ -93,7 +93,7 @@ def test_forest_and_rings(spark, width):
     assert got == want
     below = Counter((r["g"], r["ancestor"]) for r in descendants(paths).collect())
     assert below == Counter((g, a) for (g, _), (_, p) in want.items() if p for a in p[:-1])
-    found = ring_members(df, "g", "id", "name", [df["pair"][0], df["pair"][1]], width=width, widen=3, block_edges=10)
+    found = ring_members(df, "g", "id", "name", [df["pair"][0], df["pair"][1]], width=width, block_edges=10)
     assert {(r["g"], r["id"]) for r in found.collect()} == {k for k, v in pairs.items() if v}
     assert forest_paths(df.limit(0), "g", "id", "name", "parent").count() == 0
     assert ring_members(df.limit(0), "g", "id", "name", [df["parent"]]).count() == 0
@@ -143,3 +143,34 @@ def test_ranges_of_the_keys():
     (held,) = ranges.deal(True)(iter([pa.RecordBatch.from_arrays([pa.array(["k01000", "k03999"])], names=["k"])]))
     assert len(held) == sum(ranges.blocks[ranges.of(_fixed(pa.array(["k01000", "k03999"])))])
     assert Ranges([], [], 10, 3, 10).count == 1
+
+
+def test_rings_across_blocks(spark):
+    # rings of three blocks joined by chains, dead ends, a loop, and a way from one ring to another
+    n, rng = 300, random.Random(11)
+    ways = {i: [] for i in range(n)}
+    for start, size in ((0, 40), (100, 90), (200, 7)):
+        ring = rng.sample(range(start, start + 95), size)
+        for x, y in zip(ring, ring[1:] + ring[:1]):
+            ways[x].append(y)
+    for _ in range(120):
+        x, y = sorted(rng.sample(range(n), 2), reverse=True)
+        ways[x].append(y)
+    ways[299].append(299)
+
+    def back(i):
+        seen, front = set(), [i]
+        while front:
+            for y in ways[front.pop()]:
+                if y not in seen:
+                    seen.add(y)
+                    front.append(y)
+        return i in seen
+
+    most = max(map(len, ways.values()))
+    rows = [("g", i, f"t{i}", [f"t{y}" for y in w] + [None] * (most - len(w))) for i, w in ways.items()]
+    df = spark.createDataFrame(rows, "g string, id long, name string, links array<string>")
+    want = {i for i in ways if back(i)}
+    for width, least in ((10, 0), (37, 20), (1000, 10)):
+        got = ring_members(df, "g", "id", "name", [df["links"][k] for k in range(most)], width=width, block_edges=least)
+        assert {r["id"] for r in got.collect()} == want
