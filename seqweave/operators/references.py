@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_RANGES = 65_536
-_POINTS = 2_000_000  # keys that the bounds are drawn from, about
+_POINTS = 400_000  # keys that the bounds are drawn from, about
 _WIDE = 64
 _NEVER = np.iinfo(np.int64).max
 _FIRST = np.iinfo(np.int64).min
@@ -53,9 +53,7 @@ def _points(most: int):
         keys = np.sort(np.concatenate([_fixed(pa.array([], type=pa.string())), *(_fixed(b.column(0)) for b in batches)]))
         if len(keys):
             cuts = np.unique(np.linspace(0, len(keys), min(most, len(keys)) + 1).astype(np.int64))
-            # padded again: the bytes are compared as they are
-            points = [k.ljust(_WIDE + 2, b"\0") for k in keys[(cuts[:-1] + cuts[1:]) // 2].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(points, type=pa.binary()), pa.array(np.diff(cuts))], names=["point", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[(cuts[:-1] + cuts[1:]) // 2].tolist(), type=pa.binary()), pa.array(np.diff(cuts))], names=["point", "rows"])
 
     return run
 
@@ -161,7 +159,7 @@ def orphan_references(
     r = refs.select(refs[ref_key].alias("rkey"), micros(refs, ref_time).alias("at"), *(refs[c].alias(i) for c, i in zip(carry, inner))).filter(F.col("rkey").isNotNull())
     keys = r.select("rkey").unionByName(p.select(F.col("pkey").alias("rkey")))
     # a bounded number of keys in all, whatever the number of tasks
-    drawn = keys.mapInArrow(_points(max(4, min(1024, _POINTS // max(1, keys.rdd.getNumPartitions())))), "point binary, rows long").toArrow()
+    drawn = keys.mapInArrow(_points(max(1, min(256, _POINTS // max(1, keys.rdd.getNumPartitions())))), "point binary, rows long").toArrow()
     ranges = Ranges(drawn["point"].to_pylist(), drawn["rows"].to_pylist(), range_rows, least, block_rows)
     p = p.groupBy("pkey").agg(F.min("first").alias("first"), F.min("gone").alias("gone"))
     dealt = lambda df, copies: df.mapInArrow(ranges.deal(copies), T.StructType([*df.schema.fields, T.StructField("home", T.IntegerType())])).repartitionById(ranges.count, "home").groupBy("home")
