@@ -16,7 +16,7 @@ from seqweave.plans.tables import table
 from seqweave.session import new_path
 from seqweave.sources import readers as R
 from seqweave.sources import sinks as K
-from seqweave.streaming.units import run_once, windowed_counts
+from seqweave.streaming.units import pair_counts, run_once, run_to_table, windowed_counts
 
 QUERIES, SQL = {}, {}
 
@@ -140,3 +140,12 @@ def streaming_event_counts(s: SparkSession, d: str) -> DataFrame:
     counts = windowed_counts(stream, "ts", "event_type", window="1 hour", late="1 hour").select(F.col("start"), F.col("end"), "key", "n")
     run_once(counts, path, path + "-checkpoint")
     return s.read.schema("start timestamp, end timestamp, key string, n long").parquet(path)
+
+
+@query('SELECT substr(sequence, i, 1) AS "left", substr(sequence, i + 1, 1) AS "right", count(*) AS cnt FROM (SELECT sequence, unnest(range(1, length(sequence))) AS i FROM uniref50_representatives) GROUP BY 1, 2')
+def streaming_pair_counts(s: SparkSession, d: str) -> DataFrame:
+    """Running counts of adjacent pairs over sequences as they arrive."""
+    stream = s.readStream.schema(table(s, d, "uniref50_representatives").schema).parquet(f"{d}/uniref50_representatives.parquet*")
+    path = new_path(s, "stream")
+    run_to_table(pair_counts(stream, "sequence"), path, path + "-checkpoint")
+    return s.read.schema("left string, right string, cnt long").parquet(path)

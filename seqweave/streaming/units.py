@@ -24,3 +24,8 @@ def pair_counts(stream: DataFrame, seq: str) -> DataFrame:
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Drain what has arrived into Parquet and stop."""
     df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_table(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain what has arrived into running totals: Parquet, replaced as a whole by each batch."""
+    df.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
