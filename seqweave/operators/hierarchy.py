@@ -287,11 +287,12 @@ def _fragments(t: pa.Table) -> pa.Table:
     rows += [(role, v, x) for role, of in (("before", first), ("after", last)) for v, xs in of.items() for x in xs]
     role, one, two = zip(*rows) if rows else ((), (), ())
     at = lambda x: pa.array(ids[np.array(x, dtype=np.int64)])
-    return pa.table({"g": pa.array([t["g"][0].as_py()] * len(rows), type=t["g"].type), "role": pa.array(role, type=pa.string()), "id": at(one), "other": at(two)})
+    of = {c: pa.array([t[c][0].as_py()] * len(rows), type=t[c].type) for c in ("g", "kind")}
+    return pa.table(of | {"role": pa.array(role, type=pa.string()), "id": at(one), "other": at(two)})
 
 
-def ring_members(df: DataFrame | Resolved, group: str = "", node: str = "", name: str = "", links: list | None = None, *, kind: str = "link", width: int = 200_000, block_edges: int = 1_000_000) -> DataFrame:
-    """``g, id``: the nodes that can be reached from themselves by one or more of
+def ring_members(df: DataFrame | Resolved, group: str = "", node: str = "", name: str = "", links: list | None = None, *, width: int = 200_000, block_edges: int = 1_000_000) -> DataFrame:
+    """``g, kind, id``: the nodes that can be reached from themselves by one or more of
     ``links`` (Columns giving the linked names; several for links of more parts).
 
     Blocks of ``width`` ids take off the nodes whose ways all end inside, close local rings
@@ -301,33 +302,40 @@ def ring_members(df: DataFrame | Resolved, group: str = "", node: str = "", name
     as one block a group. Then the nodes inside the fragments are expanded: one is on a
     global ring if a node before it and a node after it lie on the same one.
 
-    Defined cases: those of ``Resolved``, which may be given instead of a table and has the
-    links as ``kind``; a node linked to itself is a
+    Defined cases: those of ``Resolved``, which may be given instead of a table; its
+    kinds of links are then searched side by side, each by itself; a node linked to itself is a
     ring; a node that merely leads to a ring is none; an empty table gives no row.
     """
-    known = df if isinstance(df, Resolved) else Resolved(df, group, node, name, {kind: links})
-    edges = known.links.filter(F.col("kind") == kind).select("g", "id", "target")
-    shape = T.StructType([T.StructField("g", edges.schema["g"].dataType), T.StructField("role", T.StringType()), T.StructField("id", T.LongType()), T.StructField("other", T.LongType())])
+    known = df if isinstance(df, Resolved) else Resolved(df, group, node, name, {"link": links})
+    edges, by = known.links, ["g", "kind"]
+    shape = T.StructType([*(edges.schema[c] for c in by), T.StructField("role", T.StringType()), T.StructField("id", T.LongType()), T.StructField("other", T.LongType())])
     levels, before = [], edges.count()
     while before:
         block = lambda c, w=width: F.floor(F.col(c) / F.lit(w))
         # a link between blocks goes to both: one sees where it leads, the other that it comes in
         dealt = edges.select("*", F.explode(F.array_distinct(F.array(block("id"), block("target")))).alias("block"), F.lit(width).cast("long").alias("width"))
-        parts = written(dealt.groupBy("g", "block").applyInArrow(_fragments, shape), "ring-parts")
+        parts = written(dealt.groupBy(*by, "block").applyInArrow(_fragments, shape), "ring-parts")
         levels.append(parts)
-        members = parts.filter("role = 'member'").select("g", F.col("id").alias("target"), F.col("other").alias("rep"))
-        onward = parts.filter("role = 'edge'").select("g", "id", F.col("other").alias("target")).join(members, ["g", "target"], "left")
-        edges = written(onward.select("g", "id", F.coalesce("rep", "target").alias("target")).distinct(), "ring-edges")
-        left = edges.count()
+        members = parts.filter("role = 'member'").select(*by, F.col("id").alias("target"), F.col("other").alias("rep"))
+        onward = parts.filter("role = 'edge'").select(*by, "id", F.col("other").alias("target"))
+        left = onward.count()
+        if not left:
+            break
+        edges = written(onward.join(members, [*by, "target"], "left").select(*by, "id", F.coalesce("rep", "target").alias("target")).distinct(), "ring-edges")
         width = 1 << 62 if left <= block_edges or left * 2 > before else width * (before // left)
         before = left
-    labels = known.nodes.select("g", "id", F.col("id").alias("label")).limit(0)
+    labels = None
     for parts in reversed(levels):
-        of = lambda role, c: parts.filter(F.col("role") == role).select("g", "id", F.col("other").alias(c))  # noqa: E731, B023
-        named = labels.select("g", F.col("id").alias("rep"), "label")
-        labels = labels.unionByName(of("member", "rep").join(named, ["g", "rep"], "left").select("g", "id", F.coalesce("label", "rep").alias("label"))).distinct()
+        of = lambda role, c: parts.filter(F.col("role") == role).select(*by, "id", F.col("other").alias(c))  # noqa: E731, B023
+        if labels is None:
+            labels = of("member", "label")
+        else:
+            named = labels.select(*by, F.col("id").alias("rep"), "label")
+            labels = labels.unionByName(of("member", "rep").join(named, [*by, "rep"], "left").select(*by, "id", F.coalesce("label", "rep").alias("label"))).distinct()
         if len(levels) > 1:
             labels = written(labels, "ring-labels")
-            at = lambda role: of(role, "x").join(labels.select("g", F.col("id").alias("x"), "label"), ["g", "x"]).select("g", "id", "label").distinct()  # noqa: E731, B023
-            labels = labels.unionByName(at("before").join(at("after"), ["g", "id", "label"])).distinct()
-    return labels.select("g", "id").distinct()
+            at = lambda role: of(role, "x").join(labels.select(*by, F.col("id").alias("x"), "label"), [*by, "x"]).select(*by, "id", "label").distinct()  # noqa: E731, B023
+            labels = labels.unionByName(at("before").join(at("after"), [*by, "id", "label"])).distinct()
+    if labels is None:
+        return known.links.select(*by, "id").limit(0)
+    return labels.select(*by, "id").distinct() if len(levels) > 1 else labels.select(*by, "id")

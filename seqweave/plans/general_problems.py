@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqweave.functions.ids import ACCESSION_SQL, GO_SQL, canonical_accession, canonical_go
 from seqweave.operators.heavy_keys import per_key_totals
-from seqweave.operators.hierarchy import RING, Resolved, descendants, forest_paths, ring_members
+from seqweave.operators.hierarchy import Resolved, descendants, forest_paths, ring_members
 from seqweave.operators.intervals import islands_and_gaps
 from seqweave.operators.references import orphan_references
 from seqweave.plans.tables import table
@@ -82,9 +82,7 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "vocab_entries")
     known = Resolved(v, "config_id", "token_id", "token", {"parent": [v["parent"]], "pair": [F.get("pair", F.lit(0)), F.get("pair", F.lit(1))]})
-    by_parent = forest_paths(known, kind="parent").filter(F.col("status") == RING).select("g", F.lit("parent").alias("kind"), "id")
-    by_pair = ring_members(known, kind="pair").select("g", F.lit("pair").alias("kind"), "id")
-    return by_parent.unionByName(by_pair).select(F.col("g").alias("config_id"), F.col("kind").alias("link_kind"), F.col("id").cast("int").alias("token_id"))
+    return ring_members(known).select(F.col("g").alias("config_id"), F.col("kind").alias("link_kind"), F.col("id").cast("int").alias("token_id"))
 
 
 _P3_WALK = """
