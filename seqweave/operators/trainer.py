@@ -233,6 +233,28 @@ def _merged(x: np.ndarray, rules: list[tuple[int, int, int]]) -> np.ndarray:
     return x
 
 
+def _merged_together(x: np.ndarray, rules: list[tuple[int, int, int]], size: int) -> np.ndarray:
+    """The same for rules that share no unit, in one pass over the symbols."""
+    after, unit = np.full(size, -1, dtype=x.dtype), np.zeros(size, dtype=x.dtype)
+    for left, right, new in rules:
+        after[left], unit[left] = right, new
+    hit = np.flatnonzero(after[x[:-1]] == x[1:])
+    if any(left == right for left, right, _ in rules):
+        twin = x[hit] == x[hit + 1]
+        same = hit[twin]
+        if len(same):  # of a run of overlapping hits every second counts
+            run = np.cumsum(np.concatenate([[0], np.diff(same) != 1]))
+            head = same[np.concatenate([[True], np.diff(run) != 0])]
+            hit = np.sort(np.concatenate([hit[~twin], same[(same - head[run]) % 2 == 0]]))
+    if not len(hit):
+        return x
+    x = x.copy()
+    x[hit] = unit[x[hit]]
+    keep = np.ones(len(x), dtype=bool)
+    keep[hit + 1] = False
+    return x[keep]
+
+
 def merged_symbols(df: DataFrame, seq: str, pairs: list[tuple[str, str]], out: str = "symbols") -> DataFrame:
     """Adds the symbols of each sequence after merging the pairs, one after the other, each
     left to right without overlaps; null for a null sequence."""
@@ -259,12 +281,12 @@ def merged_symbols(df: DataFrame, seq: str, pairs: list[tuple[str, str]], out: s
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))]))
 
 
-def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "config", rewrite_every: int = 24) -> DataFrame:
+def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "config", rewrite_every: int = 12) -> DataFrame:
     """The same vocabulary with the corpus left where it is: each round counts the
     pairs of all chunks and merges; only pair counts reach the driver, at most one per
-    pair of units. Several leading pairs are merged in one round where that provably
-    gives what merging them in turn gives. Every ``rewrite_every`` merges the chunks are
-    written anew, which also cuts the lineage."""
+    pair of units. Several leading pairs are merged in one round, one pass over the symbols, where
+    that provably gives what merging them in turn gives. Every ``rewrite_every`` rounds the
+    chunks are written anew, which also cuts the lineage."""
     spark = df.sparkSession
     src = df.select(df[seq].alias("s")).filter(F.length("s") > 0)
     letters = sorted(r["c"] for r in src.select(F.explode(F.array_distinct(F.filter(F.split("s", ""), lambda c: c != ""))).alias("c")).distinct().collect())
@@ -279,22 +301,29 @@ def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "c
     even = src.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     state = {"chunks": written(even.mapInArrow(load, "x binary"), "units"), "pending": [], "counts": None}
 
+    def through(x: np.ndarray, rounds: list, size: int) -> np.ndarray:
+        for together in rounds:
+            x = _merged_together(x, together, size)
+        return x
+
     def chunks_with(rules_: list) -> DataFrame:
+        size = len(names)
+
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([_merged(np.frombuffer(x.as_py(), dtype=np.int32), rules_).tobytes() for x in b.column(0)], type=pa.binary())], names=["x"])
+                yield pa.RecordBatch.from_arrays([pa.array([through(np.frombuffer(x.as_py(), dtype=np.int32), rules_, size).tobytes() for x in b.column(0)], type=pa.binary())], names=["x"])
 
         return state["chunks"].mapInArrow(apply, "x binary")
 
     def count() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Left and right units of the live pairs, in order of both, and their counts."""
         if state["counts"] is None:
-            todo, size = list(state["pending"]), len(names)
+            todo, size = [list(r) for r in state["pending"]], len(names)
 
             def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     for raw in b.column(0):
-                        x = _merged(np.frombuffer(raw.as_py(), dtype=np.int32), todo)
+                        x = through(np.frombuffer(raw.as_py(), dtype=np.int32), todo, size)
                         both = (x[:-1] > 0) & (x[1:] > 0)
                         keys = x[:-1][both].astype(np.int64) * size + x[1:][both]
                         if size * size < 4 * len(keys):
@@ -316,12 +345,17 @@ def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "c
         if unit not in code:
             code[unit] = len(names)
             names.append(unit)
-        state["pending"].append((code[left], code[right], code[unit]))
         ahead = state.get("ahead", [])
-        state["ahead"] = ahead[1:] if ahead and ahead[0][:2] == (left, right) else []
+        planned = bool(ahead) and ahead[0][:2] == (left, right)
+        # the pairs that lead together share no unit, so they make one round
+        if not (planned and state.get("same")):
+            state["pending"].append([])
+        state["pending"][-1].append((code[left], code[right], code[unit]))
+        state["ahead"] = ahead[1:] if planned else []
+        state["same"] = planned
         if not state["ahead"]:
             state["counts"] = None
-        if len(state["pending"]) >= rewrite_every:
+        if len(state["pending"]) >= rewrite_every and not state["ahead"]:
             state["chunks"], state["pending"] = written(chunks_with(state["pending"]), "units"), []
 
     def best():
@@ -353,7 +387,7 @@ def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "c
             ahead.append((a, b, m))
             used |= {a, b}
             take(a, b)
-        state["ahead"] = ahead
+        state["ahead"], state["same"] = ahead, False
         return ahead[0]
 
     def draws(unit: str) -> bool:
