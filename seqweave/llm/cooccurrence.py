@@ -105,16 +105,17 @@ class PairTable:
 
     def _merge(self, delta: DataFrame, at: str) -> None:
         """Add signed pair counts to the buckets they fall in."""
-        changes = delta.count()
+        known, buckets = self.state["pairs"], self.state["buckets"]
+        in_bucket = delta.groupBy(F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).alias("k")).count().collect()  # at most as many rows as buckets
+        changes = sum(r["count"] for r in in_bucket)
         if not changes:
             return
-        known, buckets = self.state["pairs"], self.state["buckets"]
         # no more pairs than there were and the delta brings; a doubled number of buckets splits each in two
         while buckets * self.bucket_rows < self.state["rows"] + changes:
             buckets *= 2
         bucket = F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).cast("int")
         grown = buckets > self.state["buckets"]
-        hit = sorted(known) if grown else [r[0] for r in delta.select(bucket).distinct().collect()]  # at most as many numbers as buckets
+        hit = sorted(known) if grown else [r["k"] for r in in_bucket]
         all_ = delta.unionByName(self.pairs(hit)).withColumn("bucket", bucket)
         # one exchange: rows of a bucket stay in their partition for the sum
         merged = all_.repartition(max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").groupBy("bucket", "a", "b").agg(F.sum("joint").alias("joint")).filter("joint <> 0")
@@ -155,7 +156,8 @@ class PairTable:
         """Store the counts behind the scores again for pairs with an item of ``affected`` (what
         ``update`` gave); the others keep theirs."""
         path = f"{self.root}/v{self.version}/scores"
-        fresh = self._counts(affected)
+        # where none are stored yet, all are computed
+        fresh = self._counts(affected if self.state["scores"] else None)
         if self.state["scores"]:
             old = self._read([self.state["scores"]], _COUNTS)
             for c in ("a", "b"):

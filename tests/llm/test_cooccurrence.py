@@ -46,3 +46,11 @@ def test_empty_table(spark):
     table = PairTable(spark)
     table.rescore(table.update(spark.createDataFrame([], SCHEMA)))
     assert table.scores().count() == 0 and table.baskets == 0
+
+
+def test_scores_stored_late_are_whole(spark):
+    table = PairTable(spark)
+    for b, i in (("1", "x"), ("1", "y"), ("2", "z"), ("2", "w")):
+        touched = table.update(spark.createDataFrame([(b, i, 0)], SCHEMA))
+    table.rescore(touched)
+    assert {(r["a"], r["b"]) for r in table.scores().collect()} == {("x", "y"), ("w", "z")}
