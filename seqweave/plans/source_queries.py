@@ -205,5 +205,5 @@ def paged_service(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name FROM nation")
 def downloaded_table(s: SparkSession, d: str) -> DataFrame:
     """A file fetched by its address into the shared folder, then read."""
-    (path,) = R.download(s, f"file://{d}/nation.parquet", new_path(s, "download"))
+    (path,) = R.download(s, ("" if "://" in d else "file://") + f"{d}/nation.parquet", new_path(s, "download"))
     return s.read.parquet(path).select("n_nationkey", "n_name")
