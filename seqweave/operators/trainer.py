@@ -1,8 +1,10 @@
 """Learning unit vocabularies by merging the most frequent adjacent pair.
 
-Two trainers with the same result: ``train_units`` learns in one process, for many
-configurations side by side; ``train_distributed`` keeps the corpus in chunks of
-the shared folder, and counts and merges in every chunk at once.
+Three trainers with the same result: ``train_units`` learns in one process, for many
+configurations side by side; ``train_together`` holds a chunk of the corpus in each of as
+many tasks as run at once, which tell each other what a merge changed;
+``train_distributed`` keeps the corpus in chunks of the shared folder, and counts and
+merges in every chunk at once.
 
 Ties go to the pair that sorts first by (left, right). Training ends, whatever the
 stop rule says, when no pair is left. A pair that spells a unit already known
@@ -15,13 +17,17 @@ the parent's count is merged at once, most similar first.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,8 +96,14 @@ class Vocabulary:
 VOCAB_SCHEMA = "config_id string, token_id int, token string, frequency long, merge_order int, pair array<string>, parent string, similarity double, is_parent boolean"
 
 
+def _vocab_table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [[]] * 9
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.bool_()]
+    return pa.table([pa.array(list(c), type=k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in VOCAB_SCHEMA.split(", ")])
+
+
 def _learn(vocab: Vocabulary, rules: Rules, best: Callable, merge: Callable, spelled: Callable) -> Vocabulary:
-    """The loop both trainers share: ``best()`` gives the leading (left, right, count) or
+    """The loop all trainers share: ``best()`` gives the leading (left, right, count) or
     None, ``spelled(unit)`` the live pairs that spell it, ``merge(left, right)`` merges."""
     first = None
     while (top := best()) is not None:
@@ -203,15 +215,210 @@ def train_units(df: DataFrame, seq: str, configs: dict[str, Rules], *, most_char
     corpus = spark.sparkContext.broadcast([r["s"] for r in src.collect()])
 
     def run(key: tuple, _: pa.Table) -> pa.Table:
-        rows = train_local(corpus.value, configs[key[0].as_py()]).rows(key[0].as_py())
-        cols = list(zip(*rows)) if rows else [[]] * 9
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.bool_()]
-        return pa.table([pa.array(list(c), type=k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in VOCAB_SCHEMA.split(", ")])
+        return _vocab_table(train_local(corpus.value, configs[key[0].as_py()]).rows(key[0].as_py()))
 
     jobs = spark.createDataFrame([(c,) for c in configs], "config_id string").repartition(len(configs), "config_id")
     return jobs.groupBy("config_id").applyInArrow(run, VOCAB_SCHEMA)
 
 
+# ---------------------------------------------------------------- in tasks that run together
+
+
+def _numbered(texts: Iterable[list[str]]) -> tuple[np.ndarray, list[str]]:
+    """All letters as numbers in one array, 0 before, between and after the texts, and the letters by number."""
+    number, names, parts = np.zeros(0x110000, dtype=np.int32), [""], [np.zeros(1, dtype=np.int16)]
+    for rows in texts:
+        codes = np.frombuffer("".join(rows).encode("utf-32-le"), dtype=np.uint32)
+        new = np.unique(codes[number[codes] == 0])
+        number[new] = np.arange(len(names), len(names) + len(new))
+        names += map(chr, new.tolist())
+        ends = np.cumsum(np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) + 1) - 1
+        letter = np.ones(len(codes) + len(rows), dtype=bool)
+        letter[ends] = False
+        x = np.zeros(len(letter), dtype=np.int16 if len(names) < 1 << 15 else np.int32)
+        x[letter] = number[codes]
+        parts.append(x)
+    return np.concatenate(parts), names
+
+
+def _groups(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of each key, in their order."""
+    if len(keys):
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts, cuts[1:]):
+            yield int(keys[i]), values[i:j]
+
+
+class _Chunk:
+    """A part of the corpus, and the pair counts of the whole. A unit's number stands in the first
+    and in the last cell of its letters, 0 parts sequences; where each pair stands is
+    kept, so that a merge looks at its own places alone. ``gather`` gives the messages
+    that all chunks sent in this step, so all keep the same counts and choose the same pairs."""
+
+    def __init__(self, texts: Iterable[list[str]], gather: Callable[[bytes], list[bytes]]) -> None:
+        self.gather = gather
+        x, own = _numbered(texts)
+        self.letters = sorted({c for m in gather("".join(own).encode()) for c in m.decode()})
+        self.names = ["", *self.letters]
+        self.code = {c: i for i, c in enumerate(self.names) if i}
+        self.x = np.array([0, *(self.code[c] for c in own[1:])], dtype=np.int16 if len(self.names) < 1 << 15 else np.int32)[x]
+        self.at: dict[tuple[int, int], list] = {}
+        size, count = len(self.names), {}
+        for i in range(0, len(self.x) - 1, 1 << 22):
+            a, b = self.x[i : i + (1 << 22)], self.x[i + 1 : i + 1 + (1 << 22)]
+            a = a[: len(b)]
+            at = np.flatnonzero((a > 0) & (b > 0))
+            # keys of 16 bits are sorted by radix
+            keys = (a[at].astype(np.int64) * size + b[at]).astype(np.uint16 if size < 256 else np.int64)
+            for k, places in _groups(keys, (at + i).astype(np.int32)):
+                self.at.setdefault(divmod(k, size), []).append(places)
+                count[k] = count.get(k, 0) + len(places)
+        #: live pairs as (left << 32 | right), sorted, and how often each occurs in all chunks
+        self.keys, self.n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for m in gather(np.array([[*count], [*count.values()]], dtype=np.int64).tobytes()):
+            k, n = np.frombuffer(m, dtype=np.int64).reshape(2, -1)
+            order = np.argsort(k)
+            self._change((k // size << 32 | k % size)[order], n[order])
+
+    def _change(self, keys: np.ndarray, by: np.ndarray) -> None:
+        """Adds to the counts of distinct, sorted pairs."""
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        self.n[at[there]] += by[there]
+        if not there.all():
+            self.keys, self.n = np.insert(self.keys, at[~there], keys[~there]), np.insert(self.n, at[~there], by[~there])
+
+    def best(self):
+        most = self.n.max(initial=0)
+        if not most:
+            return None
+        lead = self.keys[self.n == most].tolist()
+        return (*min((self.names[k >> 32], self.names[k & 0xFFFFFFFF]) for k in lead), int(most))
+
+    def spelled(self, unit: str, counts: bool = False) -> list:
+        live = []
+        for i in range(1, len(unit)):
+            if (a := self.code.get(unit[:i])) and (b := self.code.get(unit[i:])):
+                k = a << 32 | b
+                at = np.searchsorted(self.keys, k)
+                if at < len(self.keys) and self.keys[at] == k and self.n[at]:
+                    live.append((unit[:i], unit[i:], int(self.n[at])))
+        return sorted(live) if counts else [r[:2] for r in sorted(live)]
+
+    def merge(self, left: str, right: str) -> None:
+        a, b, unit = self.code[left], self.code[right], left + right
+        if unit not in self.code:
+            self.code[unit] = len(self.names)
+            self.names.append(unit)
+        u, size, la, lb = self.code[unit], len(self.names), len(left), len(right)
+        if u > np.iinfo(self.x.dtype).max:
+            self.x = self.x.astype(np.int32)
+        x, long = self.x, np.array([len(n) for n in self.names], dtype=np.int32)
+        i = np.concatenate([np.zeros(0, dtype=np.int32), *self.at.pop((a, b), [])])
+        # a place whose left or right unit has been merged since is none any more
+        i = i[x[i] == a]
+        i = i[x[i + la] == b]
+        if (i[1:] < i[:-1]).any():
+            i = np.sort(i)
+        if a == b:  # of a run of overlapping hits every second counts
+            run = np.cumsum(np.concatenate([[0], np.diff(i) != la]))[: len(i)]
+            head = i[np.concatenate([[True], np.diff(run) != 0])[: len(i)]]
+            i = i[(i - head[run]) // la % 2 == 0]
+        j, k = i + la, i + la + lb
+        before, after = x[i - 1], x[k]
+        joined = np.concatenate([[False], np.diff(i) == la + lb])[: len(i)]  # to the merge on the left
+        x[j - 1] = x[j] = -1
+        x[i] = x[k - 1] = u
+        free = ~joined & (before > 0)
+        told = np.concatenate([[len(i), joined.sum()], np.bincount(before[free], minlength=size), np.bincount(after[after > 0], minlength=size)])
+        for h, places in _groups(before[free], i[free]):
+            self.at.setdefault((h, u), []).append(places - long[h])
+        after = x[k]
+        for h, places in _groups(after[after > 0], i[after > 0]):
+            self.at.setdefault((u, h), []).append(places)
+        some = np.flatnonzero(told)
+        total = np.zeros(len(told), dtype=np.int64)
+        for m in self.gather(np.array([some, told[some]], dtype=np.int32).tobytes()):
+            which, n = np.frombuffer(m, dtype=np.int32).reshape(2, -1)
+            total[which] += n
+        merges, touching, before, after = int(total[0]), int(total[1]), total[2 : size + 2], total[size + 2 :].copy()
+        old, one = np.flatnonzero(before), lambda p, q: np.array([p << 32 | q])
+        self._change(one(a, b), np.array([-merges]))
+        self._change(old << 32 | a, -before[old])
+        self._change(old << 32 | u, before[old])
+        new = np.flatnonzero(after)
+        self._change(b << 32 | new, -after[new])
+        after[a] -= touching
+        after[u] += touching
+        new = np.flatnonzero(after)
+        self._change(u << 32 | new, after[new])
+        if len(self.keys) > 2 * np.count_nonzero(self.n):
+            self.keys, self.n = self.keys[self.n > 0], self.n[self.n > 0]
+
+
+@contextmanager
+def _gathering(task: BarrierTaskContext) -> Iterator[Callable[[bytes], list[bytes]]]:
+    """A function that gives what all tasks of a barrier stage sent in this step. The barrier's own
+    takes a second for each call, so it tells only where the first task listens;
+    messages go through that task."""
+    infos, first = task.getTaskInfos(), task.partitionId() == 0
+    if len(infos) == 1:
+        yield lambda m: [m]
+        return
+    key = os.urandom(32)
+    ear = Listener(("0.0.0.0", 0), backlog=len(infos), authkey=key) if first else None
+    port, key = next(m for m in task.allGather(f"{ear.address[1]} {key.hex()}" if first else "") if m).split()
+    if first:
+        ends = [ear.accept() for _ in infos[1:]]
+    else:
+        ends = [Client((infos[0].address.rpartition(":")[0].strip("[]"), int(port)), authkey=bytes.fromhex(key))]
+
+    def gather(m: bytes) -> list[bytes]:
+        if not first:
+            ends[0].send_bytes(m)
+            return ends[0].recv()
+        every = [m, *(e.recv_bytes() for e in ends)]
+        for e in ends:
+            e.send(every)
+        return every
+
+    try:
+        yield gather
+    finally:
+        for e in [*ends, *([ear] if first else [])]:
+            e.close()
+
+
+def slots(spark: SparkSession) -> int:
+    """How many tasks of this application run at once; 0 where executors come and go."""
+    sc = spark.sparkContext._jsc.sc()
+    if spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    return sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile())
+
+
+def train_together(df: DataFrame, seq: str, rules: Rules, *, config: str = "config", chunks: int | None = None) -> DataFrame:
+    """The same vocabulary by tasks that run at the same time (barrier mode), each with a chunk of
+    the corpus in memory, some ten bytes a letter. Every task takes the same steps; after
+    a merge they exchange how often its pair stood beside each unit."""
+    spark = df.sparkSession
+    src = df.select(df[seq].alias("s")).filter(F.length("s") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = BarrierTaskContext.get()
+        with _gathering(task) as gather:
+            chunk = _Chunk((b.column(0).to_pylist() for b in batches), gather)
+            vocab = _learn(Vocabulary(chunk.letters), rules, chunk.best, chunk.merge, chunk.spelled)
+        if task.partitionId() == 0:
+            yield from _vocab_table(vocab.rows(config)).to_batches()
+
+    parts = src.repartition(chunks or max(1, slots(spark)))
+    return written(parts.mapInArrow(run, VOCAB_SCHEMA, barrier=True), "learned")
+
+
 # ---------------------------------------------------------------- in chunks
 
 
@@ -408,11 +615,14 @@ def train_distributed(df: DataFrame, seq: str, rules: Rules, *, config: str = "c
     return spark.createDataFrame(vocab.rows(config), VOCAB_SCHEMA)
 
 
-def train(df: DataFrame, seq: str, configs: dict[str, Rules], *, most_chars: int = 5_000_000) -> DataFrame:
-    """One vocabulary per configuration by the trainer that suits the corpus' size. Both give
-    the same; a round over chunks costs a job, which a corpus that fits in a task is spared."""
+def train(df: DataFrame, seq: str, configs: dict[str, Rules], *, most_chars: int = 5_000_000, most_together: int = 40_000_000) -> DataFrame:
+    """One vocabulary per configuration by the trainer that suits the corpus' size; all give
+    the same. Up to ``most_chars`` it is learned in one task, up to ``most_together`` letters for each
+    task that can run at once by these together, beyond that, and where executors come
+    and go, from chunks in the shared folder."""
     size = df.agg(F.sum(F.length(seq))).first()[0] or 0
     if size <= most_chars:
         return written(train_units(df, seq, configs, most_chars=most_chars), "learned")
-    each = [train_distributed(df, seq, rules, config=name) for name, rules in configs.items()]
+    learn = train_together if size <= most_together * slots(df.sparkSession) else train_distributed
+    each = [learn(df, seq, rules, config=name) for name, rules in configs.items()]
     return reduce(DataFrame.unionByName, each)

@@ -6,7 +6,7 @@ import pytest
 
 from seqweave.operators.encoding import Encoder, encode, export
 from seqweave.operators.substitution import class_matrix, mutations
-from seqweave.operators.trainer import Rules, similar_strings, train_distributed, train_local, train_units
+from seqweave.operators.trainer import Rules, similar_strings, train, train_distributed, train_local, train_together, train_units
 
 TOY = {("A", "A"): 4, ("A", "S"): 1, ("A", "G"): 0, ("S", "S"): 4, ("S", "T"): 1, ("S", "A"): 1, ("S", "N"): 1, ("G", "G"): 6, ("T", "T"): 5, ("N", "N"): 6}
 
@@ -99,6 +99,32 @@ def test_mutated_trainers_agree(spark):
         train_units(df, "s", {"a": rules}, most_chars=3)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_trainer_of_tasks_that_run_together_agrees(spark, seed):
+    c = corpus(seed, ("A", "ASTPGDE", "ACDEFGHIKLMNPQRSTVWY")[seed], 60, 40)
+    rules = Rules("vocab_size", 60, mutated=seed > 0, matrix=class_matrix(), mutation_cutoff=0.6, min_mutation_freq=0.1, max_mutation_len=4)
+    v = train_local(c, rules)
+    df = spark.createDataFrame([(s,) for s in [*c, None, ""]], "s string")
+    for chunks in (1, 3):
+        got = sorted(tuple(r) for r in train_together(df, "s", rules, config="x", chunks=chunks).collect())
+        assert got == sorted(v.rows("x"))
+    few = spark.createDataFrame([("ABABC",), ("ABC",)], "s string")  # and tasks without a sequence
+    assert [r["token"] for r in train_together(few, "s", Rules("vocab_size", 6), chunks=6).orderBy("token_id").collect()] == ["A", "B", "C", "AB", "ABC", "ABABC"]
+
+
+def test_a_large_corpus_takes_no_job_for_each_merge(spark):
+    c = corpus(5, "ASTPGDE", 60, 40)
+    rules = {"x": Rules("vocab_size", 60, mutated=True, matrix=class_matrix(), mutation_cutoff=0.6, min_mutation_freq=0.1, max_mutation_len=4)}
+    df = spark.createDataFrame([(s,) for s in c], "s string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("large corpus", "")
+    got = train(df, "s", rules, most_chars=100).collect()
+    jobs = len(tracker.getJobIdsForGroup("large corpus"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r) for r in got) == sorted(train_local(c, rules["x"]).rows("x"))
+    assert jobs < 12
+
+
 def test_mutations_of_a_token(spark):
     want = {("AS", "AA"): 0.625, ("AS", "AN"): 0.625, ("AS", "AT"): 0.625, ("AS", "SS"): 0.625}
     assert {("AS", m): s for m, s in similar_strings("AS", TOY, 0.5)} == want  # GS, exactly 0.5 by one letter, is out
