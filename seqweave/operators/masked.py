@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seqweave.functions.sequences import hashed_number, let, symbols, with_letter
 from seqweave.operators.substitution import ALTERNATIVE_LETTERS
+from seqweave.session import written
 
 EDGE = "^"
 
@@ -104,3 +105,35 @@ def replaced_sequences(encoded: DataFrame, replacements: DataFrame, ident: str =
     g = t.groupBy("config_id", ident).agg(F.array_sort(F.collect_list("x")).alias("x"), F.count("score").alias("changes"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
     join = lambda c: F.array_join(F.transform("x", lambda e: e[c]), "")
     return g.select("config_id", ident, join("token").alias("original"), join("m").alias("mutated"), join("a").alias("alternative"), join("b").alias("baseline"), "changes", "score")
+
+
+def replacement_win_rates(encoded: DataFrame, replacements: DataFrame, scores: DataFrame, ident: str = "seq_id") -> DataFrame:
+    """``config_id, positions`` and the shares of ``win_rates`` over ``replaced_sequences`` for sequences
+    ``ident, tokens`` that all configurations cut alike. Replacements (``config_id, token,
+    mutation, alternative``, all of the token's length) come in as letters at places of tokens; each
+    such place of a sequence is looked at once, and places that look the same are counted together
+    before the configurations have a part in it."""
+    at = lambda c, i: F.substr(c, i, F.lit(1))
+    letters = lambda i: F.struct(i.alias("k"), at(F.col("token"), i).alias("orig"), at(F.col("mutation"), i).alias("mut"), at(F.col("alternative"), i).alias("alt"))
+    r = replacements.select("config_id", "token", F.inline(F.transform(F.sequence(F.lit(1), F.length("token")), letters)))
+    r = written(r.filter("orig <> mut AND orig <> alt"), "replacements")
+    wanted = r.groupBy("token").agg(F.collect_set("k").alias("ks"))
+    edge = F.lit(EDGE)
+    beside = lambda a: F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("token"), F.coalesce(F.right(F.get(a, i - 1), F.lit(1)), edge).alias("first"), F.coalesce(F.left(F.get(a, i + 1), F.lit(1)), edge).alias("last")))
+    t = encoded.select(ident, F.inline(let(F.col("tokens"), beside))).join(wanted, "token").withColumn("k", F.explode("ks"))
+    # the letter that ``random_baseline`` draws there
+    orig, text, k = at(F.col("token"), F.col("k")), F.concat("first", "token", "last"), F.col("k")
+    own = F.instr(F.lit(ALTERNATIVE_LETTERS), orig)
+    drawn = F.pmod(hashed_number(F.lit("base"), F.col(ident).cast("string"), F.col("i").cast("string"), k.cast("string")), F.lit(len(ALTERNATIVE_LETTERS)) - (own > 0).cast("int"))
+    drawn = at(F.lit(ALTERNATIVE_LETTERS), drawn + 1 + ((own > 0) & (drawn + 1 >= own)).cast("int"))
+    place = ("token", "k", "prev", "next", "drawn")
+    p = t.select("token", "k", at(text, k).alias("prev"), at(text, k + 2).alias("next"), drawn.alias("drawn")).groupBy(*place).agg(F.count("*").alias("n"))
+    by_place = scores.groupBy("prev", "next").agg(F.map_from_entries(F.collect_list(F.struct("letter", "n"))).alias("m"))
+    p = p.join(by_place, ["prev", "next"], "left")
+    way = ("token", "k", "orig", "mut", "alt")
+    # the baseline is the mutation where that is also the alternative
+    p = p.join(r.select(*way).distinct(), ["token", "k"]).withColumn("base", F.when(F.col("mut") != F.col("alt"), F.col("drawn")).otherwise(F.col("mut")))
+    score = lambda k: F.coalesce(F.element_at("m", F.col(k)), F.lit(0))
+    won = [F.sum(F.when(score(a) > score(b), F.col("n")).otherwise(0)).alias(f"{a}_{b}") for a, b in PAIRS]
+    each = p.groupBy(*way).agg(F.sum("n").alias("n"), *won)
+    return r.join(each, list(way)).groupBy("config_id").agg(F.sum("n").alias("positions"), *((F.sum(f"{a}_{b}") / F.sum("n")).alias(f"{a}_wins_vs_{b}") for a, b in PAIRS))

@@ -108,3 +108,24 @@ def test_variants_and_softmax(spark):
     assert got == ("CDE", None, [0.5, 0.5])
     base = one(spark, "o string, m string, a string", ("AAC", "ARD", "AND"), M.random_baseline(F.col("o"), F.col("m"), F.col("a"), F.lit("s")))[0]
     assert base[0] == "A" and base[1] not in "A" and base[2] == "D"
+
+
+def test_replacements_are_scored_without_a_copy_for_each_configuration(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from seqweave.operators import masked as M
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ACDE", k=rng.randrange(1, 40))) for _ in range(60)]
+    p = spark.createDataFrame([(f"e{i}", s) for i, s in enumerate(texts)], "seq_id string, s string")
+    tokens = p.select("seq_id", F.regexp_extract_all("s", F.lit(".{1,3}"), F.lit(0)).alias("tokens"))
+    ways = [("ACD", "ECD", "DCD"), ("CCA", "DEA", "EDA"), ("DDE", "DDA", "DDC")]
+    rows = [(f"c{k}", *w, 1.0) for k in range(5) for w in ways[k % 2 :]] + [("c9", "ACD", "AED", "AAD", 1.0)]
+    r = spark.createDataFrame(rows, "config_id string, token string, mutation string, alternative string, score double")
+    scores = M.neighbour_scores(p, "s")
+    got = M.replacement_win_rates(tokens, r, scores)
+    want = M.win_rates(M.replaced_sequences(tokens.crossJoin(r.select("config_id").distinct()), r), scores, "config_id")
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 6
