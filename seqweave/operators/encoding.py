@@ -59,6 +59,17 @@ class Encoder:
         return [s for s, a in zip(sym, alive) if a]
 
 
+def _blocks(b: pa.RecordBatch, at: int, letters: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many letters, or of one longer sequence: encodings take a
+    hundred times the memory of their letters."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + letters, side="right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
 def encode(df: DataFrame, seq: str, model: dict, out: str = "encoding", native: bool = False) -> DataFrame:
     """Adds the encoding of each sequence, an array of (token, start, end); null for a
     null sequence. Uses the installed tokenizer library, or the own encoder.
@@ -79,7 +90,7 @@ def encode(df: DataFrame, seq: str, model: dict, out: str = "encoding", native:
             except ImportError:
                 pass
         kind = pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in (x for b in batches for x in _blocks(b, b.schema.get_field_index(seq))):
             at = b.schema.get_field_index(seq)
             seqs = b.column(at).to_pylist()
             if library is not None:

@@ -152,3 +152,15 @@ def test_registered_runs_learn_a_whole_vocabulary(spark):
         rows = sorted(Q.QUERIES[name](spark, folder).collect(), key=lambda r: r["token_id"])
         assert len(rows) >= 800
         assert [tuple(r) for r in rows] == train_local(c, rules).rows(kind)
+
+
+def test_encoding_takes_a_batch_in_blocks():
+    import pyarrow as pa
+
+    from seqweave.operators.encoding import _blocks
+
+    texts = ["AB" * 3, None, "A" * 20, "", "C" * 4, "D" * 4, "E"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, type=pa.string())], names=["i", "s"])
+    got = [x.column(1).to_pylist() for x in _blocks(b, 1, 8)]
+    assert [s for x in got for s in x] == texts
+    assert all(len(x) == 1 or sum(len(s or "") for s in x) <= 8 for x in got) and len(got) == 4
