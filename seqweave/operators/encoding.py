@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-
-from seqweave.functions.sequences import running_ends
+from pyspark.sql import types as T
 
 ENCODED = "array<struct<token:string,start:int,end:int>>"
 
@@ -70,41 +70,103 @@ def _blocks(b: pa.RecordBatch, at: int, letters: int = 200_000) -> Iterator[pa.R
         i = j
 
 
-def encode(df: DataFrame, seq: str, model: dict, out: str = "encoding", native: bool = False) -> DataFrame:
-    """Adds the encoding of each sequence, an array of (token, start, end); null for a
-    null sequence. Uses the installed tokenizer library, or the own encoder.
-    The model is one vocabulary, some megabytes at most, and its size is checked."""
-    text = json.dumps(model)
-    if len(text) > 64_000_000:
-        raise ValueError("the vocabulary is too large to send to every task")
-    sent = df.sparkSession.sparkContext.broadcast(text)
+class _Cutter:
+    """Cuts sequences into units: by the installed tokenizer library, or the own encoder. Units are
+    numbers until ``names`` spells them, as text takes most of the time else."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(json.loads(sent.value))
-        library = None
+    def __init__(self, text: str, native: bool) -> None:
+        self.own, self.library = Encoder(json.loads(text)), None
         if not native:
             try:
                 from tokenizers import Tokenizer
 
-                library = Tokenizer.from_str(sent.value)
+                self.library = Tokenizer.from_str(text)
             except ImportError:
                 pass
+        self.code = dict(self.own.vocab if self.library is None else self.library.get_vocab())
+        spelled = {i: t for t, i in self.code.items()}
+        self.spelled = [spelled.get(i, "") for i in range(max(spelled, default=-1) + 1)]
+
+    def _number(self, token: str) -> int:
+        if token not in self.code:  # a merge may spell what the vocabulary lacks
+            self.code[token] = len(self.spelled)
+            self.spelled.append(token)
+        return self.code[token]
+
+    def cut(self, seqs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each sequence's units begin among all units, the units, where each starts and where it
+        ends in its sequence; a null sequence has none."""
+        if self.library is not None:
+            found = [e.ids for e in self.library.encode_batch([s or "" for s in seqs], add_special_tokens=False)]
+        else:
+            found = [[self._number(t) for t in self.own.tokens(s or "")] for s in seqs]
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        first = np.concatenate([[0], np.cumsum(counts)])
+        units = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=first[-1])
+        long = np.fromiter(map(len, self.spelled), dtype=np.int64, count=len(self.spelled))[units]
+        ends = np.cumsum(long)
+        ends -= np.repeat(np.concatenate([[0], ends])[first[:-1]], counts)
+        return first, units, ends - long, ends
+
+    def names(self, units: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+        return pa.array(self.spelled, type=pa.string()).take(pa.array(units, mask=missing))
+
+
+def _sent(df: DataFrame, model: dict):
+    text = json.dumps(model)
+    if len(text) > 64_000_000:
+        raise ValueError("the vocabulary is too large to send to every task")
+    return df.sparkSession.sparkContext.broadcast(text)
+
+
+def encode(df: DataFrame, seq: str, model: dict, out: str = "encoding", native: bool = False) -> DataFrame:
+    """Adds the encoding of each sequence, an array of (token, start, end); null for a
+    null sequence. Uses the installed tokenizer library, or the own encoder.
+    The model is one vocabulary, some megabytes at most, and its size is checked."""
+    sent = _sent(df, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _Cutter(sent.value, native)
         kind = pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in (x for b in batches for x in _blocks(b, b.schema.get_field_index(seq))):
-            at = b.schema.get_field_index(seq)
-            seqs = b.column(at).to_pylist()
-            if library is not None:
-                done = library.encode_batch([s or "" for s in seqs], add_special_tokens=False)
-                found = [e.tokens for e in done]
-            else:
-                found = [own.tokens(s or "") for s in seqs]
-            tokens = pa.array(found, type=pa.list_(pa.string()))
-            first, ends, flat = running_ends(tokens)
-            starts = ends - pc.utf8_length(flat).to_numpy(zero_copy_only=False)
-            cell = pa.StructArray.from_arrays([flat, pa.array(starts, type=pa.int32()), pa.array(ends, type=pa.int32())], fields=list(kind.value_type))
+            seqs = b.column(b.schema.get_field_index(seq)).to_pylist()
+            first, units, starts, ends = cutter.cut(seqs)
+            cell = pa.StructArray.from_arrays([cutter.names(units), pa.array(starts, type=pa.int32()), pa.array(ends, type=pa.int32())], fields=list(kind.value_type))
             offsets = pa.array(first, type=pa.int32(), mask=np.array([*(s is None for s in seqs), False]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, cell)], names=[*b.schema.names, out])
 
-    from pyspark.sql import types as T
-
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(ENCODED))]))
+
+
+def cuts_compared(df: DataFrame, original: str, mutated: str, pos: str, model: dict, native: bool = False) -> DataFrame:
+    """Encodes two sequences and puts in their place ``same`` (both are cut alike, null where one is
+    null), ``ori_token`` and ``mut_token`` (the tokens that cover ``pos``, from 0; null where none
+    does), as ``variants.judged`` does of two tokenisations; no tokenisation leaves the task."""
+    sent = _sent(df, model)
+    kept = [f for f in df.schema.fields if f.name not in (original, mutated)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _Cutter(sent.value, native)
+        for b in (y for b in batches for x in _blocks(b, b.schema.get_field_index(original)) for y in _blocks(x, x.schema.get_field_index(mutated))):
+            place = b.column(b.schema.get_field_index(pos)).cast(pa.int64())
+            nowhere = place.is_null().to_numpy(zero_copy_only=False)
+            place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False)
+            cuts, tokens, null = [], [], np.zeros(b.num_rows, dtype=bool)
+            for name in (original, mutated):
+                seqs = b.column(b.schema.get_field_index(name)).to_pylist()
+                null |= np.array([s is None for s in seqs], dtype=bool)
+                first, units, _, ends = cutter.cut(seqs)
+                row = np.repeat(np.arange(len(seqs)), np.diff(first))
+                # the units that end before the position
+                at = first[:-1] + np.bincount(row[ends <= place[row]], minlength=len(seqs))
+                missing = nowhere | (place < 0) | (at >= first[1:])
+                tokens.append(cutter.names(units[np.where(missing, 0, at)] if len(units) else np.zeros(len(seqs), dtype=np.int64), missing))
+                cuts.append((first, row, ends))
+            (first, row, ends), (first2, _, ends2) = cuts
+            same = np.diff(first) == np.diff(first2)
+            other = first2[row] + np.arange(len(row)) - first[row]
+            ok = same[row]
+            same[row[ok][ends[ok] != ends2[other[ok]]]] = False
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), pa.array(same, mask=null), *tokens], names=[*(f.name for f in kept), "same", "ori_token", "mut_token"])
+
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField("same", T.BooleanType()), T.StructField("ori_token", T.StringType()), T.StructField("mut_token", T.StringType())]))

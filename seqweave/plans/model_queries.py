@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from seqweave.operators import masked as M
 from seqweave.operators import variants as V
-from seqweave.operators.encoding import encode, export
+from seqweave.operators.encoding import cuts_compared, encode, export
 from seqweave.operators.genealogy import families
 from seqweave.operators.substitution import class_matrix, first_alternatives
 from seqweave.operators.trainer import Rules, train
 from seqweave.plans.domain_queries import _MUT, _mutated, proteins
 from seqweave.plans.tables import table
-from seqweave.session import new_path
+from seqweave.session import new_path, written
 from seqweave.sources import readers as R
 from seqweave.sources import sinks as K
 from seqweave.streaming.units import pair_counts, run_once, run_to_table, windowed_counts
@@ -80,9 +80,8 @@ def variant_siblings(s: SparkSession, d: str) -> DataFrame:
     """Random variants under a learned family vocabulary."""
     v = _family(s, d)
     m = _mutated(s, d).select("entry", "s", "mutated", "pos").withColumn("config_id", F.lit("family"))
-    model = _model(v)
-    both = encode(encode(m, "s", model, "a"), "mutated", model, "b").withColumns({"x": F.col("a.token"), "y": F.col("b.token")})
-    judged = V.judged(both, "x", "y", "pos", lambda a, b: F.lit(False)).drop("is_sibling")
+    # read twice below, so it is encoded once before
+    judged = written(cuts_compared(m, "s", "mutated", "pos", _model(v)).drop("entry", "pos"), "judged")
     return V.sibling_rates(V.with_siblings(judged, families(v)), "config_id")
 
 

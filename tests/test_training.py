@@ -164,3 +164,59 @@ def test_encoding_takes_a_batch_in_blocks():
     got = [x.column(1).to_pylist() for x in _blocks(b, 1, 8)]
     assert [s for x in got for s in x] == texts
     assert all(len(x) == 1 or sum(len(s or "") for s in x) <= 8 for x in got) and len(got) == 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_learning_in_one_task_takes_few_bytes_a_letter(seed):
+    import tracemalloc
+
+    from seqweave.operators.trainer import train_alone
+
+    letters = ("A", "ASTPGDE", "ACDEFGHIKLMNPQRSTVWY")[seed]
+    rules = Rules("vocab_size", 60, mutated=seed > 0, matrix=class_matrix(), mutation_cutoff=0.6, min_mutation_freq=0.1, max_mutation_len=4)
+    for c in (corpus(seed, letters, 60, 40), [], [""], ["A"]):
+        assert train_alone(c, rules).rows("x") == train_local(c, rules).rows("x")
+    c = corpus(seed, letters, 4_000, 100)
+    tracemalloc.start()
+    train_alone(c, rules)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 4.5 MB are the table of letters; sets of places took 200 bytes a letter and more
+    assert most < 6e6 + 60 * sum(map(len, c))
+
+
+def test_comparing_cuts_in_the_task_agrees_with_tokenisations(spark):
+    from seqweave.operators import variants as V
+    from seqweave.operators.encoding import cuts_compared
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    c = corpus(3, "ABC", 80, 30)
+    model = export([dict(token_id=i, token=u, merge_order=x["order"], pair=x.get("pair")) for i, (u, x) in enumerate(train_local(c, Rules("vocab_size", 14)).units.items())])
+    rows = [(s, s[: (p := rng.randrange(len(s)))] + rng.choice("ABCZ") + s[p + 1 :], p) for s in c if s]
+    rows += [(None, "AB", 0), ("AB", None, 1), ("", "", 0), ("ABC", "AB", 9), ("AB", "ABC", None), ("ZZ", "A", 0), ("AB", "AB", -1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s string, m string, pos int")
+    both = encode(encode(df, "s", model, "a"), "m", model, "b").withColumns({"x": F.col("a.token"), "y": F.col("b.token")})
+    want = V.judged(both, "x", "y", "pos", lambda a, b: F.lit(False)).select("i", "pos", "same", "ori_token", "mut_token").orderBy("i").collect()
+    assert {r["same"] for r in want} == {True, False, None}
+    for native in (False, True):
+        got = cuts_compared(df, "s", "m", "pos", model, native)
+        assert got.columns == ["i", "pos", "same", "ori_token", "mut_token"]
+        assert got.orderBy("i").collect() == want
+
+
+def test_variants_are_encoded_once(spark):
+    from pyspark.sql import functions as F
+
+    from seqweave.operators import variants as V
+    from seqweave.operators.genealogy import families
+    from seqweave.plans import model_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    df = Q.variant_siblings(spark, folder)
+    assert "MapInArrow" not in df._jdf.queryExecution().toString()
+    v = Q._family(spark, folder)
+    m = Q._mutated(spark, folder).withColumn("config_id", F.lit("family"))
+    both = encode(encode(m, "s", Q._model(v), "a"), "mutated", Q._model(v), "b").withColumns({"x": F.col("a.token"), "y": F.col("b.token")})
+    judged = V.judged(both, "x", "y", "pos", lambda a, b: F.lit(False)).drop("is_sibling")
+    assert df.collect() == V.sibling_rates(V.with_siblings(judged, families(v)), "config_id").collect()
