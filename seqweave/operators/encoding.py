@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -77,6 +78,8 @@ class _Cutter:
     def __init__(self, text: str, native: bool) -> None:
         self.own, self.library = Encoder(json.loads(text)), None
         if not native:
+            # tasks share the cores out; a thread for each core keeps memory of its own
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             try:
                 from tokenizers import Tokenizer
 

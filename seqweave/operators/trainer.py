@@ -16,6 +16,7 @@ the parent's count is merged at once, most similar first.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import os
 import pickle
@@ -217,7 +218,9 @@ def train_units(df: DataFrame, seq: str, configs: dict[str, Rules], *, most_char
     corpus = spark.sparkContext.broadcast([r["s"] for r in src.collect()])
 
     def run(key: tuple, _: pa.Table) -> pa.Table:
-        return _vocab_table(train_alone(corpus.value, configs[key[0].as_py()]).rows(key[0].as_py()))
+        vocab = train_alone(corpus.value, configs[key[0].as_py()])
+        _memory_back()
+        return _vocab_table(vocab.rows(key[0].as_py()))
 
     jobs = spark.createDataFrame([(c,) for c in configs], "config_id string").repartition(len(configs), "config_id")
     return jobs.groupBy("config_id").applyInArrow(run, VOCAB_SCHEMA)
@@ -368,6 +371,15 @@ class _Chunk:
             self.keys, self.n = self.keys[self.n > 0], self.n[self.n > 0]
 
 
+def _memory_back() -> None:
+    """Gives freed memory back to the system. The worker process lives on beside later tasks, and the C
+    library would keep most of a chunk's many arrays."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 @contextmanager
 def _gathering(task: BarrierTaskContext) -> Iterator[Callable[[bytes], list[bytes]]]:
     """A function that gives what all tasks of a barrier stage sent in this step. The barrier's own
@@ -425,6 +437,8 @@ def train_together(df: DataFrame, seq: str, rules: Rules, *, config: str = "conf
         with _gathering(task) as gather:
             chunk = _Chunk((b.column(0).to_pylist() for b in batches), gather)
             vocab = _learn(Vocabulary(chunk.letters), rules, chunk.best, chunk.merge, chunk.spelled)
+        del chunk
+        _memory_back()
         if task.partitionId() == 0:
             yield from _vocab_table(vocab.rows(config)).to_batches()
 

@@ -1,5 +1,6 @@
 """Trainers and encoders on hand-worked and random corpora."""
 
+import os
 import random
 
 import pytest
@@ -262,3 +263,22 @@ def test_tasks_that_run_together_do_not_wait_for_receipts():
         t.join()
     assert all(x == [[bytes([i]) * 9_000 for i in range(n)]] * 200 for x in got.values()) and len(got) == n
     assert max(took.values()) < 4  # 40 ms each were 8 s
+
+
+def test_encoding_takes_one_thread_of_a_task():
+    import subprocess
+    import sys
+
+    text = """
+import json, os
+from seqweave.operators.encoding import _Cutter
+model = {"version": "1.0", "added_tokens": [], "model": {"type": "BPE", "vocab": {"A": 0, "B": 1, "AB": 2}, "merges": [["A", "B"]]}}
+cutter = _Cutter(json.dumps(model), False)
+assert cutter.library is not None
+before = len(os.listdir("/proc/self/task"))
+assert cutter.cut(["ABAB", "BA"] * 500)[1].tolist() == [2, 2, 1, 0] * 500
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    done = subprocess.run([sys.executable, "-c", text], env=env, capture_output=True, text=True)
+    assert done.stdout.strip() == "0", done
